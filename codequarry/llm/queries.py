@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import cooccurrence, ranking, spans, splitting
+from codequarry.llm import cooccurrence, parsing, ranking, spans, splitting
 from codequarry.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,22 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_share(spark: SparkSession, base: str) -> DataFrame:
     _, coverage, _ = spans.shared_spans(table(spark, base, "chunks"), key="chunk_id", text="body")
     return coverage.select(F.col("id").alias("chunk_id"), "n_chars", "shared_chars", F.round("share", 6).alias("share"))
+
+
+def _parsed(spark: SparkSession, base: str) -> DataFrame:
+    return parsing.parse_files(table(spark, base, "file_text"), key="file_id", repo="repo", path="path", text="text")
+
+
+@query
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return _parsed(spark, base).filter(~F.col("parses")).select("file_id")
+
+
+@query
+def p6_files(spark: SparkSession, base: str) -> DataFrame:
+    return _parsed(spark, base)
+
+
+@query
+def p6_rates(spark: SparkSession, base: str) -> DataFrame:
+    return parsing.parse_rates(_parsed(spark, base), repo="repo")
