@@ -45,26 +45,53 @@ def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return h * MULT
 
 
-def _winnow(text: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the least k-gram hash of each window of w k-grams, rightmost on ties."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+#: Bits of a position within a block; the rest of the sort key is hash. Blocks are cut so that arrays stay in cache.
+BITS = 22
+BLOCK = 150_000
+
+
+def _winnow_block(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, position, hash) of the least k-gram of each window of w k-grams of each text.
+
+    The key of a k-gram is its hash in the high bits and its distance from the block's end in the low ones: a sliding
+    minimum then yields place and hash at once, and settles ties by taking the rightmost, whatever the surroundings.
+    Windows that reach over the end of a text are left out. Blocks hold fewer than 2^BITS characters, or one text.
+    """
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     h = _hashes(codes, k)
-    n = len(h) - w + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    low, m = h, 1
+    bits = max(BITS, int(len(h)).bit_length())
+    mask = np.uint64((1 << bits) - 1)
+    key = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))
+    low, m = key, 1
     while 2 * m <= w:
         low = np.minimum(low[: len(low) - m], low[m:])
         m *= 2
+    n = len(h) - w + 1
     low = np.minimum(low[:n], low[w - m : w - m + n])
-    cover = np.zeros(len(h), bool)
-    change = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    ends = np.r_[change[1:] - 1, n - 1]
-    for s, e in zip(change, ends):
-        seg = h[s : e + w] == low[s]
-        cover[s + np.flatnonzero(seg)] = True
-    p = np.flatnonzero(cover)
-    return p, h[p]
+    ends = np.cumsum(lens)
+    starts = ends - lens
+    valid = np.zeros(n + 1, np.int8)
+    np.add.at(valid, starts, 1)
+    np.add.at(valid, np.minimum(ends - (w + k - 2), n), -1)
+    at = (mask - (low[np.cumsum(valid[:n], dtype=np.int8) > 0] & mask)).astype(np.int64)
+    at = at[np.r_[True, at[1:] != at[:-1]]]
+    doc = np.searchsorted(ends, at, side="right")
+    return doc, at - starts[doc], h[at]
+
+
+def _blocks(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    some: tuple[list[int], list[str]] = ([], [])
+    size = 0
+    for i, t in zip(ids, texts):
+        if some[0] and size + len(t) > BLOCK:
+            yield some
+            some, size = ([], []), 0
+        some[0].append(i)
+        some[1].append(t)
+        size += len(t)
+    if some[0]:
+        yield some
 
 
 def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard_chars: int = 8_000_000, few: int = 48) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -82,19 +109,14 @@ def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, ps, hs = [], [], []
-            for i, t in zip(pdf["id"], pdf["t"]):
-                p, h = _winnow(t, k, w)
-                ids.append(np.full(len(p), i, np.int64))
-                ps.append(p)
-                hs.append(h.view(np.int64))
-            if ids:
-                yield pd.DataFrame({"id": np.concatenate(ids), "pos": np.concatenate(ps).astype(np.int32), "h": np.concatenate(hs)})
-
-    occ = long_enough.mapInPandas(anchors, "id long, pos int, h long")
+            for some, texts in _blocks(pdf["id"].tolist(), pdf["t"].tolist()):
+                doc, pos, h = _winnow_block(texts, k, w)
+                yield pd.DataFrame({"id": np.asarray(some, np.int64)[doc], "pos": pos.astype(np.int32), "h": h.view(np.int64)})
+
+    # written once: a few bytes per 50 characters, against reading and hashing every text a second time
+    occ = cut(long_enough.mapInPandas(anchors, "id long, pos int, h long"))
     recurring = cut(occ.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("h", "x", "c"))
     stats = recurring.agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).first()
-    # the anchors are computed again rather than kept: hashing is cheaper than writing all positions out
     rec = occ.join(recurring.select("h", "x"), "h")
     per_doc = rec.groupBy("id").agg(F.collect_list(F.struct("h", "pos", (F.col("x") == F.col("id")).alias("lead"))).alias("hits"))
     docs = cut(per_doc.join(long_enough, "id"))
@@ -131,17 +153,19 @@ def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard
     sized = classes.join(sizes, "phrase")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ls, rs, cs = pdf["l"].tolist(), pdf["r"].tolist(), pdf["cls"].tolist()
-        out = []
-        for i in range(len(cs)):
-            for j in range(i + 1, len(cs)):
-                a = _common(ls[i][::-1], ls[j][::-1])
-                b = _common(rs[i], rs[j])
+        rows = sorted(zip(pdf["phrase"], (x[::-1] for x in pdf["l"]), pdf["r"], pdf["cls"]), key=lambda x: x[0])
+        out, lo = [], 0
+        for j, (phrase, left, right, cls) in enumerate(rows):
+            if rows[lo][0] != phrase:
+                lo = j
+            for _, l2, r2, c2 in rows[lo:j]:
+                a, b = _common(left, l2), _common(right, r2)
                 if a + b + k >= length:
-                    out.append((cs[i], cs[j], a, b))
+                    out.append((cls, c2, a, b))
         return pd.DataFrame(out, columns=["c1", "c2", "a", "b"])
 
-    direct = sized.filter((F.col("n_cls") > 1) & (F.col("n_cls") <= few)).groupBy("phrase").applyInPandas(compare, "c1 long, c2 long, a int, b int")
+    parts = max(1, int(stats["n"] or 0) // 3_000)
+    direct = sized.filter((F.col("n_cls") > 1) & (F.col("n_cls") <= few)).groupBy(F.pmod(F.xxhash64("phrase"), F.lit(parts))).applyInPandas(compare, "c1 long, c2 long, a int, b int")
     # many classes: every run of exactly `length` around the passage is a key, with a = its part to the left
     ll, rl = F.char_length("l"), F.char_length("r")
     runs = (
