@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import cooccurrence, parsing, ranking, spans, splitting
+from codequarry.llm import cooccurrence, parsing, ranking, spans, splitting, subjects
 from codequarry.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,21 @@ def p6_files(spark: SparkSession, base: str) -> DataFrame:
 @query
 def p6_rates(spark: SparkSession, base: str) -> DataFrame:
     return parsing.parse_rates(_parsed(spark, base), repo="repo")
+
+
+def _subjects(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, base, "documents")
+    names = [r["subject"] for r in table(spark, base, "subjects").orderBy("n", "subject").select("subject").distinct().collect()]
+    model = subjects.train(docs, table(spark, base, "doc_labels"), sorted(names), doc="doc_id", text="text", source="source", subject="subject")
+    return docs, subjects.assign(docs, model, doc="doc_id", text="text", source="source")
+
+
+@query
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return _subjects(spark, base)[1]
+
+
+@query
+def p10_composition(spark: SparkSession, base: str) -> DataFrame:
+    docs, out = _subjects(spark, base)
+    return subjects.composition(out, docs, doc="doc_id")
