@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import cooccurrence, parsing, ranking, spans, splitting, subjects
+from codequarry.llm import cooccurrence, names, parsing, ranking, spans, splitting, subjects
 from codequarry.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,17 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 def p10_composition(spark: SparkSession, base: str) -> DataFrame:
     docs, out = _subjects(spark, base)
     return subjects.composition(out, docs, doc="doc_id")
+
+
+def _entities(spark: SparkSession, base: str) -> DataFrame:
+    return names.link_names(table(spark, base, "identities"), key="identity_id", name="name", names="names", email="email", known=table(spark, base, "people"))
+
+
+@query
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return names.pairs_within(_entities(spark, base), key="identity_id", entity="entity")
+
+
+@query
+def p5_entities(spark: SparkSession, base: str) -> DataFrame:
+    return _entities(spark, base)
