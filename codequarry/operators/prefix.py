@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.session import cut
+
 
 def hash_bucket(*cols: str | Column, bits: int = 8, seed: int = 0) -> tuple[Column, Column]:
     """(bucket, order) of a pseudo-random but repeatable order; bucket is monotone in order."""
@@ -71,7 +73,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, n_ou
     Null values are left out.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    counts = value_buckets(counts, keys, value, "__b", parts)
+    counts = cut(value_buckets(cut(counts), keys, value, "__b", parts))
     ranked = running_total(counts, keys, "__b", [value], F.col("__c"), "__before")
     ns = counts.groupBy(*keys).agg(F.sum("__c").alias(n_out))
     ren = {k: f"__n{i}" for i, k in enumerate(keys)}
