@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.operators.prefix import average_ranks, running_total, value_buckets
+from codequarry.session import cut
 
 # Acklam's published rational approximation of the inverse normal distribution (relative error 1.15e-9).
 A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
@@ -57,14 +58,17 @@ def combined_ranking(df: DataFrame, *, scope: str, key: str, scores: Mapping[str
     src = df.select(F.col(scope).alias("__scope"), F.col(key).alias("__key"), *cols, *([F.col(version).alias("__v")] if version else [F.lit(0).alias("__v")])).dropna(subset=["__scope", "__key"])
     newest = src.groupBy("__scope", "__key").agg(F.max(F.struct("__v", *scores)).alias("r"))
     items = newest.select("__scope", "__key", *(clean_score(F.col(f"r.{s}"), absurd).alias(s) for s in scores))
-    out = items
+    # one long table for all scores: their percentiles are found together, in one plan however many scores there are
+    items = cut(items)
     total = float(sum(scores.values()))
-    for s in scores:
-        ranks = average_ranks(items, ["__scope"], s, "__rk", "__n").select("__scope", s, inverse_normal((F.col("__rk") - 0.5) / F.col("__n")).alias(f"{s}_z"))
-        out = out.join(ranks, ["__scope", s], "left")
-    z = [F.coalesce(F.col(f"{s}_z"), F.lit(0.0)) for s in scores]
-    comb = sum((c * w for c, w in zip(z, scores.values())), F.lit(0.0)) / total
-    out = out.select("__scope", "__key", *(c.alias(f"{s}_z") for s, c in zip(scores, z)), F.round(comb, 9).alias("combined")).withColumn("__neg", -F.col("combined"))
-    out = value_buckets(out, ["__scope"], "__neg", "__b")
+    pairs = F.array(*(F.struct(F.lit(s).alias("s"), F.col(s).alias("v")) for s in scores))
+    long = items.select("__scope", "__key", F.explode(pairs).alias("x")).select("__scope", "__key", F.col("x.s").alias("__s"), F.col("x.v").alias("__x")).filter("__x is not null")
+    ranks = cut(average_ranks(long, ["__scope", "__s"], "__x", "__rk", "__n"))
+    z = long.join(ranks.withColumn("__z", inverse_normal((F.col("__rk") - 0.5) / F.col("__n"))).drop("__rk", "__n"), ["__scope", "__s", "__x"])
+    wide = z.groupBy("__scope", "__key").agg(*(F.max(F.when(F.col("__s") == s, F.col("__z"))).alias(f"{s}_z") for s in scores))
+    out = items.select("__scope", "__key").join(wide, ["__scope", "__key"], "left").fillna(0.0, [f"{s}_z" for s in scores])
+    comb = sum((F.col(f"{s}_z") * w for s, w in scores.items()), F.lit(0.0)) / total
+    out = cut(out.withColumn("combined", F.round(comb, 9)).withColumn("__neg", -F.col("combined")))
+    out = cut(value_buckets(out, ["__scope"], "__neg", "__b"))
     out = running_total(out, ["__scope"], "__b", ["__neg", "__key"], F.lit(1), "__before")
     return out.select(F.col("__scope").alias(scope), F.col("__key").alias(key), *(f"{s}_z" for s in scores), "combined", (F.col("__before") + 1).alias("position"))
