@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import cooccurrence, names, parsing, ranking, spans, splitting, subjects
+from codequarry.llm import cooccurrence, mixing, names, packing, parsing, provenance, ranking, spans, splitting, subjects, tokens
 from codequarry.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,41 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 @query
 def p5_entities(spark: SparkSession, base: str) -> DataFrame:
     return _entities(spark, base)
+
+
+def _provenance(spark: SparkSession, base: str) -> DataFrame:
+    return provenance.label_files(table(spark, base, "files"), table(spark, base, "file_text"), table(spark, base, "chunks"))
+
+
+@query
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return _provenance(spark, base).filter(~F.col("handwritten")).select("file_id")
+
+
+@query
+def p7_labels(spark: SparkSession, base: str) -> DataFrame:
+    return _provenance(spark, base)
+
+
+def _sizes(spark: SparkSession, base: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, base, "documents"), key="doc_id", text="text", keep=("source",))
+
+
+@query
+def p8_packed(spark: SparkSession, base: str) -> DataFrame:
+    return packing.fill_containers(_sizes(spark, base), key="doc_id", size="n_tokens")
+
+
+@query
+def p8_usage(spark: SparkSession, base: str) -> DataFrame:
+    return packing.usage(p8_packed(spark, base))
+
+
+@query
+def p9_mixture(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mix_sources(_sizes(spark, base), table(spark, base, "mix_targets"), key="doc_id", source="source", size="n_tokens")[0]
+
+
+@query
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mix_sources(_sizes(spark, base), table(spark, base, "mix_targets"), key="doc_id", source="source", size="n_tokens")[1]
