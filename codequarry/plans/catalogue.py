@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from codequarry.plans import relational, rows, textual
+from codequarry.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+for _module in (rows, relational, textual):
+    QUERIES |= _module.R.queries
+    SQL |= _module.R.sql
