@@ -56,6 +56,7 @@ def symbol_chunks(texts: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def cap(chunks: DataFrame, most: int = 50_000, order: str = "path") -> DataFrame:
     """Whole files in order until the file that reaches ``most`` chunks, that file included."""
-    per = chunks.groupBy(order).agg(F.count(F.lit(1)).alias("n"))
+    # every file has at least one chunk: the first ``most`` files are enough to find the one that reaches the cap
+    per = chunks.groupBy(order).agg(F.count(F.lit(1)).alias("n")).orderBy(order).limit(most)
     kept = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < most)
     return chunks.join(kept.select(order), order, "left_semi")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import is_bot, normalize_name
 from codequarry.operators.graph import components
+from codequarry.operators.prefix import global_rank
 
 
 def latest_delivery(commits: DataFrame, key: str = "commit_id", by: str = "ingested_at") -> DataFrame:
@@ -89,8 +90,8 @@ def resolve_people(identities: DataFrame, mailmap: DataFrame | None = None) -> D
         F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.coalesce("ns", F.array().cast("array<string>")))))).alias("names"), F.sum("commits").alias("commits"), F.max("last").alias("last_commit_at"),
     )
     bot = F.exists("names", lambda x: is_bot(x)) | F.exists("emails", lambda x: is_bot(x))
-    rn = F.row_number().over(Window.orderBy(F.desc("commits"), F.coalesce("name", F.lit("")), F.col("emails")[0]))
-    return g.select(F.concat(F.lit("a"), rn).alias("id"), "name", "emails", "names", bot.alias("bot"), "commits", "last_commit_at")
+    ranked = global_rank(g, [F.desc("commits"), F.coalesce("name", F.lit("")), F.col("emails")[0]], "__rn")
+    return ranked.select(F.concat(F.lit("a"), F.col("__rn")).alias("id"), "name", "emails", "names", bot.alias("bot"), "commits", "last_commit_at")
 
 
 def rename_aliases(renames: DataFrame) -> list[tuple[str, str, int]]:

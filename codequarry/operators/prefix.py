@@ -84,3 +84,19 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, n_ou
         cond = c if cond is None else cond & c
     ranked = ranked.join(ns, cond, "left") if keys else ranked.crossJoin(ns)
     return ranked.withColumn(out, F.col("__before") + (F.col("__c") + 1) / 2).drop("__b", "__before", "__c", *ren.values())
+
+
+def global_rank(df: DataFrame, order: Sequence[str | Column], out: str, parts: int = 0) -> DataFrame:
+    """Adds ``out``: the 1-based position of each row in a total order of the whole table, without a one-task window.
+
+    Rows are range-partitioned by the order and kept; a window numbers them within their partition, and the small table
+    of partition sizes gives the offsets. Equal rows get different, repeatable positions only if the order is total.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, *cols).withColumn("__p", F.spark_partition_id()))
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per partition: the single-task window sees as many rows as there are partitions
+    offs = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*cols))
+    return placed.withColumn("__i", inside).join(F.broadcast(offs), "__p").withColumn(out, F.col("__off") + F.col("__i")).drop("__p", "__i", "__off")

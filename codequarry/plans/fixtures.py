@@ -78,7 +78,7 @@ def _file(path: str, lines: int = 40, test: bool = False, gen: str | None = None
 def small_repo(spark):  # noqa: ANN001, ANN201
     files = [_file("pkg/__init__.py", 1), _file("pkg/core.py"), _file("pkg/used.py", 30), _file("pkg/domain.py", 50), _file("pkg/cli.py", 20), _file("run.py", 10), _file("scripts/tool.py", 9), _file("pkg/sub/core.py", 60), _file("pyproject.toml", 5, lang="toml"), _file("tests/test_used.py", 12, True)]
     texts = [("run.py", "if __name__ == '__main__':\n    pass\n"), ("pyproject.toml", '[project.scripts]\nx = "pkg.cli:main"\n'), *((f[0], "x = 1\n") for f in files if f[0] not in ("run.py", "pyproject.toml"))]
-    edges = [("pkg/core.py", "pkg/used.py", 3), ("pkg/used.py", "pkg/core.py", 4), ("tests/test_used.py", "pkg/sub/core.py", 2), ("pkg/core.py", "pkg/sub/core.py", 1) if False else ("tests/test_used.py", "pkg/used.py", 5)]
+    edges = [("pkg/core.py", "pkg/used.py", 3), ("pkg/used.py", "pkg/core.py", 4), ("tests/test_used.py", "pkg/sub/core.py", 2), ("tests/test_used.py", "pkg/used.py", 5)]
     return spark.createDataFrame(files, FILES), spark.createDataFrame(texts, "path string, text string"), spark.createDataFrame(edges, "src string, dst string, first_line int")
 
 

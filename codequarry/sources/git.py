@@ -101,7 +101,7 @@ class GitReader(DataSourceReader):
 
     def _history(self) -> Iterator[tuple]:
         fmt = "%x01%H%x00%aE%x00%aN%x00%at%x00%P%x00"
-        raw = git(self.path, "log", "--topo-order", "--name-status", "-M", "-z", "-m", "--first-parent" if False else "--no-color", f"--max-count={min(self.most, 2**31 - 1)}", f"--format={fmt}", "--diff-merges=off", "HEAD").decode("utf-8", "replace")
+        raw = git(self.path, "log", "--topo-order", "--name-status", "-M", "-z", "--no-color", f"--max-count={min(self.most, 2**31 - 1)}", f"--format={fmt}", "--diff-merges=off", "HEAD").decode("utf-8", "replace")
         for seq, block in enumerate(raw.split("\x01")[1:]):
             head = block.split("\x00", 5)
             sha, email, name, at, parents = head[:5]
