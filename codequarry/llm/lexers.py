@@ -36,10 +36,10 @@ def _conflict(text: str) -> Verdict:
 
 _PY = re.compile(
     r"#[^\n]*"
-    r"|[A-Za-z]{0,2}\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*(?P<t1>\"\"\"|\Z)"
-    r"|[A-Za-z]{0,2}'''(?:[^'\\]|\\.|'(?!''))*(?P<t2>'''|\Z)"
-    r"|\"(?:[^\"\\\n]|\\(?:.|\n))*(?P<s1>\"|(?=\n)|\Z|(?=\\))"
-    r"|'(?:[^'\\\n]|\\(?:.|\n))*(?P<s2>'|(?=\n)|\Z|(?=\\))"
+    r"|[A-Za-z]{0,2}\"\"\"(?>[^\"\\]+|\\.|\"(?!\"\"))*+(?P<t1>\"\"\"|\Z)"
+    r"|[A-Za-z]{0,2}'''(?>[^'\\]+|\\.|'(?!''))*+(?P<t2>'''|\Z)"
+    r"|\"(?>[^\"\\\n]+|\\(?:.|\n))*+(?P<s1>\"|(?=\n)|\Z|(?=\\))"
+    r"|'(?>[^'\\\n]+|\\(?:.|\n))*+(?P<s2>'|(?=\n)|\Z|(?=\\))"
     r"|(?P<b>[()\[\]{}])",
     re.S,
 )
@@ -80,7 +80,7 @@ def python_file(text: str) -> Verdict:
 
 # ---- JSON ---------------------------------------------------------------------------------------------------------
 
-_JSON = re.compile(r'[ \t\r\n]*(?:(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<v>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b)|(?P<p>[{}\[\],:])|(?P<e>\Z))')
+_JSON = re.compile(r'[ \t\r\n]*(?:(?P<s>"(?>[^"\\\x00-\x1f]+|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<v>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b)|(?P<p>[{}\[\],:])|(?P<e>\Z))')
 
 
 def json_file(text: str) -> Verdict:
@@ -136,7 +136,7 @@ def json_file(text: str) -> Verdict:
 # ---- TOML ---------------------------------------------------------------------------------------------------------
 
 _TOML = re.compile(
-    r'#[^\n]*|"""(?:[^\\"]|\\.|"(?!""))*(?P<t1>"{3,5}|\Z)|\'\'\'(?:[^\']|\'(?!\'\'))*(?P<t2>\'{3,5}|\Z)|"(?:[^"\\\n]|\\.)*(?P<s1>"|(?=\n)|\Z)|\'[^\'\n]*(?P<s2>\'|(?=\n)|\Z)|(?P<b>[\[\]{}])', re.S
+    r'#[^\n]*|"""(?>[^\\"]+|\\.|"(?!""))*+(?P<t1>"{3,5}|\Z)|\'\'\'(?>[^\']+|\'(?!\'\'))*+(?P<t2>\'{3,5}|\Z)|"(?>[^"\\\n]+|\\.)*+(?P<s1>"|(?=\n)|\Z)|\'[^\'\n]*(?P<s2>\'|(?=\n)|\Z)|(?P<b>[\[\]{}])', re.S
 )
 _AT = re.compile(r"at line (\d+)")
 
@@ -172,21 +172,22 @@ _JS = re.compile(
     r"(?P<nl>\r?\n\s*|[  \r])|(?P<ws>[ \t\f\v\xa0﻿]+)"
     r"|(?P<id>#?(?:[A-Za-z_$\xaa-῿Ⰰ-￯\U00010000-\U0010fffd]|\\u[\da-fA-F{])(?:[\w$‌‍]|\\u(?:\{[\da-fA-F]+\})?)*)"
     r"|(?P<num>(?:0[xXbBoO][\da-fA-F_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?)"
-    r"|(?P<com>//[^\n]*|/\*(?:[^*]|\*(?!/))*(?P<comend>\*/|\Z))"
-    r"|(?P<str>\"(?:[^\"\\\n]|\\(?:\r\n|.|\n))*(?P<d1>\"|)|'(?:[^'\\\n]|\\(?:\r\n|.|\n))*(?P<d2>'|))"
+    r"|(?P<com>//[^\n]*|/\*(?>[^*]+|\*(?!/))*+(?P<comend>\*/|\Z))"
+    r"|(?P<str>\"(?>[^\"\\\n]+|\\(?:\r\n|.|\n))*+(?P<d1>\"|)|'(?>[^'\\\n]+|\\(?:\r\n|.|\n))*+(?P<d2>'|))"
     r"|(?P<tick>`)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<semi>;)"
     r"|(?P<op>=>|\.\.\.|\?\.(?!\d)|>>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|===|!==|==|!=|<=|&&|\|\||\?\?|\+\+|--|\*\*|<<|[+\-*%&|^]=|[-+*/%&|^<>=!~?:,.@])",
     re.S,
 )
-_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(?P<end>`|\$\{|\Z)", re.S)
-_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*")
+_TEMPLATE = re.compile(r"(?>[^`\\$]+|\\.|\$(?!\{))*+(?P<end>`|\$\{|\Z)", re.S)
+_REGEX = re.compile(r"/(?![*/])(?>[^/\\\[\n]+|\\[^\n]|\[(?>[^\]\\\n]+|\\[^\n])*+\])++/[a-zA-Z]*")
 
 #: Reserved words of the language, by what may come next.
 _PAREN_KW = frozenset("if while switch with".split())
 _STATEMENT_KW = frozenset("break case catch class const continue debugger default do else export finally for function if import return switch throw try var while with enum".split())
-_OPERATOR_KW = frozenset("in instanceof".split())
+_OPERATOR_KW = frozenset("in instanceof extends".split())
 _PREFIX_KW = frozenset("typeof void delete new await yield".split())
 _BINDING_KW = frozenset("const var".split())
+_DANGLING = frozenset("typeof void delete new const var throw".split())
 _CONTEXT_JS = frozenset("async get set static let of as from accessor await yield".split())
 _CONTEXT_TS = _CONTEXT_JS | frozenset(
     "type interface namespace module declare abstract readonly public private protected override enum is keyof infer asserts satisfies unique out implements extends global require".split()
@@ -204,9 +205,10 @@ def script_file(text: str, typed: bool) -> Verdict:
     parenthesis, and (untyped) a colon that belongs to no object, label, case or conditional are grammar errors.
     """
     context, join = (_CONTEXT_TS, _JOIN_TS) if typed else (_CONTEXT_JS, _JOIN_JS)
+    dangling = _DANGLING - {"void"} if typed else _DANGLING  # void is a type as well
     at = text.find("\n") if text.startswith("#!") else 0
     n = len(text)
-    # stack entries: [bracket, kind, position, pending conditionals]; kinds: block object class control paren list tmpl switch
+    # stack entries: [bracket, kind, position, pending conditionals]; kinds: block object class control paren list tmpl
     stack: list[list] = []
     top = ["", "block", 0, 0]
     prev, pk = "", "start"  # last token and its class: start id num str close op semi kw
@@ -265,7 +267,7 @@ def script_file(text: str, typed: bool) -> Verdict:
             return "grammar", _line(text, here)
         if kind in ("id", "num", "str"):
             after_dot = prev in (".", "?.") and pk == "op"
-            is_kw = kind == "id" and not after_dot and (tok in _STATEMENT_KW or tok in _PREFIX_KW)
+            is_kw = kind == "id" and not after_dot and (tok in _STATEMENT_KW or tok in _PREFIX_KW) and not (typed and prev == "as" and tok == "const")
             if kind == "str" and (len(tok) < 2 or tok[-1] != tok[0]):
                 return "unterminated", _line(text, here)
             if kind == "id" and not after_dot and tok in _OPERATOR_KW and pk != "op" and pk != "start" and pk != "semi":
@@ -277,7 +279,7 @@ def script_file(text: str, typed: bool) -> Verdict:
                 if kind != "id" and pk == "id" and prev in ("get", "set", "static", "async", "let") and kind == "num":
                     adjacent = True
             elif pk == "close" and prev == ")":
-                adjacent = prev_paren != "control" and prev_paren != "decor" and not (kind == "id" and tok in join) and not (typed and top[1] != "paren")
+                adjacent = prev_paren != "control" and not (kind == "id" and tok in join) and not (typed and top[1] != "paren")
             elif pk == "close" and prev == "]":
                 adjacent = not (kind == "id" and tok in join) and not typed
             elif pk == "close" and prev == "}" and prev_paren in ("object",):
@@ -288,7 +290,7 @@ def script_file(text: str, typed: bool) -> Verdict:
                 return "grammar", _line(text, here)
             if prev in _BINDING_KW and pk == "kw" and (kind != "id" or (is_kw and tok not in ("enum", "await", "yield"))):
                 return "grammar", _line(text, here)
-            starts = pk in ("start", "semi") or (pk == "close" and prev == "}" and prev_paren != "object") or (pk == "open" and prev == "{") or fresh or (pk == "op" and prev == ":" and top[1] in ("block", "switch"))
+            starts = pk in ("start", "semi") or (pk == "close" and prev == "}" and prev_paren != "object") or (pk == "open" and prev == "{") or fresh or (pk == "op" and prev == ":" and top[1] == "block")
             if is_kw and not (top[1] in ("object", "class") and top[0] == "{" and kind == "id" and (pk in ("semi", "open", "close") or prev == "," or prev in context or (fresh and top[1] == "class"))):
                 if tok == "enum" and not typed:
                     return "grammar", _line(text, here)
@@ -303,7 +305,7 @@ def script_file(text: str, typed: bool) -> Verdict:
             else:
                 if typed and tok in ("interface", "namespace", "module") and starts:
                     cls = tok == "interface" or cls
-                label = starts and (kind != "num" or True)
+                label = starts
                 prev, pk = tok, kind
                 prev_paren, fresh = "", False
                 continue
@@ -324,7 +326,7 @@ def script_file(text: str, typed: bool) -> Verdict:
                 if cls:
                     k, cls = "class", False
                 elif pk in ("start", "semi") or (pk == "close" and prev in ")}") or (pk == "open" and prev == "{" and top[1] != "object") or prev in ("=>", "else", "do", "try", "finally", "catch") or (pk == "id" and fresh and top[1] == "block"):
-                    k = "switch" if False else "block"
+                    k = "block"
                 elif pk == "op" and prev == ":" and top[1] == "block" and not top[3] and not typed:
                     k = "block"
                 elif typed and pk in ("id", "op", "str", "num") and (pk != "op" or prev in (">", ":", "|", "&")):
@@ -360,18 +362,16 @@ def script_file(text: str, typed: bool) -> Verdict:
                 continue
             if not stack or top[0] != _PAIR[tok]:
                 return "unbalanced", _line(text, here)
-            if pk == "op" and prev in _BINARY and not (prev in ("*", "!") and typed) or pk == "kw" and prev in ("typeof", "void", "delete", "new", "const", "var", "throw"):
+            if pk == "op" and prev in _BINARY and not (prev in ("*", "!") and typed) or pk == "kw" and prev in dangling:
                 return "grammar", _line(text, here)
             if pk == "op" and prev in ("<", ">", ":", "?") and not typed and tok != "}":
                 return "grammar", _line(text, here)
             prev_paren = top[1]
-            if tok == ")" and stack and False:
-                prev_paren = "decor"
             top = stack.pop()
             prev, pk, fresh, case = tok, "close", False, False
             continue
         if kind == "semi":
-            if pk == "op" and (prev in _BINARY and not (prev in ("*", "!") and typed) or (prev in ("<", ">", ":", "?", ",") and not typed)) or pk == "kw" and prev in ("typeof", "void", "delete", "new", "const", "var", "throw", "import", "export", "class", "function"):
+            if pk == "op" and (prev in _BINARY and not (prev in ("*", "!") and typed) or (prev in ("<", ">", ":", "?", ",") and not typed)) or pk == "kw" and (prev in dangling or prev in ("import", "export", "class", "function")):
                 return "grammar", _line(text, here)
             if top[0] == "[" or top[0] == "`" or (top[0] == "(" and top[1] != "control") or (top[1] == "object" and not typed):
                 return "grammar", _line(text, here)
@@ -379,6 +379,8 @@ def script_file(text: str, typed: bool) -> Verdict:
             continue
         # operators
         nothing_before = pk in ("start", "semi") or (pk == "op" and prev not in ("++", "--")) or (pk == "open")
+        if pk == "kw" and prev in _BINDING_KW:
+            return "grammar", _line(text, here)
         if tok in _NEVER_FIRST and nothing_before and not (tok == "=>" and typed) and not (prev in (">", "?", "!") and typed) and not (prev == "*"):
             return "grammar", _line(text, here)
         if tok in ("<", ">", "*", "?", ":") and nothing_before and not typed and not (tok == "*" and (top[1] in ("object", "class") or prev in (",",))) and not (tok == ":" and prev == "?"):
@@ -402,15 +404,11 @@ def script_file(text: str, typed: bool) -> Verdict:
                 prev, pk, prev_paren, fresh = ";", "semi", "", False
                 continue
             elif not typed:
-                if top[1] == "object":
-                    pass
-                elif top[1] == "block" and pk == "id" and label_was:
+                if top[1] == "block" and pk == "id" and label_was:
                     prev, pk, prev_paren, fresh = ";", "semi", "", False
                     continue
-                else:
+                if top[1] != "object":
                     return "grammar", _line(text, here)
-        elif tok == "@":
-            pass
         prev, pk, prev_paren, fresh = tok, "op", "", False
     if stack:
         return "premature_end", _line(text, top[2])

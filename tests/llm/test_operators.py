@@ -1,0 +1,365 @@
+"""Training-data operators against brute force, exact round trips, and their defined results on odd input."""
+
+import collections
+import itertools
+import math
+import random
+import statistics
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from codequarry.llm import cooccurrence, lexers, mixing, names, packing, parsing, provenance, ranking, spans, splitting, subjects, tokens
+
+
+def rows(df, *cols):
+    return [tuple(r) for r in df.select(*cols).collect()]
+
+
+# ---- 1 ----
+def test_pairs_against_brute_force(spark):
+    rnd = random.Random(5)
+    data = []
+    for b in range(400):
+        scope = "hot" if b % 3 else "cold"
+        k = rnd.randrange(1, 8)
+        data += [(scope, f"b{b}", f"i{min(int(rnd.expovariate(0.15)), 40)}") for _ in range(k)]
+    data += [("hot", "sweep", f"x{i}") for i in range(40)] + [(None, "b1", "i1"), ("hot", None, "i1"), ("hot", "b1", None)] + data[:30]
+    df = spark.createDataFrame(data, "s string, b string, i string").withColumn("n", F.lit("clash"))
+    got = {(r["scope"], r["item_a"], r["item_b"]): (r["n"], r["n_a"], r["n_b"], r["together"]) for r in cooccurrence.together(df, scope="s", basket="b", item="i", min_together=3, min_lift=1.2, heavy_share=0.2, block=64).collect()}
+    want = {}
+    for scope in ("hot", "cold"):
+        baskets = collections.defaultdict(set)
+        for s, b, i in data:
+            if s == scope and b and i:
+                baskets[b].add(i)
+        baskets = {b: x for b, x in baskets.items() if len(x) <= 30}
+        n, one, two = len(baskets), collections.Counter(), collections.Counter()
+        for x in baskets.values():
+            one.update(x)
+            two.update(itertools.combinations(sorted(x), 2))
+        for (a, b), m in two.items():
+            if m >= 3 and m * n >= 1.2 * one[a] * one[b]:
+                want[scope, a, b] = (n, one[a], one[b], m)
+    assert got == want and len(want) > 20
+
+
+def test_pairs_of_nothing(spark):
+    e = spark.createDataFrame([], "s string, b string, i string")
+    assert cooccurrence.together(e, scope="s", basket="b", item="i").count() == 0
+
+
+# ---- 2 ----
+def test_inverse_normal(spark):
+    ps = [0.0005, 0.01, 0.3, 0.5, 0.77, 0.99, 0.9999]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(ranking.inverse_normal(F.col("p"))).collect()]
+    assert got == pytest.approx([statistics.NormalDist().inv_cdf(p) for p in ps], abs=1e-6)
+
+
+def test_combined_ranking(spark):
+    rnd = random.Random(2)
+    data = [("r", f"f{i}", 10 ** rnd.uniform(0, 6), rnd.random(), 1) for i in range(50)]
+    data += [("r", "f0", 5.0, 0.5, 0), ("r", "gone", None, float("nan"), 1), ("r", "neg", -1.0, 1e15, 1), ("s", "only", 1.0, 1.0, 1), (None, "x", 1.0, 1.0, 1), ("r", None, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(data, "repo string, path string, a double, b double, v int")
+    got = ranking.combined_ranking(df, scope="repo", key="path", scores={"a": 1.0, "b": 1.0}, version="v").collect()
+    mine = [r for r in got if r["repo"] == "r"]
+    assert sorted(r["position"] for r in mine) == list(range(1, 53)) and [r["position"] for r in got if r["repo"] == "s"] == [1]
+
+    def z(vals, v):
+        if v is None:
+            return 0.0
+        less, same = sum(x < v for x in vals), sum(x == v for x in vals)
+        return statistics.NormalDist().inv_cdf((less + (same + 1) / 2 - 0.5) / len(vals))
+
+    clean = {p: (a if a is not None and 0 <= a < 1e12 else None, b if b == b and 0 <= b < 1e12 else None) for s, p, a, b, v in data if s == "r" and p and v == 1}
+    va, vb = [x for x, _ in clean.values() if x is not None], [x for _, x in clean.values() if x is not None]
+    want = {p: (z(va, a) + z(vb, b)) / 2 for p, (a, b) in clean.items()}
+    for r in mine:
+        assert r["combined"] == pytest.approx(want[r["path"]], abs=1e-6)
+    assert [r["path"] for r in sorted(mine, key=lambda r: r["position"])] == [r["path"] for r in sorted(mine, key=lambda r: (-r["combined"], r["path"]))]
+    # a score in other units changes nothing
+    again = ranking.combined_ranking(df.withColumn("a", F.col("a") * 100), scope="repo", key="path", scores={"a": 1.0, "b": 1.0}, version="v").filter("repo = 'r' AND path <> 'neg'")
+    assert dict(rows(again, "path", "position")) == {r["path"]: r["position"] for r in mine if r["path"] != "neg"}
+    assert ranking.combined_ranking(df.limit(0), scope="repo", key="path", scores={"a": 1.0}).count() == 0
+
+
+# ---- 3 ----
+LINE = st.text(alphabet="ab .,#\t", max_size=60)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(LINE, min_size=1, max_size=60), st.sampled_from(["\n", "\r\n"]), st.integers(40, 200), st.integers(0, 4), st.sampled_from(["function", "text"]))
+def test_pieces_cover_the_body(lines, end, limit, overlap, kind):
+    body = end.join(lines)
+    pieces = splitting.split_points(body, kind, limit, overlap)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(body)
+    for (a, b), (c, d) in zip(pieces, pieces[1:]):
+        assert a < c <= b < d
+    for a, b in pieces:
+        assert b - a <= limit
+        assert not (0 < b < len(body) and body[b - 1 : b + 1] == "\r\n")
+    if overlap == 0:
+        assert "".join(body[a:b] for a, b in pieces) == body
+
+
+def test_split_prefers_natural_boundaries(spark):
+    body = "\n\n".join(f"def f{i}():\n" + "    x = 1\n" * 20 for i in range(40))
+    df = spark.createDataFrame([(1, body, "function", 10, 9), (2, "short", "text", 1, 1), (3, None, "text", None, None), (4, "x" * 9000, "text", None, 7), (5, "", "text", 1, 1)], "id long, t string, k string, s int, e int")
+    got = splitting.split_oversized(df, key="id", text="t", kind="k", start_line="s", end_line="e", overlap_lines=0).collect()
+    one = [r for r in got if r["item_id"] == 1]
+    assert len(one) >= 2 and all(r["body"].startswith("def ") for r in one) and one[0]["start_line"] == 9
+    assert "".join(r["body"] for r in sorted(one, key=lambda r: r["piece"])) == body
+    four = [r for r in got if r["item_id"] == 4]
+    assert {r["n_chars"] <= 4000 for r in four} == {True} and {r["start_line"] for r in four} == {7}
+    assert {r["item_id"] for r in got} == {1, 4}
+    with pytest.raises(ValueError):
+        splitting.split_oversized(df, key="id", text="t", limit=2)
+
+
+# ---- 4 ----
+@pytest.mark.parametrize("few", [48, 1])
+def test_spans_against_brute_force(spark, few):
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abcdefgh é\n") for _ in range(n))
+    shared = [word(n) for n in (19, 20, 21, 40, 90)]
+    texts = [word(rnd.randrange(0, 60)) + (rnd.choice(shared) if rnd.random() < 0.7 else "") + word(rnd.randrange(0, 60)) for _ in range(60)]
+    texts += ["", None, texts[3], texts[3], "z" * 100, "z" * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("h", F.lit(1))
+    pairs, cover, _ = spans.shared_spans(df, key="id", text="t", length=20, few=few)
+    grams = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for p in range(len(t or "") - 19):
+            grams[t[p : p + 20]].add(i)
+    want = {p for g in grams.values() for p in itertools.combinations(sorted(g), 2)}
+    got = rows(pairs, "id_a", "id_b")
+    assert set(got) == want and len(got) == len(want) and len(want) > 100
+    for r in cover.collect():
+        t, hit = texts[r["id"]], set()
+        for p in range(len(t) - 19):
+            if len(grams[t[p : p + 20]]) > 1:
+                hit.update(range(p, p + 20))
+        assert r["shared_chars"] == len(hit) and r["n_chars"] == len(t)
+
+
+def test_spans_of_nothing(spark):
+    pairs, cover, passages = spans.shared_spans(spark.createDataFrame([(1, None), (2, "short")], "id long, t string"), key="id", text="t")
+    assert pairs.count() == passages.count() == 0 and rows(cover, "id", "share") == [(2, 0.0)]
+
+
+# ---- 5 ----
+def test_names(spark):
+    data = [
+        (1, "Greta Halimfoeini", "greta.halimfoeini@a.example"), (2, "Halimfoeini, Greta", "ghalimfoeini@b.example"), (3, "Gréta  HALIMFOEINI", None), (4, "Greta Halmifoeini", "build@ci.invalid"), (5, "G. Halimfoeini", "halimfoeinig@c.example"),
+        (6, "Kofi Halimfoeini", "kofi.halimfoeini@a.example"), (7, "GretaHalimfoeini", "build@ci.invalid"), (8, None, "greta.halimf77@z.example"), (9, "greta", "greta.halimfoeini@bluefox12.example"), (10, "bluefox12", "x@y.example"),
+        (11, "Parangoley Software GmbH", "oss@parangoley.example"), (12, "PARANGOLEY SOF.", "hello@parangoley.example"), (13, "unknown", None), (14, None, None), (15, "", ""), (16, "Kim", "amber433@q.example"), (17, "Tim Wilikdreini", "wilikdreinit@a.example"), (18, "Timothy Wilikdreini", "timothy_wilikdreini@b.example"),
+    ]
+    df = spark.createDataFrame(data, "id long, name string, email string").withColumn("names", F.lit(None).cast("array<string>")).withColumn("form", F.lit(1))
+    got = dict(rows(names.link_names(df, key="id", name="name", names="names", email="email"), "id", "entity"))
+    greta = {i for i, e in got.items() if e == got[1]}
+    assert {1, 2, 3, 4, 5, 7, 8, 9, 10} <= greta and not greta & {6, 11, 13, 14, 15, 16}
+    assert got[11] == got[12] and got[17] == got[18] and got[6] != got[1]
+    assert names.link_names(df.limit(0), key="id", name="name", names="names", email="email").count() == 0
+
+
+def test_known_people_join_forms(spark):
+    df = spark.createDataFrame([(1, "Ann Onesurname", "ann.onesurname@a.x"), (2, "Ann Twosurname", "ann.twosurname@a.x")], "id long, name string, email string")
+    known = spark.createDataFrame([("p", ["ann.onesurname@a.x", "ANN.twosurname@a.x"])], "id string, emails array<string>")
+    links = names.link_names(df, key="id", name="name", names=None, email="email", known=known)
+    assert rows(names.pairs_within(links, key="id", entity="entity"), "id_a", "id_b") == [(1, 2)]
+
+
+# ---- 6 ----
+@pytest.mark.parametrize(
+    ("lang", "text", "kind"),
+    [
+        ("python", "", None), ("python", "x = 1\n", None), ("python", "def f(:\n", "premature_end"), ("python", "x = 'a\n", "unterminated"), ("python", "x = (1]\n", "unbalanced"), ("python", "if x\n  y\n", "grammar"), ("python", '"""\n<<<<<<< HEAD\n"""\n', None), ("python", "<<<<<<< HEAD\nx\n=======\n", "conflict"), ("python", "x = f\"{a['b']}\"\n", None), ("python", "﻿x = 1\r\n", None),
+        ("json", "", "premature_end"), ("json", '{"a": [1, 2]}', None), ("json", "{'a': 1}", "grammar"), ("json", '{"a": 1,}', "grammar"), ("json", "NaN", "grammar"), ("json", '{"a": 1} {"b": 2}', "grammar"), ("json", '{"a": "b', "unterminated"), ("json", '{"a": [1', "premature_end"), ("json", " 1 ", None), ("json", '[1}', "unbalanced"),
+        ("toml", "a = 1\n[b]\nc = 'x'\n", None), ("toml", "a =\n", "grammar"), ("toml", "a = [1, 2\n", "premature_end"), ("toml", 'a = "x\n', "unterminated"), ("toml", "", None),
+        ("javascript", "", None), ("javascript", "const a = `x ${b} 1`;\n", None), ("javascript", "export interface X { a: number }", "grammar"), ("javascript", "function f(a: number) {}", "grammar"), ("javascript", "f(1, {\n", "premature_end"), ("javascript", "a = 'x", "unterminated"), ("javascript", "<html></html>", "grammar"), ("javascript", "def f(x):\n  pass", "grammar"), ("javascript", "a = b / c / d; e = /[/]/g.test(f)", None), ("javascript", "a = 1\n<<<<<<< HEAD\n", "conflict"), ("javascript", "/* <<<<<<< HEAD */", None),
+        ("typescript", "export interface X<T> { a?: number[]; (b: string): void }", None), ("typescript", "let a = 1; }", "unbalanced"), ("typescript", "let a: = 1;", "grammar"), ("typescript", "const v = { a: 1 } as const;", None),
+    ],
+)
+def test_lexers(lang, text, kind):
+    got = lexers.check(lang, text)
+    assert (got and got[0]) == kind
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=8), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(max_size=4), c, max_size=3), max_leaves=8), st.integers(0, 400))
+def test_json_automaton_agrees_with_the_library(value, cut):
+    import json
+
+    text = json.dumps(value)[: max(0, cut)]
+    try:
+        json.loads(text, parse_constant=lambda _: 1 / 0)
+        ok = True
+    except (ValueError, ZeroDivisionError):
+        ok = False
+    assert (lexers.check("json", text) is None) == ok
+
+
+def test_parse_rates(spark):
+    df = spark.createDataFrame([(1, "r", "a.py", "x ="), (2, "r", "b.py", None), (3, "r", "c.txt", "("), (4, "r", "d.json", "{}"), (5, "s", "e.toml", "a ="), (6, "s", None, "x")], "file_id long, repo string, path string, text string").withColumn("language", F.lit("x"))
+    f = parsing.parse_files(df, key="file_id", repo="repo", path="path", text="text")
+    assert {r["file_id"]: r["parses"] for r in f.collect()} == {1: False, 2: True, 4: True, 5: False}
+    assert {(r["repo"], r["language"]): (r["files"], r["failing"], r["rate"]) for r in parsing.parse_rates(f, repo="repo").collect()} == {("r", "python"): (2, 1, 0.5), ("r", "json"): (1, 0, 0.0), ("s", "toml"): (1, 1, 1.0)}
+
+
+# ---- 7 ----
+def test_provenance(spark):
+    code = "\n".join(f"def f{i}(a):\n    return a + {i} * offset\n" for i in range(12))
+    lib = "\n".join(f"export function g{i}(a) {{\n  return a * {i} + base;\n}}" for i in range(12))
+    mini = "function a(b){return b*2}var c=1;" * 60
+    files = [
+        ("r", "pkg/a.py", code, 0), ("r", "pkg/b.py", "# Code generated by gen. DO NOT EDIT.\n" + code, 1), ("r", "pkg/c.py", "# Written by hand. There is no generator for this file.\n" + code + "x = 1", 0), ("r", "pkg/d_pb2.py", code, 1), ("r", "vendor/lib/x.js", lib, 1), ("s", "web/copied.js", "/* note */\n" + lib, 1),
+        ("r", "static/app.js", mini, 1), ("r", "dist/app.js", lib.replace("g", "h"), 1), ("r", "pkg/dist/normal.py", code + "y = 2", 0), ("r", "pkg/vendors/p.py", code + "z = 3", 0), ("r", "pkg/data.py", "import base64\nD = base64.b64decode(\n" + "    'QUJD" + "QUJDREVG" * 20 + "'\n" * 8 + ")\n", 1), ("r", "web1/package-lock.json", "{}", 1), ("r", "x/__pycache__/m.pyc", None, 1), ("r", "README.md", "# Title\n\nGenerated prose about code.\n", 0), ("r", None, None, 0), ("r", "tool.py", code + "def h(n):\n    return '# DO NOT EDIT: ' + n\n", 0), ("r", "e.py", "", 0),
+    ]
+    df = spark.createDataFrame([(i, r, p, None, False) for i, (r, p, _, _) in enumerate(files)], "file_id long, repo string, path string, generated_reason string, b boolean")
+    t = spark.createDataFrame([(i, r, p, x) for i, (r, p, x, _) in enumerate(files) if x is not None], "file_id long, repo string, path string, text string")
+    got = {r["file_id"]: r for r in provenance.label_files(df, t).collect()}
+    assert len(got) == len(files)
+    for i, (_, p, _, case) in enumerate(files):
+        assert got[i]["handwritten"] == (not case), (p, got[i])
+    assert got[4]["label"] == got[5]["label"] == "vendored" and got[6]["label"] == "minified" and got[1]["label"] == "generated" and got[10]["label"] == "blob"
+    assert provenance.label_files(df.limit(0), t.limit(0)).count() == 0
+
+
+def test_belief_propagation_is_exact(spark):
+    """Marginals against enumeration on a small tree."""
+    import numpy as np
+
+    df = spark.createDataFrame([(1, "r", "a/x.py"), (2, "r", "a/b/y.js"), (3, "r", "a/b/z.min.js")], "file_id long, repo string, path string").withColumn("generated_reason", F.lit(None).cast("string"))
+    t = spark.createDataFrame([], "file_id long, repo string, path string, text string")
+    got = {r["file_id"]: r["p_handwritten"] for r in provenance.label_files(df, t).collect()}
+    pri = np.array(provenance.PRIOR)
+    u = {1: pri + [0.5, 0, 0, 0, 0], 2: pri, 3: pri + [0, 0, 13.0, 0, 0]}
+    p = {1: 0.0, 2: 0.0, 3: 0.0}
+    z = 0.0
+    for root, a, b, x, y, m in itertools.product(range(5), repeat=6):
+        w = math.exp(provenance.PSI[root][a] + provenance.PSI[a][b] + provenance.PSI[a][x] + provenance.PSI[b][y] + provenance.PSI[b][m] + u[1][x] + u[2][y] + u[3][m])
+        z += w
+        for k, lab in ((1, x), (2, y), (3, m)):
+            p[k] += w * (lab == 0)
+    for k in p:
+        assert got[k] == pytest.approx(p[k] / z, abs=1e-5)
+
+
+# ---- 8 ----
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=20))
+def test_packing_histogram(counts):
+    segs, total = packing.pack_histogram(counts, 64)
+    load, placed = collections.Counter(), collections.Counter()
+    for length, rank, first, n in segs:
+        assert placed[length] == rank
+        placed[length] += n
+        for c in range(first, first + n):
+            load[c] += length
+    assert placed == collections.Counter(counts) and set(load) == set(range(total)) and all(v <= 64 for v in load.values())
+    assert total <= 2 * math.ceil(sum(k * v for k, v in counts.items()) / 64) + 1
+
+
+def test_containers(spark):
+    rnd = random.Random(4)
+    sizes = [(i, rnd.choice([1, 7, 30, 100, 101, 250, 0])) for i in range(500)] + [(900, None), (901, 1000), (1, 7)]
+    df = spark.createDataFrame(sizes, "d long, n int")
+    got = packing.fill_containers(df, key="d", size="n", capacity=100).collect()
+    load = collections.Counter()
+    for r in got:
+        load[r["container"]] += r["size"]
+    assert max(load.values()) <= 100 and set(load) == set(range(len(load)))
+    total = collections.Counter()
+    for r in got:
+        total[r["d"]] += r["size"]
+    want = collections.Counter()
+    for d, n in sizes:
+        want[d] += n or 0
+    assert total == +want
+    for d, n in sizes:
+        if n and n <= 100 and d != 1:
+            assert sum(r["d"] == d for r in got) == 1
+    u = packing.usage(packing.fill_containers(df, key="d", size="n", capacity=100), capacity=100).first()
+    assert u["tokens"] == sum(load.values()) and u["containers"] == len(load)
+    assert packing.fill_containers(df.limit(0), key="d", size="n").count() == 0
+
+
+def test_tokens(spark):
+    pytest.importorskip("tiktoken")
+    long = "word café 12 " * 30_000 + "x" * 50
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (4, long)], "d long, t string")
+    got = dict(rows(tokens.count_tokens(df, key="d", text="t"), "d", "n_tokens"))
+    enc = tokens._encoder(open(tokens.VOCABULARY, "rb").read())
+    assert got == {1: 0, 2: 0, 3: 2, 4: len(enc.encode_ordinary(long))}
+
+
+# ---- 9 ----
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=8), st.integers(20, 400))
+def test_schedule_deviates_less_than_a_block(parts, slots):
+    w = {f"s{i}": p / sum(parts) for i, p in enumerate(parts)}
+    done = collections.Counter()
+    at = {t: s for s, _, t in mixing.pfair_schedule(w, slots)}
+    for t in range(slots):
+        if t in at:
+            done[at[t]] += 1
+        for s, x in w.items():
+            assert abs(done[s] - x * (t + 1)) < 1 + 1e-6
+
+
+def test_mixture(spark):
+    rnd = random.Random(9)
+    docs = [(i, s, rnd.randrange(1, 60)) for i, s in enumerate(rnd.choices(["a", "B ", "c", "other", None], [70, 20, 5, 4, 1], k=3000))] + [(9001, "a", 0), (9002, "a", None)]
+    df = spark.createDataFrame(docs, "d long, source string, n int").withColumn("slot", F.lit(1))
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.15, 4), ("none", 0.05, 3)], "source string, target_share double, max_repeats int")
+    m, rep = mixing.mix_sources(df, t, key="d", source="source", size="n")
+    got = m.collect()
+    shares = {r["source"]: r for r in rep.collect()}
+    assert set(shares) == {"a", "b", "c", "none"} and shares["none"]["tokens"] == 0
+    for s, w in (("a", 0.5 / 0.95), ("b", 0.3 / 0.95), ("c", 0.15 / 0.95)):
+        assert shares[s]["share"] == pytest.approx(w, abs=0.004)
+    times = collections.Counter((r["source"], r["d"]) for r in got)
+    cap = {"a": 1, "b": 2, "c": 4}
+    assert all(n <= cap[s] for (s, _), n in times.items()) and len({(r["d"], r["repeat"]) for r in got}) == len(got)
+    m2, rep2 = mixing.mix_sources(df.limit(0), t, key="d", source="source", size="n")
+    assert m2.count() == 0 and all(r["tokens"] == 0 for r in rep2.collect())
+
+
+# ---- 10 ----
+def make_docs(n, seed):
+    rnd = random.Random(seed)
+    words = {"law": ["verdict", "statute", "tribunal", "notary", "appeal"], "music": ["violin", "chord", "octave", "choir", "tempo"], "sport": ["goalkeeper", "referee", "medal", "javelin", "sprint"]}
+    out = []
+    for i in range(n):
+        k = rnd.choice([0, 1, 1, 1, 2])
+        ss = rnd.sample(sorted(words), k)
+        body = [f"The {rnd.choice(words[s])} view now reads {rnd.choice(words[s])} before it lists x{rnd.randrange(99)}." for s in ss for _ in range(rnd.randrange(2, 6))]
+        body += ["Bump the version and fix a wrong path." for _ in range(rnd.randrange(3))]
+        if ss and rnd.random() < 0.3:
+            other = rnd.choice([s for s in words if s not in ss])
+            body.append(f"Same trick as in the {rnd.choice(words[other])} demo.")
+        rnd.shuffle(body)
+        out.append((i, " ".join(body) or "Typo in the heading.", "docs", ss))
+    return out
+
+
+def test_subjects_on_held_out_documents(spark):
+    docs = make_docs(900, 1)
+    df = spark.createDataFrame([d[:3] for d in docs] + [(9000, None, "docs"), (9001, " \n", None), (9002, docs[3][1], None)], "doc_id long, text string, source string").withColumn("subject", F.lit("clash"))
+    lab = spark.createDataFrame([(i, s, 1) for i, _, _, ss in docs[:300] for s in ss] + [(5, "unknown subject", 1), (77777, "law", 1), (None, "law", 1)], "doc_id long, subject string, x int")
+    model = subjects.train(df, lab, ["law", "music", "sport"], doc="doc_id", text="text", source="source", subject="subject")
+    got = collections.defaultdict(set)
+    for d, s in rows(subjects.assign(df, model, doc="doc_id", text="text", source="source"), "doc_id", "subject"):
+        got[d].add(s)
+    right = sum(got[i] == set(ss) for i, _, _, ss in docs[300:])
+    assert right / 600 > 0.93 and not got[9000] and not got[9001] and got[9002] == got[3]
+    comp = dict(rows(subjects.composition(subjects.assign(df, model, doc="doc_id", text="text", source="source"), df, doc="doc_id"), "subject", "share"))
+    assert sum(comp.values()) == pytest.approx(1, abs=1e-4)
+
+
+def test_subjects_without_labels(spark):
+    df = spark.createDataFrame([(1, "a verdict", "docs")], "doc_id long, text string, source string")
+    lab = spark.createDataFrame([], "doc_id long, subject string")
+    model = subjects.train(df, lab, ["law"], doc="doc_id", text="text", source="source", subject="subject")
+    assert subjects.assign(df, model, doc="doc_id", text="text", source="source").count() == 0
