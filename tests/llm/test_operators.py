@@ -214,7 +214,7 @@ def test_provenance(spark):
     mini = "function a(b){return b*2}var c=1;" * 60
     files = [
         ("r", "pkg/a.py", code, 0), ("r", "pkg/b.py", "# Code generated by gen. DO NOT EDIT.\n" + code, 1), ("r", "pkg/c.py", "# Written by hand. There is no generator for this file.\n" + code + "x = 1", 0), ("r", "pkg/d_pb2.py", code, 1), ("r", "vendor/lib/x.js", lib, 1), ("s", "web/copied.js", "/* note */\n" + lib, 1),
-        ("r", "static/app.js", mini, 1), ("r", "dist/app.js", lib.replace("g", "h"), 1), ("r", "pkg/dist/normal.py", code + "y = 2", 0), ("r", "pkg/vendors/p.py", code + "z = 3", 0), ("r", "pkg/data.py", "import base64\nD = base64.b64decode(\n" + "    'QUJD" + "QUJDREVG" * 20 + "'\n" * 8 + ")\n", 1), ("r", "web1/package-lock.json", "{}", 1), ("r", "x/__pycache__/m.pyc", None, 1), ("r", "README.md", "# Title\n\nGenerated prose about code.\n", 0), ("r", None, None, 0), ("r", "tool.py", code + "def h(n):\n    return '# DO NOT EDIT: ' + n\n", 0), ("r", "e.py", "", 0),
+        ("r", "static/app.js", mini, 1), ("r", "dist/app.js", lib.replace("g", "h"), 1), ("r", "pkg/dist/normal.py", code + "y = 2", 0), ("r", "pkg/vendors/p.py", code + "z = 3", 0), ("r", "pkg/data.py", "import base64\nD = base64.b64decode(\n" + ("    '" + "QUJDREVG" * 20 + "'\n") * 8 + ")\n", 1), ("r", "web1/package-lock.json", "{}", 1), ("r", "x/__pycache__/m.pyc", None, 1), ("r", "README.md", "# Title\n\nGenerated prose about code.\n", 0), ("r", None, None, 0), ("r", "tool.py", code + "def h(n):\n    return '# DO NOT EDIT: ' + n\n", 0), ("r", "e.py", "", 0),
     ]
     df = spark.createDataFrame([(i, r, p, None, False) for i, (r, p, _, _) in enumerate(files)], "file_id long, repo string, path string, generated_reason string, b boolean")
     t = spark.createDataFrame([(i, r, p, x) for i, (r, p, x, _) in enumerate(files) if x is not None], "file_id long, repo string, path string, text string")
