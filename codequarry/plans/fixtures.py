@@ -30,7 +30,7 @@ def case(name: str, files: list[str], stmts: list[tuple], expected: list[tuple])
         fl = spark.createDataFrame([(p,) for p in files], "path string")
         return imports.resolve_imports(im, fl).select("path", "ord", F.col("target_path").alias("target"), "external", "method")
 
-    R.add(name, fn, _values(expected, "path, ord, target, external, method"))
+    R.add(name, fn, f"SELECT path, ord, target::varchar AS target, external, method::varchar AS method FROM ({_values(expected, 'path, ord, target, external, method')})")
 
 
 _PK = ["pkg/__init__.py", "pkg/json/__init__.py", "pkg/json/tag.py", "pkg/app.py", "main.py"]

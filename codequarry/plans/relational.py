@@ -107,7 +107,7 @@ def filter_large_commits(spark, base):  # noqa: ANN001, ANN201
     return d.groupBy(F.col("g").alias("commit_id")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@R.query(f"WITH {_COMMITS} SELECT repo, count_if(n_parents <= 1 AND files_changed > 30) AS skipped, count_if(n_parents <= 1) AS considered_or_skipped FROM co GROUP BY repo")
+@R.query(f"WITH {_COMMITS} SELECT repo, count_if(n_parents <= 1 AND files_changed > 30)::bigint AS skipped, count_if(n_parents <= 1)::bigint AS considered_or_skipped FROM co GROUP BY repo")
 def agg_skipped_commits(spark, base):  # noqa: ANN001, ANN201
     c = commits(spark, base)
     return c.groupBy("repo").agg(F.count_if(F.expr("n_parents <= 1 AND files_changed > 30")).alias("skipped"), F.count_if(F.expr("n_parents <= 1")).alias("considered_or_skipped"))
@@ -258,7 +258,7 @@ def win_norm_by_max(spark, base):  # noqa: ANN001, ANN201
 _KNOWN = "language IS NOT NULL AND NOT coalesce(is_binary, false)"
 
 
-@R.query(f"SELECT count(*) AS files, coalesce(sum(CASE WHEN {_CODE} AND NOT coalesce(is_binary, false) THEN lines END), 0)::bigint AS code_lines, floor(count_if({_CODE} AND NOT coalesce(is_binary, false) AND is_test) / count_if({_CODE} AND NOT coalesce(is_binary, false))::double * 1000 + 0.5) / 1000.0::double AS test_file_ratio, (SELECT count_if(NOT coalesce(bot, false)) FROM people) AS contributors, (SELECT count(DISTINCT commit_id) FROM commits) AS commits FROM files")
+@R.query(f"SELECT count(*) AS files, coalesce(sum(CASE WHEN {_CODE} AND NOT coalesce(is_binary, false) THEN lines END), 0)::bigint AS code_lines, floor(count_if({_CODE} AND NOT coalesce(is_binary, false) AND is_test) / count_if({_CODE} AND NOT coalesce(is_binary, false))::double * 1000 + 0.5) / 1000.0::double AS test_file_ratio, (SELECT count_if(NOT coalesce(bot, false))::bigint FROM people) AS contributors, (SELECT count(DISTINCT commit_id) FROM commits) AS commits FROM files")
 def agg_overview(spark, base):  # noqa: ANN001, ANN201
     return O.overview(table(spark, base, "files"), table(spark, base, "commits"), table(spark, base, "people")).drop("first_commit_at", "last_commit_at")
 
@@ -358,7 +358,7 @@ _T = "t AS (SELECT repo, item FROM pp WHERE lines > 45)"
 R.add("sort_baselines", _baselines, f"WITH {_PART}, {_BASEL} SELECT ranking, repo, item, rank FROM rk")
 _MP = f"WITH {_PART}, {_BASEL}, {_T}, n AS (SELECT repo, count(*) AS n FROM pp GROUP BY 1) SELECT ranking, rk.repo, floor(avg(CASE WHEN t.item IS NOT NULL AND n >= 2 THEN 1 - (rank - 1) / (n - 1)::double END) * 1000 + 0.5) / 1000.0::double AS percentile FROM rk JOIN n USING (repo) LEFT JOIN t ON t.repo = rk.repo AND t.item = rk.item GROUP BY ALL"
 R.add("agg_mean_percentile", lambda s, b: E.mean_percentile(_baselines(s, b), _truth(s, b), by=["ranking", "repo"], item="item"), _MP)
-R.add("agg_hits_at_k", lambda s, b: E.hits_at_k(_baselines(s, b), _truth(s, b), by=["ranking", "repo"], item="item"), f"WITH {_PART}, {_BASEL}, {_T} SELECT ranking, rk.repo, count_if(rank <= 10 AND t.item IS NOT NULL) AS hits FROM rk LEFT JOIN t ON t.repo = rk.repo AND t.item = rk.item GROUP BY ALL")
+R.add("agg_hits_at_k", lambda s, b: E.hits_at_k(_baselines(s, b), _truth(s, b), by=["ranking", "repo"], item="item"), f"WITH {_PART}, {_BASEL}, {_T} SELECT ranking, rk.repo, count_if(rank <= 10 AND t.item IS NOT NULL)::bigint AS hits FROM rk LEFT JOIN t ON t.repo = rk.repo AND t.item = rk.item GROUP BY ALL")
 R.add("agg_median", lambda s, b: E.mean_percentile(_baselines(s, b), _truth(s, b), by=["ranking", "repo"], item="item").groupBy("ranking").agg(F.median("percentile").alias("median")), f"SELECT ranking, median(percentile) AS median FROM ({_MP}) GROUP BY 1")
 R.add("intersect_truth", lambda s, b: _baselines(s, b).filter("rank <= 10").join(_truth(s, b), ["repo", "item"], "left_semi").select("ranking", "repo", "item"), f"WITH {_PART}, {_BASEL}, {_T} SELECT ranking, repo, item FROM rk WHERE rank <= 10 AND (repo, item) IN (SELECT (repo, item) FROM t)")
 

@@ -150,7 +150,7 @@ def fn_reasons(spark, base):  # noqa: ANN001, ANN201
     return s.select("file_id", F.array_join(S.reasons(F.col("raw_commits"), F.col("fan_in").cast("int"), F.col("reach"), F.col("private_module")), "; ").alias("reasons"))
 
 
-@R.query("SELECT chunk_id, sum(1) OVER (PARTITION BY repo, path ORDER BY chunk_id) AS n, CASE WHEN before + length(body) <= 12000 THEN length(body) ELSE 12000 - before END AS taken FROM (SELECT chunk_id, repo, path, body, coalesce(sum(length(body)) OVER (PARTITION BY repo, path ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks) WHERE before < 12000")
+@R.query("SELECT chunk_id, (sum(1) OVER (PARTITION BY repo, path ORDER BY chunk_id))::bigint AS n, (CASE WHEN before + length(body) <= 12000 THEN length(body) ELSE 12000 - before END)::bigint AS taken FROM (SELECT chunk_id, repo, path, body, coalesce(sum(length(body)) OVER (PARTITION BY repo, path ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks) WHERE before < 12000")
 def fn_prompt_budget(spark, base):  # noqa: ANN001, ANN201
     from pyspark.sql import Window
 

@@ -120,7 +120,7 @@ def _citations(spark, base):  # noqa: ANN001, ANN202
 _CST = f"WITH {_GIVEN}, {_ANS}, j AS (SELECT c.doc_id, c.a, c.b, bool_or(s = a AND (b IS NULL OR e = b)) AS exact, bool_or(a BETWEEN s AND e) AS ia, bool_or(b BETWEEN s AND e) AS ib FROM c LEFT JOIN g ON g.doc_id = c.doc_id GROUP BY ALL), st AS (SELECT doc_id, a AS start_line, b AS end_line, CASE WHEN exact THEN 'exact' WHEN ia AND (b IS NULL OR ib) THEN 'inside' ELSE 'unsupported' END AS status FROM j)"
 R.add("join_citation_range", lambda s, b: _citations(s, b).select("doc_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"), "status"), _CST + " SELECT * FROM st")
 R.add("qa_citations", lambda s, b: _citations(s, b).groupBy("status").agg(F.count(F.lit(1)).alias("n")), _CST + " SELECT status, count(*) AS n FROM st GROUP BY 1")
-R.add("agg_unsupported", lambda s, b: _citations(s, b).agg(F.count_if(F.col("status") == "unsupported").alias("unsupported")), _CST + " SELECT count_if(status = 'unsupported') AS unsupported FROM st")
+R.add("agg_unsupported", lambda s, b: _citations(s, b).agg(F.count_if(F.col("status") == "unsupported").alias("unsupported")), _CST + " SELECT count_if(status = 'unsupported')::bigint AS unsupported FROM st")
 
 
 @R.query()
@@ -281,7 +281,7 @@ R.add("sink_retention", lambda s, b: jobs.kept_jobs(_jobs(s, b), key="id", at="a
 R.add("scan_analysis_table", lambda s, b: jobs.active(_jobs(s, b), source="id").select("id", "status"), f"WITH {_JOBS} SELECT id, status FROM j WHERE status IN ('QUEUED', 'RUNNING')")
 
 
-@R.query("SELECT user_id, status, count(*) AS n, count_if(ok) AS allowed FROM (SELECT user_id, status, CASE WHEN p IS NULL THEN status = 'QUEUED' WHEN p = 'QUEUED' THEN status IN ('RUNNING', 'FAILED') WHEN p = 'RUNNING' THEN status IN ('RUNNING', 'DONE', 'FAILED') WHEN p = 'DONE' THEN status = 'FAILED' ELSE false END AS ok FROM (SELECT user_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'DONE' WHEN 'view' THEN 'RUNNING' ELSE 'QUEUED' END AS status FROM events))) GROUP BY ALL")
+@R.query("SELECT user_id, status, count(*) AS n, count_if(ok)::bigint AS allowed FROM (SELECT user_id, status, CASE WHEN p IS NULL THEN status = 'QUEUED' WHEN p = 'QUEUED' THEN status IN ('RUNNING', 'FAILED') WHEN p = 'RUNNING' THEN status IN ('RUNNING', 'DONE', 'FAILED') WHEN p = 'DONE' THEN status = 'FAILED' ELSE false END AS ok FROM (SELECT user_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'DONE' WHEN 'view' THEN 'RUNNING' ELSE 'QUEUED' END AS status FROM events))) GROUP BY ALL")
 def sink_job_state(spark, base):  # noqa: ANN001, ANN201
     st = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "purchase", "DONE").when(F.col("event_type") == "view", "RUNNING").otherwise("QUEUED")
     v = jobs.valid_moves(table(spark, base, "events").select("user_id", "event_id", st.alias("status")), key="user_id", at="event_id", status="status")
@@ -326,7 +326,7 @@ R.add("stream_progress_throttle", lambda s, b: throttle.throttled_progress(table
 
 # ---- interface lookups ----
 R.add("ui_report_index", lambda s, b: _trade(s, b)[1].groupBy("dst").agg(F.array_join(F.sort_array(F.collect_list("src")), ",").alias("importers")), f"WITH {_TRADE} SELECT dst, array_to_string(list_sort(list(src)), ',') AS importers FROM e GROUP BY 1")
-R.add("ui_file_details", lambda s, b: table(s, b, "chunks").groupBy("repo", "path").agg(F.count_if("is_test").alias("tests"), F.count_if(~F.col("is_test")).alias("code")), "SELECT repo, path, count_if(is_test) AS tests, count_if(NOT is_test) AS code FROM chunks GROUP BY ALL")
+R.add("ui_file_details", lambda s, b: table(s, b, "chunks").groupBy("repo", "path").agg(F.count_if("is_test").alias("tests"), F.count_if(~F.col("is_test")).alias("code")), "SELECT repo, path, count_if(is_test)::bigint AS tests, count_if(NOT is_test)::bigint AS code FROM chunks GROUP BY ALL")
 
 # ---- sources and sinks on a repository built here ----
 _DEMO = {
