@@ -83,8 +83,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, *, key: str, source: str,
     mixture = cut(chosen.join(F.broadcast(calendar), ["source", "block"]).select("slot", F.col("at").alias("position"), "source", F.col("k").alias(key), "repeat", F.col("n").alias("size")))
     per = mixture.groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("documents"), (F.max("repeat") + 1).alias("most_repeats"))
     avail = docs.groupBy("source").agg(F.sum("n").alias("available"))
-    tot = per.agg(F.sum("tokens").alias("all_tokens"))
-    report = goal.join(avail, "source", "left").join(per, "source", "left").crossJoin(F.broadcast(tot))
+    report = goal.join(avail, "source", "left").join(per, "source", "left").withColumn("all_tokens", mixture.agg(F.sum("size")).scalar())
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     report = report.select(
         "source", "target_share", zero("available").alias("available"), zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"),

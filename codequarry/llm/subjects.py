@@ -317,5 +317,4 @@ def composition(assigned: DataFrame, docs: DataFrame, *, doc: str) -> DataFrame:
     per = assigned.groupBy(doc).agg(F.count(F.lit(1)).alias("k"))
     rows = docs.select(doc).join(assigned, doc, "left").join(per, doc, "left").select(F.coalesce("subject", F.lit("")).alias("subject"), (1 / F.coalesce("k", F.lit(1))).alias("w"))
     by = rows.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("w").alias("w"))
-    total = by.agg(F.sum("w").alias("t"))
-    return by.crossJoin(F.broadcast(total)).select("subject", "documents", F.round(F.col("w") / F.col("t"), 6).alias("share"))
+    return by.select("subject", "documents", F.round(F.col("w") / by.agg(F.sum("w")).scalar(), 6).alias("share"))
