@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from codequarry.functions import paths as P
 from codequarry.functions import text as T
@@ -21,7 +23,7 @@ def mean_percentile(ranking: DataFrame, truth: DataFrame, *, by: list[str], item
     on = [c for c in (*by, item) if c in truth.columns]
     j = ranking.join(t, on, "left")
     n = ranking.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    g = j.join(n, by) if by else j.crossJoin(n)
+    g = j.join(n, by) if by else j.withColumn("n", ranking.agg(F.count(F.lit(1))).scalar())
     return g.groupBy(*by).agg(round3(F.avg(F.when(F.col("__t") & (F.col("n") >= 2), 1 - (F.col(rank) - 1) / (F.col("n") - 1)))).alias("percentile"))
 
 
@@ -129,9 +131,12 @@ def feature_matrix(items: DataFrame, *, by: str, item: str, centrality: str, rev
 
 def grid_search(features: DataFrame, truth: DataFrame, grid: DataFrame, *, by: str, item: str, limit: int | None = 12) -> DataFrame:
     """(variant, score): mean over groups of the mean percentile of the truth. features x variants is the workload: the
-    grid is a bounded parameter table and is broadcast, every (variant, group) is ranked by itself."""
+    grid is a parameter table of a few thousand rows, put beside every feature row as one constant array; every
+    (variant, group) is ranked by itself."""
     x = features.withColumnRenamed("fan_in", "fi").withColumnRenamed("churn", "ch").withColumnRenamed("size", "si").withColumnRenamed("centrality", "ce").withColumnRenamed("reverse", "re")
-    j = x.crossJoin(F.broadcast(grid))
+    rows = json.dumps([r.asDict() for r in grid.collect()])
+    every = F.from_json(F.lit(rows), T_.ArrayType(grid.schema))
+    j = x.select("*", F.inline(every))
     score = F.col("centrality") * F.col("ce") + F.col("reverse") * F.col("re") + F.col("fan_in") * F.col("fi") + F.col("churn") * F.col("ch") + F.col("size") * F.col("si") - F.when(F.col("private"), F.col("penalty")).otherwise(0.0)
     w = Window.partitionBy("variant", by).orderBy(F.desc(F.round(score, 9)), item)
     r = j.select("variant", by, item, F.row_number().over(w).alias("rank"))

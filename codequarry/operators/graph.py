@@ -59,7 +59,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
     """(node, rank): a fixed number of rounds; the rank of nodes without outgoing edges is spread evenly.
 
     The out-degree is put on the edges once, hash-partitioned by source, and that copy is reused by every round. Lineage
-    is cut reliably every few rounds; the dangling mass is one number per round, taken as a broadcast row. Nodes must be
+    is cut reliably every few rounds; the dangling mass is one number per round, a scalar subquery. Nodes must be
     distinct and cover all ends. No nodes: no rows. With ``reverse`` edges run the other way.
     """
     e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges.select("src", "dst")
@@ -72,9 +72,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
     ranks = base.select("node", "has_out", F.lit(1.0 / n).alias("rank"))
     for i in range(1, rounds + 1):
         into = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
-        dangling = F.broadcast(ranks.filter("has_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d")))
-        ranks = base.join(into, F.col("node") == F.col("dst"), "left").crossJoin(dangling).select(
-            "node", "has_out", (F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("d") + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank")
+        dangling = ranks.filter("has_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
+        ranks = base.join(into, F.col("node") == F.col("dst"), "left").select(
+            "node", "has_out", (F.lit((1 - damping) / n) + F.lit(damping / n) * dangling + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank")
         )
         if i % cut_every == 0 and i < rounds:
             ranks = cut(ranks)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.functions.paths import dir_name, dotted_suffixes, shared_dirs
+from codequarry.functions.paths import ancestors, dir_name, dotted_suffixes, shared_dirs
 from codequarry.session import cut
 
 
@@ -23,13 +23,25 @@ def _probe(base: Column, dotted: Column) -> Column:
     return F.array(F.concat(p, F.lit("/__init__.py")), F.concat(p, F.lit(".py")), F.concat(p, F.lit("/__init__.pyi")), F.concat(p, F.lit(".pyi")))
 
 
-def _best(cands: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each question the hit: per root the first file of the probe order, then most shared directories, then path."""
-    c = cands.select(*keys, "root", "via", F.posexplode(_probe(F.col("root"), F.col("dotted"))).alias("nth", "target"))
-    hit = c.join(files.select(F.col("path").alias("target")), "target")
-    per_root = hit.groupBy(*keys, "root", "via").agg(F.min_by("target", "nth").alias("target"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(shared_dirs(F.col("path"), F.col("target"))), "target")
-    return per_root.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(*keys, "target", F.col("via").alias("method"))
+def module_index(files: DataFrame) -> DataFrame:
+    """(root, dotted, nth, target): every file under the name it has below each directory above it.
+
+    nth is Python's preference: package, module, package stub, module stub. A file has one row per directory of its
+    path, so looking a module up is an equi-join on its dotted name, never a trial of every root."""
+    nth = F.when(F.col("path").endswith("/__init__.py"), 0).when(F.col("path").endswith("/__init__.pyi"), 2).when(F.col("path").endswith(".pyi"), 3).otherwise(1)
+    up = F.transform(ancestors(F.col("path")), lambda d: F.when(d == ".", "").otherwise(d))
+    below = files.filter(F.col("path").rlike(r"\.pyi?$")).select(F.col("path").alias("target"), nth.alias("nth"), F.explode(up).alias("root"))
+    rel = F.when(F.col("root") == "", F.col("target")).otherwise(F.substring(F.col("target"), F.length("root") + 2, F.length("target")))
+    name = F.replace(F.regexp_replace(rel, r"(/__init__)?\.pyi?$", ""), F.lit("/"), F.lit("."))
+    return below.select("root", name.alias("dotted"), "nth", "target").filter(~rel.rlike(r"^__init__\.pyi?$"))
+
+
+def _best(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each question one hit: per root the first file of the preference, then most shared directories, then path."""
+    per_root = hits.groupBy(*keys, "root", "via").agg(F.min_by("target", "nth").alias("target"))
+    shared = shared_dirs(F.col("path"), F.col("target"))
+    top = per_root.groupBy(*keys).agg(F.min(F.struct((-shared).alias("s"), "target", F.col("via").alias("method"))).alias("b"))
+    return top.select(*keys, "b.target", "b.method")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -55,9 +67,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     ask = prefixes.unionByName(subs).unionByName(mods).unionByName(tops)
     d = dir_name(F.col("path"))
     script = st.select("path").distinct().withColumn("root", d).join(pk.withColumnRenamed("dir", "root"), "root", "left_anti").join(roots, "root", "left_anti").withColumn("via", F.lit("script-dir"))
-    under = ask.crossJoin(F.broadcast(roots.withColumn("via", F.lit("root")))) if _few(roots) else ask.join(roots.withColumn("via", F.lit("root")))
-    under = under.unionByName(ask.join(script, "path"))
-    hits = cut(_best(under, files, ["path", "ord", "i", "prio", "dotted"]))
+    index = cut(module_index(files))
+    rooted = index.join(roots, "root", "left_semi").withColumn("via", F.lit("root"))
+    under = ask.join(rooted, "dotted")
+    under = under.unionByName(ask.join(script, "path").join(index, ["root", "dotted"]).select(under.columns))
+    hits = cut(_best(under, ["path", "ord", "i", "prio", "dotted"]))
     # plain imports: longest prefix
     plain = hits.filter("i = -1").groupBy("path", "ord").agg(F.min_by(F.struct("dotted", "target", "method"), "prio").alias("h"))
     top_hit = hits.filter("i = -2").select("path", "ord", F.lit(True).alias("top_known")).distinct()
@@ -78,11 +92,6 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return every.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("path", "ord", "line", "module", "target_path", "external", "method")
 
 
-def _few(roots: DataFrame, most: int = 5_000) -> bool:
-    """Whether the roots may be broadcast; looked at, not assumed."""
-    return roots.limit(most + 1).count() <= most
-
-
 def _relative(st: DataFrame, files: DataFrame) -> DataFrame:
     d = F.split(dir_name(F.col("path")), "/")
     depth = F.when(dir_name(F.col("path")) == "", 0).otherwise(F.size(d))

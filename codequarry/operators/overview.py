@@ -18,9 +18,10 @@ def overview(files: DataFrame, commits: DataFrame | None = None, people: DataFra
         F.when(F.count_if(code) > 0, round3(F.count_if(code & F.col("is_test")) / F.count_if(code))).alias("test_file_ratio"),
     )
     if people is not None:
-        a = a.crossJoin(F.broadcast(people.agg(F.count_if(~F.coalesce("bot", F.lit(False))).alias("contributors"))))
+        a = a.withColumn("contributors", people.agg(F.count_if(~F.coalesce("bot", F.lit(False)))).scalar())
     if commits is not None:
-        a = a.crossJoin(F.broadcast(commits.agg(F.count_distinct("commit_id").alias("commits"), F.min("ts").alias("first_commit_at"), F.max("ts").alias("last_commit_at"))))
+        c = commits.agg(F.struct(F.count_distinct("commit_id").alias("commits"), F.min("ts").alias("first_commit_at"), F.max("ts").alias("last_commit_at"))).scalar()
+        a = a.withColumn("__c", c).select("*", "__c.*").drop("__c")
     return a
 
 

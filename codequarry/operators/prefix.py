@@ -60,7 +60,7 @@ def value_buckets(df: DataFrame, keys: Sequence[str], value: str, out: str, part
     for k, r in ren.items():
         c = F.col(k).eqNullSafe(F.col(r))
         cond = c if cond is None else cond & c
-    joined = df.join(q, cond, "left") if keys else df.crossJoin(q)
+    joined = df.join(q, cond, "left") if keys else df.withColumn("__q", q.scalar())
     return joined.withColumn(
         out, F.coalesce(F.size(F.filter("__q", lambda s: s < F.col(value))), F.lit(0))
     ).drop("__q", *ren.values())
@@ -82,7 +82,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, n_ou
     for k, r in ren.items():
         c = F.col(k).eqNullSafe(F.col(r))
         cond = c if cond is None else cond & c
-    ranked = ranked.join(ns, cond, "left") if keys else ranked.crossJoin(ns)
+    ranked = ranked.join(ns, cond, "left") if keys else ranked.withColumn(n_out, ns.scalar())
     return ranked.withColumn(out, F.col("__before") + (F.col("__c") + 1) / 2).drop("__b", "__before", "__c", *ren.values())
 
 

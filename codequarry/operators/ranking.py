@@ -9,9 +9,10 @@ from codequarry.functions.scoring import log_norm, reading_score, reasons, round
 from codequarry.operators.prefix import global_rank
 
 
-def _maxima(df: DataFrame, *cols: str) -> DataFrame:
-    """One row of maxima, joined back by broadcast: one row whatever the table's size, and no window over everything."""
-    return F.broadcast(df.agg(*(F.max(c).alias(f"__max_{c}") for c in cols)))
+def _with_maxima(df: DataFrame, *cols: str) -> DataFrame:
+    """Adds __max_<column>: one scalar subquery whatever the table's size, no window over everything and no join."""
+    m = df.agg(F.struct(*(F.max(c).alias(f"__max_{c}") for c in cols))).scalar()
+    return df.withColumn("__m", m).select("*", "__m.*").drop("__m")
 
 
 def hotspots(df: DataFrame, *, key: str, commits: str, complexity: str, limit: int = 50) -> DataFrame:
@@ -19,7 +20,7 @@ def hotspots(df: DataFrame, *, key: str, commits: str, complexity: str, limit: i
 
     Files without commits are left out before the maxima are taken, those of score 0 afterwards."""
     c = df.filter(F.col(commits) > 0)
-    c = c.crossJoin(_maxima(c, commits, complexity))
+    c = _with_maxima(c, commits, complexity)
     raw = log_norm(F.col(commits), F.col(f"__max_{commits}")) * log_norm(F.col(complexity), F.col(f"__max_{complexity}"))
     top = c.withColumn("raw", raw).filter("raw > 0").select(key, commits, complexity, "raw").orderBy(F.desc("raw"), key).limit(limit)
     return top.select(F.row_number().over(Window.orderBy(F.desc("raw"), key)).alias("rank"), key, commits, complexity, round3(F.col("raw")).alias("score"))
@@ -29,7 +30,7 @@ def reading_order(df: DataFrame, *, key: str, commits: str, reach: str, fan_in:
     """(rank, key, score, churn, reach, fan_in, reasons); rank by the unrounded score descending, then key.
 
     commits and fan_in are log-normalised by their maxima, reach is divided by its maximum."""
-    c = df.crossJoin(_maxima(df, commits, reach, fan_in))
+    c = _with_maxima(df, commits, reach, fan_in)
     churn, fan = log_norm(F.col(commits), F.col(f"__max_{commits}")), log_norm(F.col(fan_in), F.col(f"__max_{fan_in}"))
     rel = F.when(F.col(f"__max_{reach}") > 0, F.col(reach) / F.col(f"__max_{reach}")).otherwise(0.0)
     s = c.select(key, churn.alias("churn_n"), rel.alias("reach_n"), fan.alias("fan_n"), F.col(private).alias("p"), F.col(commits).alias("c"), F.col(fan_in).alias("f"))

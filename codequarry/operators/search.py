@@ -53,7 +53,7 @@ def rank(matches: DataFrame, question: str, *, path: str = "path", symbol: str =
     The greedy scan of the definition equals a window: until three rows of a path are in, every row is, so a row's
     number within its path decides; the limit is the same order's limit."""
     ts = _lit_terms(question)
-    m = matches.crossJoin(F.broadcast(matches.agg(F.max("text_score").alias("__max"))))
+    m = matches.withColumn("__max", matches.agg(F.max("text_score")).scalar())
     text = F.when(F.col("__max") > 0, F.col("text_score") / F.col("__max")).otherwise(0.0)
     sym = T.symbol_matches(F.col(symbol), ts)
     score = text + F.when(sym, W_SYMBOL).when(T.symbol_word_matches(F.col(symbol), ts), W_WORD).otherwise(0.0) + F.when(T.path_matches(F.col(path), ts), W_PATH).otherwise(0.0) + F.lit(W_FILE) * F.coalesce(F.col(file_score), F.lit(0.0))

@@ -251,7 +251,7 @@ R.add("win_reading_rank", lambda s, b: _reading(s, b).select("n_nationkey", "ran
 @R.query("SELECT l_partkey AS part, round(sum(l_quantity) / (SELECT max(q) FROM (SELECT sum(l_quantity) AS q FROM lineitem GROUP BY l_partkey)), 9) AS share FROM lineitem GROUP BY 1")
 def win_norm_by_max(spark, base):  # noqa: ANN001, ANN201
     q = table(spark, base, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.sum("l_quantity").alias("q"))
-    return q.crossJoin(F.broadcast(q.agg(F.max("q").alias("m")))).select("part", F.round(F.col("q") / F.col("m"), 9).alias("share"))
+    return q.select("part", F.round(F.col("q") / q.agg(F.max("q")).scalar(), 9).alias("share"))
 
 
 # overview
@@ -455,4 +455,4 @@ def graph_components(spark, base):  # noqa: ANN001, ANN201
 @R.query(f"SELECT count(DISTINCT repo || ' ' || path) AS files, count(DISTINCT commit_id) AS commits, (SELECT count(*) FROM (SELECT DISTINCT commit_id FROM commits LIMIT 1000)) AS capped FROM commit_files WHERE path IS NOT NULL")
 def scan_commit_count(spark, base):  # noqa: ANN001, ANN201
     c = items(spark, base).agg(F.count_distinct("item").alias("files"), F.count_distinct("commit_id").alias("commits"))
-    return c.crossJoin(table(spark, base, "commits").select("commit_id").distinct().limit(1000).agg(F.count(F.lit(1)).alias("capped")))
+    return c.withColumn("capped", table(spark, base, "commits").select("commit_id").distinct().limit(1000).agg(F.count(F.lit(1))).scalar())
