@@ -48,6 +48,7 @@ def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
 #: Bits of a position within a block; the rest of the sort key is hash. Blocks are cut so that arrays stay in cache.
 BITS = 22
 BLOCK = 150_000
+LONG = 2_000_000
 
 
 def _winnow_block(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,13 +56,12 @@ def _winnow_block(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndar
 
     The key of a k-gram is its hash in the high bits and its distance from the block's end in the low ones: a sliding
     minimum then yields place and hash at once, and settles ties by taking the rightmost, whatever the surroundings.
-    Windows that reach over the end of a text are left out. Blocks hold fewer than 2^BITS characters, or one text.
+    Windows that reach over the end of a text are left out. Blocks hold fewer than 2^BITS characters.
     """
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     h = _hashes(codes, k)
-    bits = max(BITS, int(len(h)).bit_length())
-    mask = np.uint64((1 << bits) - 1)
+    mask = np.uint64((1 << BITS) - 1)
     key = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))
     low, m = key, 1
     while 2 * m <= w:
@@ -80,16 +80,23 @@ def _winnow_block(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndar
     return doc, at - starts[doc], h[at]
 
 
-def _blocks(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    some: tuple[list[int], list[str]] = ([], [])
+def _blocks(ids: list[int], texts: list[str], reach: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """(ids, offsets, texts) of about BLOCK characters. A longer text comes in parts that overlap by ``reach``, the
+    length of a window less one, so that each of its windows lies within a part; shorter ones stay whole."""
+    some: tuple[list[int], list[int], list[str]] = ([], [], [])
     size = 0
-    for i, t in zip(ids, texts):
-        if some[0] and size + len(t) > BLOCK:
-            yield some
-            some, size = ([], []), 0
-        some[0].append(i)
-        some[1].append(t)
-        size += len(t)
+    for i, whole in zip(ids, texts):
+        for at in range(0, max(1, len(whole) - reach), LONG):
+            t = whole[at : at + LONG + reach] if len(whole) > LONG + reach else whole
+            if some[0] and size + len(t) > BLOCK:
+                yield some
+                some, size = ([], [], []), 0
+            some[0].append(i)
+            some[1].append(at)
+            some[2].append(t)
+            size += len(t)
+            if t is whole:
+                break
     if some[0]:
         yield some
 
@@ -109,9 +116,9 @@ def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for some, texts in _blocks(pdf["id"].tolist(), pdf["t"].tolist()):
+            for some, offsets, texts in _blocks(pdf["id"].tolist(), pdf["t"].tolist(), length - 1):
                 doc, pos, h = _winnow_block(texts, k, w)
-                yield pd.DataFrame({"id": np.asarray(some, np.int64)[doc], "pos": pos.astype(np.int32), "h": h.view(np.int64)})
+                yield pd.DataFrame({"id": np.asarray(some, np.int64)[doc], "pos": (pos + np.asarray(offsets, np.int64)[doc]).astype(np.int32), "h": h.view(np.int64)})
 
     # written once: a few bytes per 50 characters, against reading and hashing every text a second time
     occ = cut(long_enough.mapInPandas(anchors, "id long, pos int, h long"))

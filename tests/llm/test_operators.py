@@ -363,3 +363,50 @@ def test_subjects_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, subject string")
     model = subjects.train(df, lab, ["law"], doc="doc_id", text="text", source="source", subject="subject")
     assert subjects.assign(df, model, doc="doc_id", text="text", source="source").count() == 0
+
+
+def test_anchors_of_long_texts_do_not_depend_on_the_parts(monkeypatch):
+    rnd = random.Random(1)
+    t = "".join(rnd.choice("abcde\n ") for _ in range(5000))
+
+    def anchors():
+        out = set()
+        for ids, offsets, texts in spans._blocks([0, 1, 2], [t, t[:200], t[100:900]], 199):
+            doc, pos, h = spans._winnow_block(texts, 100, 101)
+            out |= {(ids[d], int(p) + offsets[d], int(x)) for d, p, x in zip(doc, pos, h)}
+        return out
+
+    whole = anchors()
+    monkeypatch.setattr(spans, "LONG", 300)
+    assert anchors() == whole and len(whole) > 80
+
+
+VALID_JS = [
+    "const a = {b: 1, 'c': 2, [d]: 3, get e() { return 1 }, async f() {}, g, ...h};\nexport default a;",
+    "class A extends B { static x = 1; #p = 2; constructor() { super(); this.#p = /ab[/]c/g.test('x') } get y() { return this.x } static { f() } async *gen() { yield* x } }",
+    "for (const [k, v] of Object.entries(o)) if (k in v) continue; else break\nlabel: while (true) { break label }",
+    "import d, { a as b } from './x';\nimport * as ns from \"y\";\nexport { a as default } from 'z';\nexport * from 'q'\nimport j from './d.json' with { type: 'json' }",
+    "let f = async (x) => { await x }, g = x => x * 2, h = (a, b = 3, {c, d}, ...r) => ({ a, b });\nvar s = `a ${b ? `n ${c}` : 'd'} e`;",
+    "switch (x) { case 1: case 'a': f(); break; default: g() }\nconst t = a ? b : c ? d : e\nx = y\n++z\nif (a) { b } else if (c) d()\nelse e()",
+    "a = b / c / d; e = f(1) / 2; g = h[0] / 3; var r = /x/.exec(s); r = x ?? y; o?.p?.[q]?.(r); 1..toString(); x = 1_000n",
+    "try { a() } catch { b() } finally { c() }\nnew Foo\nnew Foo(1).bar\ntypeof x === 'y' && delete o.p, void 0\nthrow new Error('x')",
+    "do { x++ } while (x < 5)\nvar x = function () {}, y = function* n() {}\n;(function () { 'use strict' })()\n!function(){}()",
+    "const re = a.replace(/[\"'`]/g, '').split(/\\s+/)\nif (/x/.test(a)) b()\nconst o = { if: 1, class: 2, default: 3, 'x-y': 4, 5: 6, async: 7, get: 8 }\no.class.if.default()",
+    "let x\nlet y = x ? { a: 1 } : [1, , 2]\nexport const z = () => {}\nexport function q() {}\nexport default class extends A {}\nexport async function w() {}",
+    "const {a, b: {c}, ...rest} = o; [x, y] = [y, x]; ({a, b} = o)\nvar a = {}\nvar b = []\n{ let z = 1 }\n;[1].map(x => x)",
+    "a = b ? (c, d) : e; x = a ? b : (c) => d; async () => { for await (const x of y) { } }; y = async function() {}; z = async x => x",
+    "a\n.b()\n.c()", "var s = 'a\\\nb'; x = a\n? b\n: c", "if (a) b; else { }\nwhile(0);", "var a = b\n  , c = d\n;",
+    "o = { async *a() {}, async b() {}, *c() {}, get [d]() {}, set e(v) {}, 'f'() {}, 1() {} }", "class A { 'x' = 1; y; static async z() {} ; get; set; a = () => {} \n b = 2\n c() {} }",
+]
+VALID_TS = [
+    "interface A<T extends B = C> { x: string; y?: number[]; (a: string): void; readonly z: { a: 1 }; [k: string]: any; m<T>(a: T): Promise<T> }\ntype U = 'a' | 'b' | { c: number }\nenum E { A = 1, B }",
+    "export class A<T> extends B<T> implements C, D { private x: string = ''; constructor(private readonly y: number, public z?: string) { super() } async m(): Promise<void> {} static n?: string; abstract o(): void; declare p: string }",
+    "function f<T>(a: T, b?: string, ...c: number[]): a is string { return a as unknown as string }\nconst x = <T,>(a: T) => a; let y = z!; let w: typeof z = y!.a; let q = a satisfies B",
+    "declare module 'x' { export function f(): void }\nnamespace N.M { export const a = 1 }\nimport type { A } from './a'; export type { B } from './b'\nabstract class Q { abstract x(): string }",
+    "let f: (a: string) => void = (a) => {}; type M = { [K in keyof T]?: T[K] }; type C = A extends infer U ? U : never; let t: [a: string, b?: number]; function assert(x: any): asserts x {}",
+]
+
+
+@pytest.mark.parametrize(("text", "typed"), [(x, False) for x in VALID_JS] + [(x, True) for x in VALID_TS])
+def test_valid_scripts_pass(text, typed):
+    assert lexers.script_file(text, typed) is None
