@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import split_lines
+from codequarry.session import cut
 
 MAX_LINES, SPLIT_CLASS, WINDOW, MIN_LINES = 200, 60, 100, 2
 
@@ -30,6 +31,7 @@ def symbol_chunks(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     dropped; a chunk of one line without a symbol is dropped. symbols: path, kind, name, start_line, end_line, parent.
     """
     t = texts.select("path", split_lines(F.col("text")).alias("lines")).filter(F.size("lines") > 0)
+    symbols = cut(symbols.select("path", "kind", "name", "start_line", "end_line", "parent"))  # read by five branches
     top = symbols.filter("parent is null").select("path", "kind", "name", "start_line", "end_line")
     w = Window.partitionBy("path").orderBy("start_line", "end_line")
     before = F.coalesce(F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -55,7 +55,6 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """
     files = cut(files.select("path").dropna().distinct())
     pk, roots = source_roots(files)
-    pk, roots = cut(pk), cut(roots)
     st = cut(imports.select("path", "ord", "line", "from_import", "level", F.coalesce("module", F.lit("")).alias("module"), F.coalesce("names", F.array().cast("array<string>")).alias("names")))
     absolute = st.filter("level = 0")
     # questions: (path, ord, q, kind, prio): the lower prio that hits wins

@@ -148,13 +148,21 @@ def _texts(spark, base):  # noqa: ANN001, ANN202
     return table(spark, base, "file_text").withColumn("path", F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("~")), "path"))
 
 
-def _edges(spark, base):  # noqa: ANN001, ANN202
-    p = cut(_parsed(spark, base))
+def _edges(spark, base, parsed=None):  # noqa: ANN001, ANN202
+    p = cut(_parsed(spark, base)) if parsed is None else parsed
     return cut(imports.import_edges(imports.resolve_imports(A.imports_of(p), p.select("path"))))
 
 
+def _absolute(parsed):  # noqa: ANN001, ANN202
+    return imports.resolve_imports(A.imports_of(parsed).filter("level = 0"), parsed.select("path"))
+
+
+def _unreferenced(spark, base, parsed):  # noqa: ANN001, ANN202
+    return findings.unreferenced(_files(spark, base), _texts(spark, base), _edges(spark, base, parsed), parsed.select("path"))
+
+
 R.add("scan_ast", lambda s, b: _parsed(s, b).select("path", "first_error_line", F.size("imports").alias("imports"), F.size("symbols").alias("symbols")))
-R.add("res_absolute", lambda s, b: imports.resolve_imports(A.imports_of(_parsed(s, b)).filter("level = 0"), _parsed(s, b).select("path")))
+R.add("res_absolute", lambda s, b: _absolute(cut(_parsed(s, b))))
 R.add("graph_build", lambda s, b: _edges(s, b))
 R.add("chunk_symbols", lambda s, b: chunking.symbol_chunks(_texts(s, b).filter(F.col("path").endswith(".py")), A.symbols_of(_parsed(s, b))).select("path", "start_line", "end_line", "kind", "symbol"))
 
@@ -173,7 +181,7 @@ R.add("join_interval_cover", lambda s, b: duplicates.outermost(duplicates.repeat
 R.add("find_similar_names", lambda s, b: findings.similar_names(_files(s, b)).select("title", F.size("evidence").alias("evidence")))
 R.add("find_generated", lambda s, b: findings.committed_generated(_files(s, b)).select("severity", "title"))
 R.add("find_missing_tests", lambda s, b: findings.missing_tests(_files(s, b), _edges(s, b)).select("title", F.size("evidence").alias("evidence")))
-R.add("find_unreferenced", lambda s, b: findings.unreferenced(_files(s, b), _texts(s, b), _edges(s, b), _parsed(s, b).select("path")).select("title", F.size("evidence").alias("evidence")))
+R.add("find_unreferenced", lambda s, b: _unreferenced(s, b, cut(_parsed(s, b))).select("title", F.size("evidence").alias("evidence")))
 R.add("find_import_cycles", lambda s, b: findings.import_cycles(_edges(s, b)).select("title", F.size("evidence").alias("evidence")))
 
 
@@ -185,8 +193,8 @@ def find_same_name_nested(spark, base):  # noqa: ANN001, ANN201
 
 @R.query()
 def union_findings(spark, base):  # noqa: ANN001, ANN201
-    f, t, e = cut(_files(spark, base)), _texts(spark, base), _edges(spark, base)
     parsed = cut(_parsed(spark, base))
+    f, t, e = cut(_files(spark, base)), _texts(spark, base), _edges(spark, base, parsed)
     dup = cut(findings.near_duplicates(f, t))
     grouped = dup.select(F.explode("evidence").alias("x")).select("x.path")
     parts = [dup, findings.same_name_nested(f, e, grouped), findings.repeated_functions(t, A.symbols_of(parsed), f), findings.similar_names(f), findings.import_cycles(e), findings.committed_generated(f), findings.missing_tests(f, e), findings.unreferenced(f, t, e, parsed.select("path"))]
