@@ -79,7 +79,8 @@ def resolve_people(identities: DataFrame, mailmap: DataFrame | None = None) -> D
     else:
         spelled = spelled.withColumn("mapped_email", F.col("email"))
     spelled = spelled.withColumn("full", normalize_name("n"))
-    by_name = spelled.filter(F.instr("full", " ") > 0).groupBy("full").agg(F.min("email").alias("src"), F.collect_set("email").alias("all")).select("src", F.explode("all").alias("dst"))
+    full = spelled.filter(F.instr("full", " ") > 0).select("full", "email").distinct()
+    by_name = full.join(full.groupBy("full").agg(F.min("email").alias("src")), "full").select("src", F.col("email").alias("dst"))
     edges = by_name.union(spelled.filter("mapped_email <> email").select(F.col("email").alias("src"), F.col("mapped_email").alias("dst"))).union(base.select(F.col("email").alias("src"), F.col("email").alias("dst")))
     comp = components(edges)
     per_mail = base.groupBy("email").agg(F.max_by("name", F.struct("last_commit_at", "name")).alias("name"), F.sum("commits").alias("commits"), F.max("last_commit_at").alias("last"))
