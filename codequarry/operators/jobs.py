@@ -9,6 +9,8 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.operators.prefix import running_total, value_buckets
+
 T = TypeVar("T")
 #: States of a job, and the moves allowed between them.
 MOVES = {"QUEUED": ["RUNNING", "FAILED"], "RUNNING": ["RUNNING", "DONE", "FAILED"], "DONE": ["FAILED"], "FAILED": []}
@@ -63,6 +65,32 @@ def rate_limit(calls: DataFrame, *, caller: str, at: str, order: str, per_hour:
     return calls.withColumn("accepted", F.row_number().over(w) <= per_hour)
 
 
+def queue_depth(log: DataFrame, *, worker: str, key: str, submitted: str, started: str, capacity: int = 20, parts: int = 64) -> DataFrame:
+    """(worker, key, waiting, rejected): how many earlier jobs of the worker still waited when a job was submitted.
+
+    Submissions count +1 and starts -1 on one line of time; a start at the very moment of a submission comes first, equal
+    submissions are ordered by key. A job is rejected when ``capacity`` wait. Jobs without a start wait for ever. The
+    running total is cut into buckets of time, so one worker's line is not one task's."""
+    a, b = (F.unix_micros(F.col(c).cast("timestamp")) for c in (submitted, started))
+    waits = F.when(b.isNull() | (b > a), 1).otherwise(0)  # a job that starts at once never waits
+    s = log.select(F.col(worker).alias("w"), F.col(key).alias("k"), a.alias("t"), F.lit(1).alias("ask"), waits.alias("d"))
+    e = log.filter(b > a).select(F.col(worker).alias("w"), F.col(key).alias("k"), b.alias("t"), F.lit(0).alias("ask"), F.lit(-1).alias("d"))
+    line = value_buckets(s.unionByName(e), ["w"], "t", "b", parts)
+    r = running_total(line, ["w"], "b", ["t", "ask", "k"], F.col("d"), "waiting").filter("ask = 1")
+    return r.select(F.col("w").alias(worker), F.col("k").alias(key), "waiting", (F.col("waiting") >= capacity).alias("rejected"))
+
+
+def as_of(questions: DataFrame, log: DataFrame, *, key: str, at: str, value: str, order: str) -> DataFrame:
+    """The questions (key, at) with the last ``value`` of the log at or before them; null before the first.
+
+    As-of join by one sort: log rows and questions of a key on one line, the last seen value carried forward; of equal
+    times the log row with the greatest ``order`` counts."""
+    q = questions.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(None).cast(log.schema[value].dataType).alias("v"), F.lit(1).alias("ask"), F.lit(None).cast(log.schema[order].dataType).alias("o"))
+    x = log.select(F.col(key).alias("k"), F.col(at).alias("t"), F.col(value).alias("v"), F.lit(0).alias("ask"), F.col(order).alias("o"))
+    w = Window.partitionBy("k").orderBy("t", "ask", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return q.unionByName(x).withColumn("v", F.last("v", ignorenulls=True).over(w)).filter("ask = 1").select(F.col("k").alias(key), F.col("t").alias(at), F.col("v").alias(value))
+
+
 def stage_changes(events: DataFrame, *, key: str, at: str, order: str, stage: str) -> DataFrame:
     """Events that open a new stage of their key."""
     w = Window.partitionBy(key).orderBy(at, order)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codequarry.operators import evaluate, findings, imports, jobs, overview, search
 from codequarry.plans import relational, textual
 from codequarry.plans.registry import Registry
+from codequarry.plans.registry import values_sql as _values
 from codequarry.session import ensure_checkpoint_dir, table
 from codequarry.sources import files as X
 from codequarry.sources import git as G
@@ -17,11 +18,6 @@ R = Registry()
 IMPORTS = "path string, ord int, line int, from_import boolean, level int, module string, names array<string>"
 
 
-def _values(rows: list[tuple], cols: str) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({cols})"
-
-
 def case(name: str, files: list[str], stmts: list[tuple], expected: list[tuple]) -> None:
     """stmts: (importer, from?, level, module, names); expected: (importer, ord, target, external, method)."""
 
@@ -247,13 +243,3 @@ def state_retry(spark, base):  # noqa: ANN001, ANN201
 
     value = jobs.with_retries(call, pause=0)
     return spark.createDataFrame([(len(seen), value)], "attempts int, value string")
-
-
-# a queue of 20 places with one worker: with arrivals in order, whatever comes while 20 wait is rejected
-R.add("state_job_queue", lambda s, b: s.range(30).select("id", F.when(F.col("id") <= 20, "QUEUED").otherwise("FAILED").alias("status")), "SELECT i AS id, CASE WHEN i <= 20 THEN 'QUEUED' ELSE 'FAILED' END AS status FROM range(30) AS t(i)")
-# what a client that asks every 1.5 s sees: the last state before each question
-R.add(
-    "state_poll",
-    lambda s, b: s.range(8).select((F.col("id") * 1500).alias("ms")).withColumn("status", F.when(F.col("ms") >= 6000, "DONE").when(F.col("ms") >= 2000, "RUNNING").otherwise("QUEUED")),
-    "SELECT i * 1500 AS ms, CASE WHEN i * 1500 >= 6000 THEN 'DONE' WHEN i * 1500 >= 2000 THEN 'RUNNING' ELSE 'QUEUED' END AS status FROM range(8) AS t(i)",
-)

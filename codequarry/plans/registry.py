@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def values_sql(rows: list[tuple], cols: str) -> str:
+    """SQL of a literal relation."""
+
+    def lit(v: object) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool | int | float):
+            return str(v).lower()
+        return "'" + str(v).replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({cols})"
+
+
 class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import paths as P
 from codequarry.operators import chunking, duplicates, evaluate, findings, graph, imports, jobs, overview, search
 from codequarry.operators import history as H
-from codequarry.plans.registry import Registry
+from codequarry.plans.registry import Registry, values_sql
 from codequarry.plans.rows import _CODE, _SIG
 from codequarry.session import cut, table
 from codequarry.sources import files as X
@@ -289,6 +289,27 @@ R.add("sink_retention", lambda s, b: jobs.kept_jobs(_jobs(s, b), key="id", at="a
 R.add("scan_analysis_table", lambda s, b: jobs.active(_jobs(s, b), source="id").select("id", "status"), f"WITH {_JOBS} SELECT id, status FROM j WHERE status IN ('QUEUED', 'RUNNING')")
 
 
+_QUEUE = "q AS (SELECT user_id % 4 AS worker, event_id, ts AS a, ts + to_seconds((event_id * 7919) % 36000) AS b FROM events)"
+
+
+@R.query(f"WITH {_QUEUE} SELECT x.worker, x.event_id, count(y.event_id) AS waiting, count(y.event_id) >= 20 AS rejected FROM q x LEFT JOIN q y ON y.worker = x.worker AND (y.a < x.a OR (y.a = x.a AND y.event_id < x.event_id)) AND y.b > x.a GROUP BY ALL")
+def state_job_queue(spark, base):  # noqa: ANN001, ANN201
+    e = table(spark, base, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    start = F.timestamp_micros(F.unix_micros("ts") + (F.col("event_id") * 7919 % 36000) * 1_000_000)
+    q = e.select((F.col("user_id") % 4).alias("worker"), "event_id", F.col("ts").alias("a"), start.alias("b"))
+    return jobs.queue_depth(q, worker="worker", key="event_id", submitted="a", started="b")
+
+
+@R.query("WITH p AS (SELECT u.user_id, t.ts FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT date_trunc('day', ts) AS ts FROM events) t), l AS (SELECT user_id, ts, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL) SELECT p.user_id, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS ts, l.event_type FROM p ASOF LEFT JOIN l ON l.user_id = p.user_id AND l.ts <= p.ts")
+def state_poll(spark, base):  # noqa: ANN001, ANN201
+    e = table(spark, base, "events").select("user_id", "ts", "event_id", "event_type")
+    days = e.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).distinct()
+    span = days.agg(F.sort_array(F.collect_list("ts"))).scalar()  # the moments of asking: one per day of the log
+    asked = e.select("user_id").distinct().select("user_id", F.explode(span).alias("ts"))
+    out = jobs.as_of(asked, e, key="user_id", at="ts", value="event_type", order="event_id")
+    return out.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_type")
+
+
 @R.query("SELECT user_id, status, count(*) AS n, count_if(ok)::bigint AS allowed FROM (SELECT user_id, status, CASE WHEN p IS NULL THEN status = 'QUEUED' WHEN p = 'QUEUED' THEN status IN ('RUNNING', 'FAILED') WHEN p = 'RUNNING' THEN status IN ('RUNNING', 'DONE', 'FAILED') WHEN p = 'DONE' THEN status = 'FAILED' ELSE false END AS ok FROM (SELECT user_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'DONE' WHEN 'view' THEN 'RUNNING' ELSE 'QUEUED' END AS status FROM events))) GROUP BY ALL")
 def sink_job_state(spark, base):  # noqa: ANN001, ANN201
     st = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "purchase", "DONE").when(F.col("event_type") == "view", "RUNNING").otherwise("QUEUED")
@@ -365,14 +386,15 @@ def scan_tree(spark, base):  # noqa: ANN001, ANN201
     return G.inventory(G.read_git(spark, demo_repo(), "blobs")).drop("blob_id", "text")
 
 
-R.add("scan_blob", lambda s, b: G.read_git(s, demo_repo(), "blobs").select("path", "size_bytes", F.length("content").alias("n")))
-R.add("scan_text", lambda s, b: G.inventory(G.read_git(s, demo_repo(), "blobs")).select("path", F.coalesce("text", F.lit("")).alias("text")))
-R.add("scan_commits", lambda s, b: G.read_git(s, demo_repo(), "commits").select("author_email", "n_parents", "files_changed", "seq"))
-R.add("scan_diff", lambda s, b: G.read_git(s, demo_repo(), "commit_files").select("path", "change", "seq"))
-R.add("scan_blame", lambda s, b: G.blame(s.createDataFrame([(p,) for p in ("app/models.py", "app/pages.py", "gone.py")], "path string"), demo_repo(), tasks=2).select("path", "email", "lines", F.col("error").isNotNull().alias("failed")))
+_BLOBS = {p.replace("views", "pages"): t for p, t in _DEMO.items()}
+R.add("scan_blob", lambda s, b: G.read_git(s, demo_repo(), "blobs").select("path", "size_bytes", F.length("content").alias("n")), values_sql([(p, len(t), len(t)) for p, t in _BLOBS.items()], "path, size_bytes, n"))
+R.add("scan_text", lambda s, b: G.inventory(G.read_git(s, demo_repo(), "blobs")).select("path", F.coalesce("text", F.lit("")).alias("text")), values_sql(list(_BLOBS.items()), "path, text"))
+R.add("scan_commits", lambda s, b: G.read_git(s, demo_repo(), "commits").select("author_email", "n_parents", "files_changed", "seq"), values_sql([("ann@example.org", 1, 1, 0), ("ann@example.org", 0, 5, 1)], "author_email, n_parents, files_changed, seq"))
+R.add("scan_diff", lambda s, b: G.read_git(s, demo_repo(), "commit_files").select("path", "change", "seq"), values_sql([("app/pages.py", "R", 0), *((p, "A", 1) for p in _DEMO)], "path, change, seq"))
+R.add("scan_blame", lambda s, b: G.blame(s.createDataFrame([(p,) for p in ("app/models.py", "app/pages.py", "gone.py")], "path string"), demo_repo(), tasks=2).select("path", "email", "lines", F.col("error").isNotNull().alias("failed")), values_sql([("app/models.py", "ann@example.org", 6, False), ("app/pages.py", "ann@example.org", 6, False), ("gone.py", None, 0, True)], "path, email, lines, failed"))
 
 
-@R.query()
+@R.query(values_sql([(0, "app/pages.py"), *((1, p) for p in _BLOBS)], "seq, path"))
 def join_rename_closure(spark, base):  # noqa: ANN001, ANN201
     d = demo_repo()
     c = G.read_git(spark, d, "commits")
@@ -386,10 +408,10 @@ def _mailmap(spark):  # noqa: ANN001, ANN202
     return H.parse_mailmap(spark.createDataFrame(list(enumerate(_MAP.split("\n"))), "ord int, value string"))
 
 
-R.add("scan_mailmap", lambda s, b: _mailmap(s))
-R.add("fn_mailmap_map", lambda s, b: H.apply_mailmap(s.createDataFrame([("J", "JD@old.example"), ("b", "bob@example.org"), ("d", "d@x.example"), ("z", "z@z.example")], "name string, email string"), _mailmap(s)))
-R.add("scan_codeowners", lambda s, b: evaluate.codeowners(s.createDataFrame([("*       @org/core",), ("/src/ui/ @Ann @bob",), ("docs/*.md @writer",), ("# x",)], "value string")))
-R.add("scan_ignore_revs", lambda s, b: s.createDataFrame([(x,) for x in G.ignored_revisions("# formatting\n" + "0" * 40 + "\n", demo_repo())], "rev string"))
+R.add("scan_mailmap", lambda s, b: _mailmap(s), values_sql([(0, "Jane Doe", "jane@example.org", None, "jd@old.example"), (1, "Bob", None, None, "bob@example.org"), (2, "Dee", "dee@example.org", "D", "d@x.example")], "ord, proper_name, proper_email, commit_name, commit_email"))
+R.add("fn_mailmap_map", lambda s, b: H.apply_mailmap(s.createDataFrame([("J", "JD@old.example"), ("b", "bob@example.org"), ("d", "d@x.example"), ("z", "z@z.example")], "name string, email string"), _mailmap(s)), values_sql([("J", "JD@old.example", "Jane Doe", "jane@example.org"), ("b", "bob@example.org", "Bob", "bob@example.org"), ("d", "d@x.example", "Dee", "dee@example.org"), ("z", "z@z.example", "z", "z@z.example")], "name, email, mapped_name, mapped_email"))
+R.add("scan_codeowners", lambda s, b: evaluate.codeowners(s.createDataFrame([("*       @org/core",), ("/src/ui/ @Ann @bob",), ("docs/*.md @writer",), ("# x",)], "value string")).select("dir", F.array_join("handles", ",").alias("handles")), values_sql([(".", "org/core"), ("src/ui", "ann,bob"), ("docs", "writer")], "dir, handles"))
+R.add("scan_ignore_revs", lambda s, b: s.createDataFrame([(x,) for x in G.ignored_revisions("# formatting\n" + "0" * 40 + "\n", demo_repo())], "rev string"), "SELECT 'x' AS rev WHERE false")
 R.add("join_handle_person", lambda s, b: evaluate.link_handles(table(s, b, "people").filter("NOT coalesce(bot, false)"), table(s, b, "people").select(F.substring_index(F.col("emails")[0], "@", 1).alias("handle")).distinct()).groupBy("handle").agg(F.count(F.lit(1)).alias("people")))
 
 
