@@ -102,7 +102,7 @@ def p6_rates(spark: SparkSession, base: str) -> DataFrame:
 def _subjects(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, base, "documents")
     names = [r["subject"] for r in table(spark, base, "subjects").orderBy("n", "subject").select("subject").distinct().collect()]
-    model = subjects.train(docs, table(spark, base, "doc_labels"), sorted(names), doc="doc_id", text="text", source="source", subject="subject")
+    model = subjects.train(docs, table(spark, base, "doc_labels"), sorted(names), doc="doc_id", text="text", source="source", subject="subject", lang="lang")
     return docs, subjects.assign(docs, model, doc="doc_id", text="text", source="source")
 
 

@@ -161,21 +161,47 @@ def _lexicon(counts: list[tuple[str, int, float]], totals: np.ndarray, purity: f
         if v.sum() < least:
             continue
         rate = v / np.sqrt(np.maximum(totals, 1))  # half-way between counts and rates: large subjects don't win, wrong labels of small ones don't either
-        # two sightings more, spread evenly, so that a few chance ones are not pure
-        p = (v.sum() * rate / rate.sum() + 2.0 / len(totals)) / (v.sum() + 2.0)
+        # one sighting more, spread evenly, so that a single chance one is not pure
+        p = (v.sum() * rate / rate.sum() + 1.0 / len(totals)) / (v.sum() + 1.0)
         s = int(p.argmax())
         if p[s] >= purity:
             out[w] = (s, 1.0)
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str, text: str, source: str, subject: str, max_train: int = 20_000, rounds: int = 2, purity: float = 0.65) -> Model:
+def common_words(base: DataFrame, share: float, least: int = 40) -> set[str]:
+    """Words in more than ``share`` of the documents of some language: no subject is so frequent, its words even less.
+
+    Counted over all documents; languages are compared without case, of unknown language is a group of its own, groups
+    under ``least`` documents say nothing. What is returned is bounded: few words can be in so many documents."""
+    size = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).limit(1000).collect()}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        for pdf in batches:
+            for t, g in zip(pdf["t"], pdf["lang"]):
+                if t and g in size:
+                    n.update((w, g) for w in set(words(t)))
+            if len(n) > 200_000:
+                yield pd.DataFrame([(w, g, v) for (w, g), v in n.items()], columns=["w", "lang", "n"])
+                n = Counter()
+        yield pd.DataFrame([(w, g, v) for (w, g), v in n.items()], columns=["w", "lang", "n"])
+
+    most = F.create_map(*(F.lit(x) for k, v in size.items() for x in (k, share * v))) if size else None
+    if most is None:
+        return set()
+    agg = base.select("t", "lang").mapInPandas(count, "w string, lang string, n long").groupBy("w", "lang").agg(F.sum("n").alias("n"))
+    return {r["w"] for r in agg.filter(F.col("n") > most[F.col("lang")]).select("w").distinct().collect()}
+
+
+def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str, text: str, source: str, subject: str, lang: str | None = None, max_train: int = 20_000, rounds: int = 2, purity: float = 0.65, common: float = 0.18) -> Model:
     """A fitted :class:`Model`. At most ``max_train`` labelled documents (by hash of their key) are used for fitting, a
     documented bound; the counts of self-training cover all documents. Labels of unknown documents or subjects and
     repeated labels are dropped; of a document with several labels all count."""
     index = {s: i for i, s in enumerate(subjects)}
     lab = labels.select(F.col(doc).alias("d"), F.col(subject).alias("s")).dropna().filter(F.col("s").isin(subjects)).distinct().groupBy("d").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    base = docs.select(F.col(doc).alias("d"), F.col(text).alias("t"), F.col(source).alias("src"))
+    code = F.lower(F.trim(F.coalesce(F.col(lang), F.lit("")))) if lang else F.lit("")
+    base = docs.select(F.col(doc).alias("d"), F.col(text).alias("t"), F.col(source).alias("src"), code.alias("lang"))
     rows = base.join(lab, "d").orderBy(F.xxhash64("d"), "d").limit(max_train).collect()
     sample = [(r["t"], r["src"], [index[s] for s in r["s"]]) for r in rows if r["t"] and r["t"].strip()]
     model = Model(subjects)
@@ -191,7 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str,
         for w in set(words(t)):
             for s in ss:
                 seen[w, s] += 1 / len(ss)
-    given = [(w, s, n) for (w, s), n in seen.items()]
+    dull = common_words(base, common)
+    given = [(w, s, n) for (w, s), n in seen.items() if w not in dull]
     least = 2.0 if len(sample) > 300 else 1.0
     model.lexicon = _lexicon(given, totals, purity, least)
     for _ in range(rounds):
@@ -224,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str,
         # per subject the most frequent words only: the size of the model, not of the corpus, is what comes to the driver
         words_of = agg.filter("w <> ''").groupBy("w").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("by")).filter("all >= 3")
         often = words_of.orderBy(F.desc("all"), "w").limit(4_000 * n_s)
-        more = [(r["w"], s, n) for r in often.collect() for s, n in r["by"].items()]
+        more = [(r["w"], s, n) for r in often.collect() for s, n in r["by"].items() if r["w"] not in dull]
         # a labelled document says more than one settled by the lexicon; both counts are rates of their own totals
         pooled = Counter({(w, s): n for w, s, n in more})
         for w, s, n in given:
