@@ -170,7 +170,7 @@ def _lexicon(counts: list[tuple[str, int, float]], totals: np.ndarray, purity: f
 
 
 def common_words(base: DataFrame, share: float, least: int = 40) -> set[str]:
-    """Words in more than ``share`` of the documents of some language: no subject is so frequent, its words even less.
+    """Words in more than ``share`` of the documents of some language, more than most subjects have.
 
     Counted over all documents; languages are compared without case, of unknown language is a group of its own, groups
     under ``least`` documents say nothing. What is returned is bounded: few words can be in so many documents."""
@@ -217,7 +217,11 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str,
         for w in set(words(t)):
             for s in ss:
                 seen[w, s] += 1 / len(ss)
-    dull = common_words(base, common)
+    support: Counter = Counter()
+    for (w, _), n in seen.items():
+        support[w] += n
+    # where the labels have seen a word often enough they say themselves whether it belongs to a subject
+    dull = {w for w in common_words(base, common) if support[w] < 6}
     given = [(w, s, n) for (w, s), n in seen.items() if w not in dull]
     least = 2.0 if len(sample) > 300 else 1.0
     model.lexicon = _lexicon(given, totals, purity, least)
