@@ -150,13 +150,13 @@ def join_commits_per_file(spark, base):  # noqa: ANN001, ANN201
     return table(spark, base, "files").join(n, ["repo", "path"], "left").select("file_id", F.coalesce("n", F.lit(0)).alias("commits"))
 
 
-@R.query(f"SELECT f.file_id, f.language, f.lines, length(t.text) AS chars, coalesce(h.n, 0) AS commits, coalesce(s.n, 0) AS chunks FROM files f LEFT JOIN file_text t USING (file_id) LEFT JOIN (SELECT repo, path, count(DISTINCT commit_id) AS n FROM commit_files WHERE path IS NOT NULL GROUP BY ALL) h ON h.repo = f.repo AND h.path = f.path LEFT JOIN (SELECT repo, path, count(*) AS n FROM chunks GROUP BY ALL) s ON s.repo = f.repo AND s.path = f.path")
+@R.query(f"SELECT f.file_id, f.language, f.lines, coalesce(length(t.text), -1) AS chars, coalesce(h.n, 0) AS commits, coalesce(s.n, 0) AS chunks FROM files f LEFT JOIN file_text t USING (file_id) LEFT JOIN (SELECT repo, path, count(DISTINCT commit_id) AS n FROM commit_files WHERE path IS NOT NULL GROUP BY ALL) h ON h.repo = f.repo AND h.path = f.path LEFT JOIN (SELECT repo, path, count(*) AS n FROM chunks GROUP BY ALL) s ON s.repo = f.repo AND s.path = f.path")
 def join_file_enrich(spark, base):  # noqa: ANN001, ANN201
     n = table(spark, base, "commit_files").dropna(subset=["path"]).distinct().groupBy("repo", "path").agg(F.count(F.lit(1)).alias("commits"))
     c = table(spark, base, "chunks").groupBy("repo", "path").agg(F.count(F.lit(1)).alias("chunks"))
     t = table(spark, base, "file_text").select("file_id", F.length("text").alias("chars"))
     f = table(spark, base, "files").join(t, "file_id", "left").join(n, ["repo", "path"], "left").join(c, ["repo", "path"], "left")
-    return f.select("file_id", "language", "lines", "chars", F.coalesce("commits", F.lit(0)).alias("commits"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    return f.select("file_id", "language", "lines", F.coalesce("chars", F.lit(-1)).alias("chars"), F.coalesce("commits", F.lit(0)).alias("commits"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
 @R.query("SELECT coalesce(a.e, b.e) AS email, coalesce(b.n, a.n) AS commits, b.n IS NOT NULL AS from_history FROM (SELECT lower(email) AS e, max(commits) AS n FROM identities WHERE email IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT lower(author_email) AS e, count(*) AS n FROM (SELECT DISTINCT commit_id, author_email FROM commits WHERE author_email IS NOT NULL) GROUP BY 1) b ON a.e = b.e")

@@ -114,11 +114,11 @@ per_file("fn_pattern_to_dir", lambda: P.pattern_to_dir(F.concat(F.lit("/"), P.co
 
 
 @R.query(
-    "SELECT doc_id, c[1] AS path, c[2]::int AS start_line, CASE WHEN c[3] <> '' THEN c[3]::int END AS end_line FROM (SELECT DISTINCT doc_id, [replace(regexp_extract(m, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]+):(\\d+)(?:\\s*[-–]\\s*(\\d+))?', 1), '\\', '/'), regexp_extract(m, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]+):(\\d+)(?:\\s*[-–]\\s*(\\d+))?', 2), regexp_extract(m, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]+):(\\d+)(?:\\s*[-–]\\s*(\\d+))?', 3)] AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]+):(\\d+)(?:\\s*[-–]\\s*(\\d+))?')) AS m FROM documents))"
+    "SELECT doc_id, c[1] AS path, c[2]::int AS start_line, CASE WHEN c[3] <> '' THEN c[3]::int ELSE 0 END AS end_line FROM (SELECT DISTINCT doc_id, [replace(regexp_extract(m, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]+):(\\d+)(?:\\s*[-–]\\s*(\\d+))?', 1), '\\', '/'), regexp_extract(m, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]+):(\\d+)(?:\\s*[-–]\\s*(\\d+))?', 2), regexp_extract(m, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]+):(\\d+)(?:\\s*[-–]\\s*(\\d+))?', 3)] AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]+):(\\d+)(?:\\s*[-–]\\s*(\\d+))?')) AS m FROM documents))"
 )
 def fn_citations(spark, base):  # noqa: ANN001, ANN201
     d = table(spark, base, "documents")
-    return d.select("doc_id", F.explode(T.citations(F.col("text"))).alias("c")).select("doc_id", "c.path", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"))
+    return d.select("doc_id", F.explode(T.citations(F.col("text"))).alias("c")).select("doc_id", "c.path", F.col("c.start").alias("start_line"), F.coalesce("c.end", F.lit(0)).alias("end_line"))
 
 
 @R.query(

@@ -118,7 +118,7 @@ def _citations(spark, base):  # noqa: ANN001, ANN202
 
 
 _CST = f"WITH {_GIVEN}, {_ANS}, j AS (SELECT c.doc_id, c.a, c.b, bool_or(s = a AND (b IS NULL OR e = b)) AS exact, bool_or(a BETWEEN s AND e) AS ia, bool_or(b BETWEEN s AND e) AS ib FROM c LEFT JOIN g ON g.doc_id = c.doc_id GROUP BY ALL), st AS (SELECT doc_id, a AS start_line, b AS end_line, CASE WHEN exact THEN 'exact' WHEN ia AND (b IS NULL OR ib) THEN 'inside' ELSE 'unsupported' END AS status FROM j)"
-R.add("join_citation_range", lambda s, b: _citations(s, b).select("doc_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"), "status"), _CST + " SELECT * FROM st")
+R.add("join_citation_range", lambda s, b: _citations(s, b).select("doc_id", F.col("start").alias("start_line"), F.coalesce("end", F.lit(0)).alias("end_line"), "status"), _CST + " SELECT doc_id, start_line, coalesce(end_line, 0) AS end_line, status FROM st")
 R.add("qa_citations", lambda s, b: _citations(s, b).groupBy("status").agg(F.count(F.lit(1)).alias("n")), _CST + " SELECT status, count(*) AS n FROM st GROUP BY 1")
 R.add("agg_unsupported", lambda s, b: _citations(s, b).agg(F.count_if(F.col("status") == "unsupported").alias("unsupported")), _CST + " SELECT count_if(status = 'unsupported')::bigint AS unsupported FROM st")
 

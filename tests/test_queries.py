@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
@@ -24,7 +25,7 @@ def norm(d):
     def f(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
-        return repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return repr(round(float(v), 6)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     out = pd.DataFrame({c: [f(v) for v in d[c]] for c in sorted(d.columns)})
     return out.sort_values(list(out.columns)).reset_index(drop=True)
