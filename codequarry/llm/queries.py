@@ -54,6 +54,31 @@ def p2_reading_order(spark: SparkSession, base: str) -> DataFrame:
     return out.select("repo", "path", F.round("combined", 5).alias("combined"), "position")
 
 
+def _quantile(p: str) -> str:
+    """The same rational approximation of the normal quantile in SQL."""
+    poly = lambda cs, x, last=None: "(" + "(" * (len(cs) - 1) + f"{cs[0]!r}::double" + "".join(f" * {x} + {c!r}::double)" for c in cs[1:]) + (f" * {x} + {last!r}::double" if last else "") + ")"
+    q, r = f"({p} - 0.5::double)", f"(({p} - 0.5::double) * ({p} - 0.5::double))"
+    tail = lambda x: f"{poly(ranking.C, x)} / {poly(ranking.D, x, 1.0)}"
+    low, high = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    return f"CASE WHEN {p} < {ranking.LOW} THEN {tail(low)} WHEN {p} > {1 - ranking.LOW} THEN -({tail(high)}) ELSE {poly(ranking.A, r)} * {q} / {poly(ranking.B, r, 1.0)} END"
+
+
+def _p2() -> str:
+    w = {"churn": 0.35, "reach": 0.25, "fan_in": 0.2, "raw_commits": 0.2}
+    newest = ", ".join(f"{c} DESC NULLS LAST" for c in ("computed_at", *w))
+    clean = ", ".join(f"CASE WHEN lower({c}::varchar) NOT LIKE '%nan%' AND {c} >= 0 AND {c} < 1e12 THEN {c}::double END AS {c}" for c in w)
+    rank = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY repo, {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY repo, {c}) - 1) / 2.0::double - 0.5::double) / count({c}) OVER (PARTITION BY repo) END AS {c}_p" for c in w)
+    comb = " + ".join(f"coalesce({_quantile(c + '_p')}, 0) * {x}::double" for c, x in w.items())
+    return (
+        f"WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY {newest}) AS rn FROM scored WHERE repo IS NOT NULL AND path IS NOT NULL) WHERE rn = 1), "
+        f"c AS (SELECT repo, path, {clean} FROM n), r AS (SELECT repo, path, {rank} FROM c), s AS (SELECT repo, path, round({comb}, 9) AS x FROM r) "
+        "SELECT repo, path, round(x, 5) AS combined, row_number() OVER (PARTITION BY repo ORDER BY x DESC, path) AS position FROM s"
+    )
+
+
+SQL["p2_reading_order"] = _p2()
+
+
 @query
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return p3_pieces(spark, base).filter("piece = 1").select("chunk_id")
