@@ -13,7 +13,7 @@ from codequarry.functions import paths as P
 from codequarry.operators import chunking, duplicates, evaluate, findings, graph, imports, jobs, overview, search
 from codequarry.operators import history as H
 from codequarry.plans.registry import Registry, values_sql
-from codequarry.plans.rows import _CODE, _SIG
+from codequarry.plans.rows import _CODE, _LOW, _N, _SIG, _TEST, _q
 from codequarry.session import cut, table
 from codequarry.sources import files as X
 from codequarry.sources import git as G
@@ -178,8 +178,19 @@ def chunk_all(spark, base):  # noqa: ANN001, ANN201
 R.add("cap_chunks", lambda s, b: chunking.cap(chunk_all(s, b), 400))
 R.add("find_repeated_functions", lambda s, b: findings.repeated_functions(_texts(s, b), A.symbols_of(_parsed(s, b)), _files(s, b)).select("kind", "severity", "title", F.size("evidence").alias("evidence")))
 R.add("join_interval_cover", lambda s, b: duplicates.outermost(duplicates.repeated_bodies(_texts(s, b), A.symbols_of(_parsed(s, b)), min_lines=2)).select("path", "start_line", "end_line", "copies"))
-R.add("find_similar_names", lambda s, b: findings.similar_names(_files(s, b)).select("title", F.size("evidence").alias("evidence")))
-R.add("find_generated", lambda s, b: findings.committed_generated(_files(s, b)).select("severity", "title"))
+_STEM_OF = f"array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace({_N}, '(.)\\..*$', '\\1'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\-\\s]+'), lambda w: w <> '' AND w NOT IN ({_q(P.ROLE_WORDS)})), '')"
+R.add(
+    "find_similar_names", lambda s, b: findings.similar_names(_files(s, b)).select("title", F.size("evidence").alias("evidence")),
+    f"SELECT count(*) || ' files named after \"' || stem || '\" in ' || count(DISTINCT repo) || ' areas' AS title, count(*) AS evidence FROM (SELECT repo, {_STEM_OF} AS stem FROM files WHERE NOT is_test AND {_CODE} AND generated_reason IS NULL AND lower(language) NOT IN ('css', 'html')) WHERE length(stem) >= 3 AND stem NOT IN ({_q(P.GENERIC_STEMS)}) GROUP BY stem HAVING count(*) >= 3 AND count(DISTINCT repo) >= 2",
+)
+_GENERATED = f"""
+WITH f AS (SELECT replace(repo, '/', '~') || '/' || path AS p, generated_reason AS r, {_LOW} AS n, {_TEST} AS t FROM files),
+env AS (SELECT p, t FROM f WHERE (n = '.env' OR prefix(n, '.env.')) AND n NOT IN ({_q(P.ENV_TEMPLATES)})),
+db AS (SELECT p FROM f WHERE regexp_matches(n, '\\.(sqlite3?|db)$') AND n <> 'thumbs.db'),
+a AS (SELECT CASE WHEN t THEN 'info' ELSE 'warn' END AS severity, 'Environment file committed' || CASE WHEN t THEN ' in tests: ' ELSE ': ' END || p AS title FROM env
+UNION ALL SELECT CASE WHEN r IN ('marked as generated', 'minified file', 'source map') THEN 'info' ELSE 'warn' END, CASE WHEN count(*) = 1 THEN 'Generated file committed (' || r || '): ' || min(p) ELSE count(*) || ' generated files committed (' || r || ')' END FROM f WHERE r IS NOT NULL GROUP BY r
+UNION ALL SELECT 'info', CASE WHEN count(*) = 1 THEN 'Database file committed: ' || min(p) ELSE count(*) || ' database files committed' END FROM db HAVING count(*) > 0)"""
+R.add("find_generated", lambda s, b: findings.committed_generated(_files(s, b)).select("severity", "title"), _GENERATED + " SELECT severity, title FROM a")
 R.add("find_missing_tests", lambda s, b: findings.missing_tests(_files(s, b), _edges(s, b)).select("title", F.size("evidence").alias("evidence")))
 R.add("find_unreferenced", lambda s, b: _unreferenced(s, b, cut(_parsed(s, b))).select("title", F.size("evidence").alias("evidence")))
 R.add("find_import_cycles", lambda s, b: findings.import_cycles(_edges(s, b)).select("title", F.size("evidence").alias("evidence")))
@@ -213,7 +224,7 @@ def _numbered(spark, base):  # noqa: ANN001, ANN202
 
 R.add("win_finding_id", lambda s, b: _numbered(s, b)[0].select("id", "title"), _NUM + " SELECT kind || '-' || n AS id, p AS title FROM n WHERE n <= 3")
 R.add("agg_findings_omitted", lambda s, b: _numbered(s, b)[1], _NUM + " SELECT kind, greatest(count(*) - 3, 0) AS omitted FROM n GROUP BY 1 HAVING count(*) > 3")
-R.add("ui_warn_only", lambda s, b: findings.committed_generated(_files(s, b)).filter("severity = 'warn'").select("kind", "title"))
+R.add("ui_warn_only", lambda s, b: findings.committed_generated(_files(s, b)).filter("severity = 'warn'").select("kind", "title"), _GENERATED + " SELECT 'generated-file-committed' AS kind, title FROM a WHERE severity = 'warn'")
 
 # ---- graphs on trade between nations ----
 _TRADE = "t AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL), e AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY n DESC, src, dst) AS rn FROM t) WHERE rn <= 60 AND src <> dst)"
