@@ -61,6 +61,27 @@ def _one_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": scope, "a": np.minimum(a, b), "b": np.maximum(a, b), "m": np.concatenate(m_out)})
 
 
+def _if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast if it is counted to have at most ``most`` rows, else left to an ordinary join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _small_baskets(src: DataFrame, max_basket: int) -> DataFrame:
+    """(scope, basket, items) of baskets with at most ``max_basket`` distinct items; repeated rows count once.
+
+    Rows per basket are counted first, which costs a small shuffle. A basket of few rows, repeats included, can safely
+    be gathered as a set: one shuffle of the rows. The others, sweeping or much repeated, are made distinct and counted
+    before anything is gathered."""
+    keys = ["scope", "basket"]
+    crowded = cut(src.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 32 * max_basket).select(*keys))
+    marked = _if_small(crowded)
+    few = src.join(marked, keys, "left_anti").groupBy(*keys).agg(F.collect_set("item").alias("items")).filter(F.size("items") <= max_basket)
+    d = src.join(marked, keys, "left_semi").distinct()
+    fit = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= max_basket).select(*keys)
+    rest = d.join(fit, keys).groupBy(*keys).agg(F.collect_list("item").alias("items"))
+    return few.unionByName(rest)
+
+
 def together(
     rows: DataFrame,
     *,
@@ -83,9 +104,7 @@ def together(
     in at most min(n_a, n_b) baskets, an item with n_a > n / min_lift cannot reach the lift with any partner.
     """
     src = rows.select(F.col(scope).alias("scope"), F.col(basket).alias("basket"), F.col(item).alias("item")).dropna()
-    src = src.distinct()
-    small = src.groupBy("scope", "basket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= max_basket).drop("size")
-    sized = src.join(small, ["scope", "basket"]).groupBy("scope", "basket").agg(F.collect_list("item").alias("items"))
+    sized = _small_baskets(src, max_basket)
     baskets = cut(sized.select("scope", F.monotonically_increasing_id().alias("bid"), "items"))
     scopes = cut(baskets.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).withColumn("sid", F.monotonically_increasing_id()))
     flat = baskets.select("scope", "bid", F.explode("items").alias("item"))
@@ -95,7 +114,7 @@ def together(
         .filter(F.col("c") * min_lift <= F.col("n"))
         .select("scope", "sid", "item", "c", "n", F.monotonically_increasing_id().alias("iid"), (F.col("c") >= F.col("n") * heavy_share).alias("is_heavy"))
     )
-    ids = flat.join(kept.select("scope", "item", "sid", "iid", "is_heavy", "n"), ["scope", "item"])
+    ids = flat.join(_if_small(kept.select("scope", "item", "sid", "iid", "is_heavy", "n")), ["scope", "item"])
     per = ids.groupBy("sid", "bid").agg(
         F.first("n").alias("n"),
         F.sort_array(F.collect_list(F.when(F.col("is_heavy"), F.col("iid")))).alias("heavy"),

@@ -410,3 +410,10 @@ VALID_TS = [
 @pytest.mark.parametrize(("text", "typed"), [(x, False) for x in VALID_JS] + [(x, True) for x in VALID_TS])
 def test_valid_scripts_pass(text, typed):
     assert lexers.script_file(text, typed) is None
+
+
+def test_crowded_baskets(spark):
+    """Baskets of many rows: one of two items repeated often counts, one of many items doesn't."""
+    data = [("s", "rep", f"i{i % 2}") for i in range(1000)] + [("s", "sweep", f"x{i}") for i in range(1000)] + [("s", f"b{k}", i) for k in range(4) for i in ("i0", "i1")] + [("s", f"o{k}", "z") for k in range(20)]
+    got = cooccurrence.together(spark.createDataFrame(data, "s string, b string, i string"), scope="s", basket="b", item="i").collect()
+    assert [(r["item_a"], r["item_b"], r["n"], r["n_a"], r["n_b"], r["together"]) for r in got] == [("i0", "i1", 25, 5, 5, 5)]
