@@ -9,8 +9,6 @@ with map-side combining. The three partial counts are summed and scored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
