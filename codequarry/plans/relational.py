@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths as P
-from codequarry.functions.scoring import round3
 from codequarry.operators import cochange as C
 from codequarry.operators import evaluate as E
 from codequarry.operators import history as H
@@ -18,7 +17,7 @@ from codequarry.operators import overview as O
 from codequarry.operators import ownership as W
 from codequarry.operators import ranking as K
 from codequarry.plans.registry import Registry
-from codequarry.plans.rows import _AREA, _CODE, _D
+from codequarry.plans.rows import _AREA, _CODE
 from codequarry.session import table
 
 R = Registry()
