@@ -4,9 +4,9 @@ A row's name and email are read as evidence: a full pair of name parts, a part w
 letters of the other, a run-together form, a handle, an organisation. Frequent full pairs are the candidate canonical
 forms; their prior is how often they are spelled so, in names and in emails. Every piece of evidence becomes keys of the
 canonical forms that could have produced it (exact, initial, prefix, nickname, one edit away), each with a likelihood;
-key by key only the two most frequent forms are kept, so a common key stays small. Prior and likelihoods are combined
-and a row is attached to the form with the greatest posterior, unless a second form comes too close. Handles, mailboxes
-of one person and an earlier partial resolution then join forms; connected components of forms are the entities.
+all forms of a key are kept, whatever their rank. Prior and likelihoods are combined and a row is attached to the form
+with the greatest posterior, unless a second form comes too close. Handles, mailboxes of one person and an earlier
+partial resolution then join forms; connected components of forms are the entities.
 """
 
 from __future__ import annotations
@@ -130,6 +130,8 @@ def _deletes(a: str) -> set[str]:
 
 #: Log likelihoods of the ways a spelling arises from a canonical form; fixed weights of the channel.
 CHANNEL = {"pair": 0.0, "nick": -1.5, "typo": -2.0, "run": -1.0, "pre": -1.0, "init": -2.0}
+#: Log likelihood of a piece of evidence that a form does not explain.
+MISS = -6.0
 PREFIX = 6
 
 
@@ -196,21 +198,28 @@ def link_names(df: DataFrame, *, key: str, name: str, names: str | None, email:
             rows = [(v, kk, way) for v, ok in zip(pdf["v"], pdf["confirmed"]) for kk, way in keys_of_evidence(*v.split("=", 1), typos=not ok)]
             yield pd.DataFrame(rows, columns=["v", "key", "way"])
 
-    # the two most frequent forms of each key: a partial top-2 before the shuffle, no list of all forms anywhere
     spell = cut(forms.mapInPandas(form_keys, "key string, way string, form string, freq long, mails long"))
-    top = Window.partitionBy("key").orderBy(F.desc("freq"), F.desc("mails"), F.desc("form"))
-    best = spell.withColumn("rn", F.row_number().over(top)).filter("rn <= 2")
-    table = cut(best.join(spell.groupBy("key").agg(F.count(F.lit(1)).alias("n_forms")), "key").select("key", "form", "freq", "mails", "n_forms"))
+    table = cut(spell.join(spell.groupBy("key").agg(F.count(F.lit(1)).alias("n_forms")), "key").select("key", "form", "freq", "mails", "n_forms"))
     mailed = forms.filter("mails > 0").select(F.concat(F.lit("pair="), "form").alias("v"), F.lit(True).alias("c"))
     values = people.select(F.explode("ev").alias("v")).distinct().join(mailed, "v", "left").select("v", F.coalesce("c", F.lit(False)).alias("confirmed"))
     asked = values.mapInPandas(ask_keys, "v string, key string, way string")
     weight = F.create_map(*(F.lit(x) for kv in CHANNEL.items() for x in kv))
     # prior: how often the form is spelled; one that no email spells is more likely somebody's typo or short form
     found = asked.join(table, "key").select("v", "form", (1.5 * F.log("freq") - F.when(F.col("mails") == 0, 2.0).otherwise(0.0)).alias("prior"), (weight[F.col("way")] - F.when(F.col("way") != "pair", F.log(F.col("n_forms").cast("double"))).otherwise(0.0)).alias("ll"))
-    per_value = cut(found.groupBy("v", "form").agg(F.max("prior").alias("prior"), F.max("ll").alias("ll")))
-    rows = people.select("k", F.size("ev").alias("n_ev"), F.explode("ev").alias("v")).join(per_value, "v")
-    post = rows.groupBy("k", "form").agg(F.first("n_ev").alias("n_ev"), F.max("prior").alias("prior"), F.sum("ll").alias("ll"), F.count(F.lit(1)).alias("hit"))
-    post = post.withColumn("score", F.col("prior") + F.col("ll") - 6.0 * (F.col("n_ev") - F.col("hit")))
+    # every form of a key counts: a value has few keys and a key few values, so this grows with the forms. What a hit gains
+    # over a miss is never negative, however many forms share the key.
+    per_value = cut(found.groupBy("v", "form").agg(F.max("prior").alias("prior"), F.max("ll").alias("ll")).select("v", "form", "prior", F.greatest(F.col("ll") - MISS, F.lit(0.0)).alias("gain")))
+    # A row's two best forms are found exactly without listing all forms of its most shared value, ``wide``: a form that
+    # another value hits comes from there and is looked up in ``wide``; of those that only ``wide`` hits two can matter.
+    fan = per_value.groupBy("v").agg(F.count(F.lit(1)).alias("fan"))
+    lead = Window.partitionBy("v").orderBy((F.col("prior") + F.col("gain")).desc(), "form")
+    leaders = per_value.withColumn("rn", F.row_number().over(lead)).filter("rn <= 2").drop("rn")
+    hits = people.select("k", F.size("ev").alias("n_ev"), F.explode("ev").alias("v")).join(fan, "v").groupBy("k", "n_ev").agg(F.sort_array(F.collect_list(F.struct("fan", "v")), asc=False)["v"].alias("vs"))
+    hits = cut(hits.select("k", "n_ev", F.col("vs")[0].alias("wide"), F.slice("vs", F.lit(2), F.size("vs")).alias("rest")))
+    some = hits.select("k", "n_ev", "wide", F.explode("rest").alias("v")).join(per_value, "v").groupBy("k", "n_ev", "wide", "form").agg(F.max("prior").alias("prior"), F.sum("gain").alias("gain"))
+    also = some.join(per_value.select(F.col("v").alias("wide"), "form", F.col("gain").alias("more")), ["wide", "form"], "left").select("k", "n_ev", "form", "prior", (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain"))
+    only = hits.join(leaders.withColumnRenamed("v", "wide"), "wide").select("k", "n_ev", "form", "prior", "gain")
+    post = also.unionByName(only).groupBy("k", "form").agg(F.max(F.col("prior") + F.col("gain") + MISS * F.col("n_ev")).alias("score"))
     w = Window.partitionBy("k").orderBy(F.desc("score"), "form")
     ranked = post.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).filter("r = 1")
     attached = cut(ranked.filter(F.col("next").isNull() | (F.col("score") - F.col("next") >= min_margin)).select("k", "form"))

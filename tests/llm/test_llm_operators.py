@@ -163,6 +163,14 @@ def test_names(spark):
     assert names.link_names(df.limit(0), key="id", name="name", names="names", email="email").count() == 0
 
 
+def test_no_form_is_cut_from_a_shared_key(spark):
+    """Three forms on init:jane|s; the address of row 1 points to the least frequent one."""
+    data = [(1, "Jane S.", "jane.strom@x.example"), (2, "Jane Strom", "jane.strom@y.example")]
+    data += [(100 + i, "Jane Sandor", f"jane.sandor@h{i}.example") for i in range(24)] + [(200 + i, "Jane Sibelius", f"jane.sibelius@h{i}.example") for i in range(12)]
+    got = dict(rows(names.link_names(spark.createDataFrame(data, "id long, name string, email string"), key="id", name="name", names=None, email="email"), "id", "entity"))
+    assert got.get(1) == got[2] and len({got[2], got[100], got[200]}) == 3
+
+
 def test_known_people_join_forms(spark):
     df = spark.createDataFrame([(1, "Ann Onesurname", "ann.onesurname@a.x"), (2, "Ann Twosurname", "ann.twosurname@a.x")], "id long, name string, email string")
     known = spark.createDataFrame([("p", ["ann.onesurname@a.x", "ANN.twosurname@a.x"])], "id string, emails array<string>")
