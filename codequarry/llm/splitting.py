@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Penalties of cutting before a line; a cut inside a line costs MID, one inside a word WORD. Fixed weights.
 TOP, BLANK, SHALLOW, DEDENT, LINE, SENTENCE, MID, WORD = 0.0, 0.6, 1.0, 1.5, 3.0, 1.2, 12.0, 30.0
+#: Penalty of each line that an overlap is short of: above what other cuts cost.
+SHORT = 100.0
 _DEF = re.compile(r"\s*(?:@|(?:async\s+)?def\s|class\s|export\s|function\b|interface\s|(?:pub\s+)?fn\s|const\s+\w+\s*=\s*(?:async\s*)?\()")
 _HEAD = re.compile(r"#{1,6}\s|={3,}|-{3,}\s*$|\* |- |\d+[.)]\s")
 _SENT = re.compile(r"[.!?:;][\"')\]]*\s*$")
@@ -67,37 +69,49 @@ def _cuts(body: str, kind: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.
 def split_points(body: str, kind: str, limit: int = 4000, overlap_lines: int = 0) -> list[tuple[int, int]]:
     """Character ranges [begin, end) of the pieces of one body; each at most ``limit`` long, together the whole body.
 
-    Minimises the sum of cut penalties and of (1 - length / limit)^2, the imbalance. A piece after a cut at a line start
-    begins ``overlap_lines`` lines earlier, as far as a quarter of the limit allows; a cut inside a line overlaps nothing.
+    Minimises the sum of cut penalties and of (1 - length / limit)^2, the imbalance. A piece begins ``overlap_lines``
+    line starts before the cut that ends the piece before it; after a cut inside a line the begun line is the first of
+    them. The overlap may take as much of the limit as it needs. It is shorter only where the next place to cut would be
+    out of reach, or where the piece would begin no later than the one before it, at SHORT a line.
     """
     n = len(body)
     if n <= limit:
         return [(0, n)]
     pos, pen, is_line = _cuts(body, kind, limit)
-    begin = pos.copy()
-    if overlap_lines:
-        line_idx = np.flatnonzero(is_line[:-1])
-        for r, i in enumerate(line_idx):
-            for back in range(min(overlap_lines, r), 0, -1):
-                if pos[i] - pos[line_idx[r - back]] <= limit // 4:
-                    begin[i] = pos[line_idx[r - back]]
-                    break
-    m = len(pos)
-    best, came = np.full(m, np.inf), np.full(m, -1)
-    best[0] = 0.0
+    m, width = len(pos), overlap_lines + 1
+    starts = pos[:-1][is_line[:-1]]
+    # state (cut, lines given up): where the piece after the cut begins, and what that costs; the last option is no overlap
+    begin, cost = np.full((m, width), -1), np.full((m, width), np.inf)
+    begin[0, -1], cost[0, -1] = 0, 0.0
+    before = np.searchsorted(starts, pos)
+    begin[-1, -1], cost[-1, -1] = n, 0.0
+    for i in range(1, m - 1):
+        # no line before this cut fits: nothing to give up
+        none = pos[i + 1] - starts[before[i] - 1] > limit
+        for back in range(min(overlap_lines, before[i]), -1, -1):
+            at = starts[before[i] - back] if back else pos[i]
+            if not back or (at > 0 and pos[i + 1] - at <= limit):
+                begin[i, overlap_lines - back], cost[i, overlap_lines - back] = at, 0.0 if none else SHORT * (overlap_lines - back)
+    best, came = np.full((m, width), np.inf), np.full((m, width), -1)
+    best[0, -1] = 0.0
     lo = 0
     for j in range(1, m):
-        while begin[lo] + limit < pos[j]:
+        while pos[lo] + limit < pos[j]:
             lo += 1
-        length = pos[j] - begin[lo:j]
-        cost = best[lo:j] + np.where(length <= limit, (1 - length / limit) ** 2, np.inf)
-        k = int(np.argmin(cost))
-        best[j], came[j] = cost[k] + pen[j], lo + k
-    out, j = [], m - 1
-    while j > 0:
-        i = int(came[j])
-        out.append((int(begin[i]), int(pos[j])))
-        j = i
+        from_, total = begin[lo:j].ravel(), best[lo:j].ravel()
+        length = pos[j] - from_
+        total = total + np.where((from_ >= 0) & (length <= limit), (1 - length / limit) ** 2, np.inf)
+        for c in range(width):
+            if begin[j, c] >= 0:
+                # pieces begin one after the other
+                ok = np.where(from_ < begin[j, c], total, np.inf)
+                k = int(np.argmin(ok))
+                best[j, c], came[j, c] = ok[k] + pen[j] + cost[j, c], lo * width + k
+    out, state = [], (m - 1) * width + int(np.argmin(best[m - 1]))
+    while state >= width:
+        j = state // width
+        state = int(came[j, state % width])
+        out.append((int(begin[state // width, state % width]), int(pos[j])))
     return out[::-1]
 
 

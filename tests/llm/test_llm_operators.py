@@ -104,6 +104,17 @@ def test_pieces_cover_the_body(lines, end, limit, overlap, kind):
         assert "".join(body[a:b] for a, b in pieces) == body
 
 
+@pytest.mark.parametrize("size", [80, 400, 900, 1250])
+def test_overlap_has_all_the_lines_asked_for(size):
+    """Three lines of up to 3,750 characters fit the limit; a line above the limit has room for none at its far end."""
+    body = "\n".join(f"{i:02d} " + "word " * ((size - 4) // 5) for i in range(60))
+    pieces = splitting.split_points(body, "text", 4000, 3)
+    assert [body[c:b].count("\n") + (body[b - 1] != "\n") for (_, b), (c, _) in zip(pieces, pieces[1:])] == [3] * (len(pieces) - 1)
+    assert all(b - a <= 4000 and (a == 0 or body[a - 1] == "\n") for a, b in pieces)
+    long = splitting.split_points("head\n" * 3 + "x" * 20_000 + "\n" + "tail\n" * 9, "text", 4000, 3)
+    assert all(b - a <= 4000 for a, b in long) and all(a < c <= b < d for (a, b), (c, d) in zip(long, long[1:]))
+
+
 def test_split_prefers_natural_boundaries(spark):
     body = "\n\n".join(f"def f{i}():\n" + "    x = 1\n" * 20 for i in range(40))
     df = spark.createDataFrame([(1, body, "function", 10, 9), (2, "short", "text", 1, 1), (3, None, "text", None, None), (4, "x" * 9000, "text", None, 7), (5, "", "text", 1, 1)], "id long, t string, k string, s int, e int")
