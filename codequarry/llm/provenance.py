@@ -56,12 +56,16 @@ def text_evidence(text: str, ext: str) -> np.ndarray:
     if not text:
         return e
     lines = text.split("\n")
-    head: list[str] = []
-    for x in lines[:400]:
-        if x.strip() and not _COMMENT.match(x):
-            break
-        head.append(x)
-    tail = [x for x in lines[-6:] if _COMMENT.match(x)]
+    # the whole leading and trailing comment blocks; a shebang belongs to the leading one
+    top = 1 if lines[0].startswith("#!") else 0
+    while top < len(lines) and (not lines[top].strip() or _COMMENT.match(lines[top])):
+        top += 1
+    head = lines[:top]
+    end = len(lines)
+    while end > top and (not lines[end - 1].strip() or _COMMENT.match(lines[end - 1])):
+        end -= 1
+    # near the end comments count also between lines of code
+    tail = [x for x in lines[max(top, min(end, len(lines) - 6)) :] if _COMMENT.match(x)]
     comments = "\n".join(head + tail)
     doc = ""
     rest = text[len("\n".join(head)) :].lstrip() if head else text.lstrip()
@@ -71,7 +75,7 @@ def text_evidence(text: str, ext: str) -> np.ndarray:
         e[0] += 8
     elif _MARK.search(comments) or (doc and _DOC_MARK.search(doc)):
         e[1] += 13
-    if _PB.search(text[:20_000]):
+    if _PB.search(text):
         e[1] += 13
     if _LICENCE.match(text) and len(lines) > 4:
         e[3] += 12

@@ -245,6 +245,20 @@ def test_provenance(spark):
     assert provenance.label_files(df.limit(0), t.limit(0)).count() == 0
 
 
+CODE = "".join(f"x{i} = {i} * offset\n" for i in range(3000))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "#!/usr/bin/env python\n# Generated by gen, do not edit.\n" + CODE, '#!/usr/bin/env python\n"""Generated by gen."""\n' + CODE, "# licence\n" * 500 + "# Code generated by gen. DO NOT EDIT.\n" + CODE,
+        CODE + "# end of generated code\n" + "# note\n" * 20, CODE + "# end of generated code\n" + "\n" * 20, CODE + "_lr_action = {}\n", CODE + "DESCRIPTOR = _descriptor.FileDescriptor()\n",
+    ],
+)
+def test_markers_are_found_in_whole_texts(text):
+    assert provenance.text_evidence(text, "py")[1] >= 13 and provenance.text_evidence("#!/bin/sh\n" + CODE, "py")[1] == 0
+
+
 def test_belief_propagation_is_exact(spark):
     """Marginals against enumeration on a small tree."""
     import numpy as np
