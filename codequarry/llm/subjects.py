@@ -169,6 +169,32 @@ def _lexicon(counts: list[tuple[str, int, float]], totals: np.ndarray, purity: f
     return out
 
 
+def _learn(words_of: DataFrame, given: list[tuple[str, int, float]], dull: set[str], totals: np.ndarray, purity: float, least: float) -> dict[str, tuple[int, float]]:
+    """Lexicon of the counts of self-training, (w, s array, n array), pooled with TRUST times the ``given`` ones.
+
+    Words are judged on the executors. To the driver come those that enter the lexicon and, of the labelled documents'
+    words, which it holds anyway, those that don't."""
+    labelled: dict[str, list[tuple[int, float]]] = {}
+    for w, s, n in given:
+        labelled.setdefault(w, []).append((s, TRUST * n))
+    shared = words_of.sparkSession.sparkContext.broadcast((labelled, dull))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labelled, dull = shared.value
+        for pdf in batches:
+            pdf = pdf[~pdf["w"].isin(dull)]
+            counts = [(w, int(s), float(n)) for w, ss, ns in zip(pdf["w"], pdf["s"], pdf["n"]) for s, n in zip(ss, ns)]
+            counts += [(w, s, n) for w in pdf["w"] for s, n in labelled.get(w, ())]
+            lex = _lexicon(counts, totals, purity, least)
+            rows = [(w, lex[w][0] if w in lex else None) for w in pdf["w"] if w in lex or w in labelled]
+            yield pd.DataFrame({"w": [w for w, _ in rows], "s": pd.array([s for _, s in rows], dtype="Int32")})
+
+    judged = {r["w"]: r["s"] for r in words_of.mapInPandas(judge, "w string, s int").collect()}
+    unseen = _lexicon([(w, s, n) for w, sn in labelled.items() if w not in judged for s, n in sn], totals, purity, least)
+    shared.destroy()
+    return {w: (s, 1.0) for w, s in judged.items() if s is not None} | unseen
+
+
 def common_words(base: DataFrame, share: float, least: int = 40) -> set[str]:
     """Words in more than ``share`` of the documents of some language, more than most subjects have.
 
@@ -194,9 +220,10 @@ def common_words(base: DataFrame, share: float, least: int = 40) -> set[str]:
     return {r["w"] for r in agg.filter(F.col("n") > most[F.col("lang")]).select("w").distinct().collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str, text: str, source: str, subject: str, lang: str | None = None, max_train: int = 20_000, rounds: int = 2, purity: float = 0.65, common: float = 0.18) -> Model:
+def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str, text: str, source: str, subject: str, lang: str | None = None, max_train: int = 20_000, rounds: int = 2, purity: float = 0.65, common: float = 0.18, least: float = 1.0) -> Model:
     """A fitted :class:`Model`. At most ``max_train`` labelled documents (by hash of their key) are used for fitting, a
-    documented bound; the counts of self-training cover all documents. Labels of unknown documents or subjects and
+    documented bound; the counts of self-training cover all documents and all words. A word needs ``least`` labelled
+    documents, or TRUST times as many that self-training settled, to enter the lexicon, at every size. Labels of unknown documents or subjects and
     repeated labels are dropped; of a document with several labels all count."""
     index = {s: i for i, s in enumerate(subjects)}
     lab = labels.select(F.col(doc).alias("d"), F.col(subject).alias("s")).dropna().filter(F.col("s").isin(subjects)).distinct().groupBy("d").agg(F.sort_array(F.collect_list("s")).alias("s"))
@@ -223,7 +250,6 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str,
     # where the labels have seen a word often enough they say themselves whether it belongs to a subject
     dull = {w for w in common_words(base, common) if support[w] < 6}
     given = [(w, s, n) for (w, s), n in seen.items() if w not in dull]
-    least = 2.0 if len(sample) > 300 else 1.0
     model.lexicon = _lexicon(given, totals, purity, least)
     for _ in range(rounds):
         lex = model.lexicon
@@ -252,15 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str,
         agg = cut(agg)
         size = {r["s"]: r["n"] for r in agg.filter("w = ''").collect()}
         tot2 = np.array([size.get(i, 0.0) for i in range(n_s)])
-        # per subject the most frequent words only: the size of the model, not of the corpus, is what comes to the driver
-        words_of = agg.filter("w <> ''").groupBy("w").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("by")).filter("all >= 3")
-        often = words_of.orderBy(F.desc("all"), "w").limit(4_000 * n_s)
-        more = [(r["w"], s, n) for r in often.collect() for s, n in r["by"].items() if r["w"] not in dull]
-        # a labelled document says more than one settled by the lexicon; both counts are rates of their own totals
-        pooled = Counter({(w, s): n for w, s, n in more})
-        for w, s, n in given:
-            pooled[w, s] += TRUST * n
-        learnt = _lexicon([(w, s, n) for (w, s), n in pooled.items()], tot2 + TRUST * totals, purity, TRUST * least)
+        words_of = agg.filter("w <> ''").groupBy("w").agg(F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
+        learnt = _learn(words_of, given, dull, tot2 + TRUST * totals, purity, TRUST * least)
         # words that the labels alone can judge are judged by them, whatever self-training made of them
         judged, sure = _lexicon(given, totals, 0.0, 6.0), _lexicon(given, totals, purity, 6.0)
         model.lexicon = {w: v for w, v in learnt.items() if w not in judged} | sure

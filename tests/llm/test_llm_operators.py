@@ -391,6 +391,16 @@ def test_subjects_on_held_out_documents(spark):
     assert sum(comp.values()) == pytest.approx(1, abs=1e-4)
 
 
+def test_rare_words_of_small_subjects_are_learnt(spark):
+    """8,500 words of one subject, all of them more frequent, keep no word of the other from the lexicon."""
+    filler = " ".join("q" + "".join("abcdefghij"[int(c)] for c in f"{i:04d}") for i in range(8500))
+    docs = ["The verdict statute tribunal."] * 6 + ["A violin chord octave."] * 6 + [f"The verdict statute tribunal {filler}."] * 24 + ["A violin chord octave zither."] * 8 + ["A violin chord octave."] * 6
+    df = spark.createDataFrame([(i, t, "docs") for i, t in enumerate(docs)], "doc_id long, text string, source string")
+    lab = spark.createDataFrame([(i, "law" if i < 6 else "music") for i in range(12)], "doc_id long, subject string")
+    model = subjects.train(df, lab, ["law", "music"], doc="doc_id", text="text", source="source", subject="subject")
+    assert model.lexicon.get("zither") == (1, 1.0)
+
+
 def test_subjects_without_labels(spark):
     df = spark.createDataFrame([(1, "a verdict", "docs")], "doc_id long, text string, source string")
     lab = spark.createDataFrame([], "doc_id long, subject string")
