@@ -7,7 +7,8 @@
 2. Sentences. A naive Bayes model of the other words of a sentence tells genuine mentions from mentions in passing; it
    is trained on labelled documents, where mentions of a subject the document is not about are the passing ones.
 3. Chain. One logistic link per subject sees the features of its subject, the source, the structure of the text and
-   the labels decided by earlier links, with their co-occurrence; held-out Platt scaling calibrates it.
+   the labels decided by earlier links, with their co-occurrence; held-out Platt scaling calibrates it. Weights and
+   Platt pair of a subject are its own, shrunk to those of all subjects where it has few labels.
 4. A beam search over the chain finds the most probable label combination of at most ``max_labels`` subjects.
 """
 
@@ -47,8 +48,8 @@ class Model:
     frame_prior: float = 2.0
     sources: list[str] = field(default_factory=list)
     order: list[int] = field(default_factory=list)
-    links: np.ndarray | None = None
-    platt: tuple[float, float] = (1.0, 0.0)
+    links: np.ndarray | None = None  # a row of weights per subject
+    platt: np.ndarray | None = None  # slope and intercept per subject
     cooc: np.ndarray | None = None
     max_labels: int = 2
     beam: int = 8
@@ -115,8 +116,8 @@ class Model:
         c = sum(self.cooc[s, t] for t in chosen)
         return np.r_[x, len(chosen) == 1, len(chosen) > 1, c]
 
-    def prob(self, row: np.ndarray) -> float:
-        z = float(self.links @ row) * self.platt[0] + self.platt[1]
+    def prob(self, row: np.ndarray, s: int) -> float:
+        z = float(self.links[s] @ row) * self.platt[s, 0] + self.platt[s, 1]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def decode(self, text: str | None, source: str | None) -> list[int]:
@@ -130,7 +131,7 @@ class Model:
                 continue
             nxt = []
             for lp, chosen in beams:
-                p = self.prob(self.link_row(x[at[s]], s, chosen))
+                p = self.prob(self.link_row(x[at[s]], s, chosen), s)
                 nxt.append((lp + math.log(max(1e-9, 1 - p)), chosen))
                 if len(chosen) < self.max_labels:
                     nxt.append((lp + math.log(max(1e-9, p)), (*chosen, s)))
@@ -138,11 +139,13 @@ class Model:
         return sorted(beams[0][1])
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 30) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 30, center: np.ndarray | None = None) -> np.ndarray:
+    """Weights shrunk to ``center``, or to 0."""
+    center = np.zeros(x.shape[1]) if center is None else center
+    w = center.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + l2 * w
+        g = x.T @ (p - y) + l2 * (w - center)
         h = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
@@ -151,6 +154,30 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 3
     return w
 
 
+#: Strength with which a subject's weights and its Platt pair are drawn to those of all subjects.
+SHRINK = 3.0
+
+
+def _fit_links(x: np.ndarray, y: np.ndarray, subject: np.ndarray, fold: np.ndarray, n_s: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, Platt pairs), a row per subject: fitted on its own rows, shrunk to those fitted on the rows of all.
+
+    The pairs are fitted on scores of held-out folds. A subject without rows has the pooled weights."""
+
+    def fit(use: np.ndarray) -> np.ndarray:
+        pooled = _fit_logistic(x[use], y[use])
+        return np.array([_fit_logistic(x[use & (subject == s)], y[use & (subject == s)], SHRINK, center=pooled) for s in range(n_s)])
+
+    z = np.zeros(len(y))
+    for k in np.unique(fold):
+        w = fit(fold != k)
+        z[fold == k] = (x[fold == k] * w[subject[fold == k]]).sum(axis=1)
+    c = np.c_[z, np.ones(len(z))]
+    pooled = _fit_logistic(c, y, l2=0.01)
+    platt = np.array([_fit_logistic(c[subject == s], y[subject == s], SHRINK, center=pooled) for s in range(n_s)])
+    platt[:, 0] = np.clip(platt[:, 0], 0.3, 3.0)
+    return fit(np.ones(len(y), bool)), platt
+
+
 def _lexicon(counts: list[tuple[str, int, float]], totals: np.ndarray, purity: float, least: float) -> dict[str, tuple[int, float]]:
     """Words whose documents belong mostly to one subject, its size half allowed for."""
     by: dict[str, np.ndarray] = {}
@@ -231,10 +258,10 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str,
     base = docs.select(F.col(doc).alias("d"), F.col(text).alias("t"), F.col(source).alias("src"), code.alias("lang"))
     rows = base.join(lab, "d").orderBy(F.xxhash64("d"), "d").limit(max_train).collect()
     sample = [(r["t"], r["src"], [index[s] for s in r["s"]]) for r in rows if r["t"] and r["t"].strip()]
-    model = Model(subjects)
     n_s = len(subjects)
+    model = Model(subjects, platt=np.tile([1.0, 0.0], (n_s, 1)))
     if not sample:
-        model.cooc, model.links, model.order = np.zeros((n_s, n_s)), np.r_[-9.0, np.zeros(15)], list(range(n_s))
+        model.cooc, model.links, model.order = np.zeros((n_s, n_s)), np.tile(np.r_[-9.0, np.zeros(15)], (n_s, 1)), list(range(n_s))
         return model
     seen: Counter = Counter()
     totals = np.zeros(n_s)
@@ -296,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str,
                     both[a, b] += 1
     n = len(sample)
     model.cooc = np.log((both + 0.5) / (np.array([[freq[a] * freq[b] / n + 0.5 for b in range(n_s)] for a in range(n_s)])))
-    xs, ys, fold = [], [], []
+    xs, ys, of, fold = [], [], [], []
     for k, (t, src, ss) in enumerate(sample):
         on, x = model.features(t, src)
         at = {int(s): i for i, s in enumerate(on)}
@@ -305,19 +332,16 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], *, doc: str,
             if s in at:
                 xs.append(model.link_row(x[at[s]], s, chosen))
                 ys.append(float(s in ss))
+                of.append(s)
                 fold.append(k % 3)
             if s in ss:
                 chosen = (*chosen, s)
-    x, y, f = np.asarray(xs), np.asarray(ys), np.asarray(fold)
+    x, y = np.asarray(xs), np.asarray(ys)
     if len(y) < 12:
-        model.links = np.r_[-1.0, np.zeros(5), 3.0, np.zeros(max(0, x.shape[1] - 7))]
+        width = x.shape[1] if len(y) else 16 + len(model.sources)
+        model.links = np.tile(np.r_[-1.0, np.zeros(5), 3.0, np.zeros(width - 7)], (n_s, 1))
         return model
-    z = np.zeros(len(y))
-    for k in range(3):
-        z[f == k] = x[f == k] @ _fit_logistic(x[f != k], y[f != k])
-    a, b = _fit_logistic(np.c_[z, np.ones(len(z))], y, l2=0.01)
-    model.platt = (float(min(3.0, max(0.3, a))), float(b))
-    model.links = _fit_logistic(x, y)
+    model.links, model.platt = _fit_links(x, y, np.asarray(of), np.asarray(fold), n_s)
     return model
 
 

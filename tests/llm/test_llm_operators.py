@@ -401,6 +401,20 @@ def test_rare_words_of_small_subjects_are_learnt(spark):
     assert model.lexicon.get("zither") == (1, 1.0)
 
 
+def test_each_subject_has_a_link_of_its_own():
+    """Two subjects of the same features and other base rates; a third has no rows."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    of = np.repeat([0, 1], 600)
+    x = np.c_[np.ones(1200), rnd.random(1200)]
+    y = (rnd.random(1200) < np.where(of == 0, 0.9, 0.1)).astype(float)
+    links, platt = subjects._fit_links(x, y, of, np.arange(1200) % 3, 3)
+    model = subjects.Model(["a", "b", "c"], links=links, platt=platt)
+    p = [np.mean([model.prob(r, s) for r in x]) for s in range(3)]
+    assert p == pytest.approx([0.9, 0.1, 0.5], abs=0.05)
+
+
 def test_subjects_without_labels(spark):
     df = spark.createDataFrame([(1, "a verdict", "docs")], "doc_id long, text string, source string")
     lab = spark.createDataFrame([], "doc_id long, subject string")
