@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as T
 from codequarry.functions.scoring import round3
+from codequarry.session import cut
 
 #: Default weights of the three fields, and of the ranking.
 FIELD_WEIGHTS = {"symbol": 1.0, "path": 0.4, "body": 0.2}
@@ -64,6 +65,40 @@ def rank(matches: DataFrame, question: str, *, path: str = "path", symbol: str =
     return r.withColumn("__n", F.row_number().over(w)).filter(F.col("definitional") | (F.col("__n") <= per_file)).drop("__n").orderBy(F.desc("score"), "location").limit(limit)
 
 
+def rank_many(
+    index: DataFrame, chunks: DataFrame, questions: DataFrame, *, key: str, scope: str, question: str, shared: tuple[str, ...] = (), path: str = "path", symbol: str = "symbol", file_score: str = "file_score", penal: Column | None = None, start: str = "start_line", end: str = "end_line", pool: int = 60, limit: int = 8, per_file: int = 3
+) -> DataFrame:
+    """(scope, question, key, score, position): what ``candidates`` and ``rank`` give for every question, as joins.
+
+    A question is asked of the chunks of its scope. ``shared`` are terms that all questions hold: a chunk that holds no
+    other term of a question has the same score for all of them, so of those the first ``pool`` of a scope are enough."""
+    q = questions.select(scope, question).distinct().withColumn("ts", F.array_distinct(T.terms(F.col(question))))
+    words = F.array(*map(F.lit, shared)).cast("array<string>")
+    # of the index only the terms that are asked for, before anything is shuffled by it or kept
+    terms = q.select(F.explode("ts").alias("term")).distinct()
+    p = cut(index.join(terms, "term", "left_semi").join(chunks.select(key, scope), key).select(key, scope, "term", "weight"))
+    base = p.filter(F.array_contains(words, F.col("term"))).groupBy(scope, key).agg(F.sum("weight").alias("base"))
+    own = q.select(scope, question, F.explode(F.array_except("ts", words)).alias("term")).join(p, [scope, "term"]).groupBy(scope, question, key).agg(F.sum("weight").alias("own"))
+    hit = own.join(base, [scope, key], "left").select(scope, question, key, (F.col("own") + F.coalesce("base", F.lit(0.0))).alias("text_score"))
+    order = Window.partitionBy(scope).orderBy(T.symbol_matches(F.col(symbol), words).desc(), F.desc(F.round("base", 6)), key)
+    lead = base.join(chunks.select(key, symbol), key).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= pool).select(scope, key, "base")
+    rest = q.select(scope, question).join(lead, scope).join(own.select(scope, question, key), [scope, question, key], "left_anti").select(scope, question, key, F.col("base").alias("text_score"))
+    m = hit.unionByName(rest).join(q, [scope, question]).join(chunks.drop(scope), key)
+    ts = F.col("ts")
+    sym = T.symbol_matches(F.col(symbol), ts)
+    best = Window.partitionBy(scope, question).orderBy(F.desc("definitional"), F.desc(F.round("text_score", 6)), key)
+    m = m.withColumn("definitional", sym).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= pool)
+    m = m.withColumn("__max", F.max("text_score").over(Window.partitionBy(scope, question)))
+    text = F.when(F.col("__max") > 0, F.col("text_score") / F.col("__max")).otherwise(0.0)
+    score = text + F.when(sym, W_SYMBOL).when(T.symbol_word_matches(F.col(symbol), ts), W_WORD).otherwise(0.0) + F.when(T.path_matches(F.col(path), ts), W_PATH).otherwise(0.0) + F.lit(W_FILE) * F.coalesce(F.col(file_score), F.lit(0.0))
+    if penal is not None:
+        score = score - F.when(penal, PENALTY).otherwise(0.0)
+    r = m.withColumn("score", round3(score)).withColumn("location", T.location(F.col(path), F.col(start), F.col(end)))
+    r = r.withColumn("__n", F.row_number().over(Window.partitionBy(scope, question, path).orderBy(F.desc("score"), "location", key))).filter(F.col("definitional") | (F.col("__n") <= per_file))
+    r = r.withColumn("position", F.row_number().over(Window.partitionBy(scope, question).orderBy(F.desc("score"), "location", key)))
+    return r.filter(F.col("position") <= limit).select(scope, question, key, "score", "position")
+
+
 def verify_citations(answers: DataFrame, given: DataFrame, *, key: str, answer: str) -> DataFrame:
     """(key, path, start, end, status): exact, inside or unsupported for each distinct citation of an answer.
 

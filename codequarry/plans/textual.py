@@ -125,13 +125,15 @@ R.add("agg_unsupported", lambda s, b: _citations(s, b).agg(F.count_if(F.col("sta
 
 @R.query()
 def agg_retrieval_recall(spark, base):  # noqa: ANN001, ANN201
-    """Of every chunk with a symbol, asked by its symbol, whether it is found at all, and how many share the best rank."""
-    c = table(spark, base, "chunks").filter("symbol is not null AND symbol <> ''")
-    asked = c.select("chunk_id", F.explode(F.array_distinct(search.tokens(F.col("symbol")))).alias("term"))
-    sym = c.select(F.col("chunk_id").alias("hit"), F.explode(F.array_distinct(search.tokens(F.col("symbol")))).alias("term"))
-    n = sym.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    best = asked.join(n, "term").groupBy("chunk_id").agg(F.min("df").alias("df"))
-    return best.agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("df") <= 8).alias("within_8"), F.count_if(F.col("df") == 1).alias("first"))
+    """Of every chunk with a symbol, asked where its symbol is defined, whether the search of its analysis finds it among
+    the first 8, and as the first."""
+    c = table(spark, base, "chunks").withColumn("analysis_id", F.coalesce(F.col("analysis_id").cast("string"), F.lit(""))).withColumn("start_line", F.coalesce("start_line", F.lit(0))).withColumn("end_line", F.coalesce("end_line", F.lit(0)))
+    name = F.regexp_replace("symbol", r"^[^.]*\.", "")
+    asked = c.filter("symbol is not null AND symbol <> ''").select("analysis_id", "chunk_id", F.concat(F.lit("where is "), name, F.lit(" defined")).alias("question"))
+    penal = F.coalesce("is_test", F.lit(False)) | F.coalesce("is_generated", F.lit(False))
+    ranked = search.rank_many(_index(spark, base), c, asked, key="chunk_id", scope="analysis_id", question="question", shared=("where", "defined"), penal=penal)
+    got = asked.join(ranked.select("analysis_id", "question", "chunk_id", "position"), ["analysis_id", "question", "chunk_id"], "left")
+    return got.agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("position").isNotNull()).alias("within_8"), F.count_if(F.col("position") == 1).alias("first"))
 
 
 # ---- Python sources: symbols, imports, chunks, findings ----

@@ -273,3 +273,26 @@ def test_git_history_and_blame(spark, tmp_path):
     assert [r["path"] for r in b if r["error"]] == ["gone.py"]
     with pytest.raises(ValueError):
         G.open_local(str(tmp_path / "pkg" / "nothing"))
+
+
+def test_many_questions_rank_as_each_alone(spark, tiny):
+    from pyspark.sql import functions as F
+
+    from codequarry.operators import search
+    from codequarry.plans import catalogue
+
+    rows = [(i, "ab"[i % 2], f"d{i % 5}/f{i % 7}.py", ("load", "Box.load", "save_all", None, "where", "scan")[i % 6], 10 * i, 10 * i + 5, "where it is defined load save_all scan " * (i % 4) + "load the box " * (i % 3), (i % 10) / 10.0) for i in range(60)]
+    c = spark.createDataFrame(rows, "k long, s string, path string, symbol string, start_line int, end_line int, body string, file_score double")
+    names = ["load", "save_all", "scan", "where", "absent"]
+    q = spark.createDataFrame([(s, f"where is {n} defined") for s in "ab" for n in names], "s string, q string")
+    index = search.postings(c, key="k")
+    got = {(r["s"], r["q"], r["position"]): r["k"] for r in search.rank_many(index, c, q, key="k", scope="s", question="q", shared=("where", "defined"), pool=12).collect()}
+    want = {}
+    for s, text in [(s, f"where is {n} defined") for s in "ab" for n in names]:
+        own = c.filter(F.col("s") == s)
+        one = search.rank(search.candidates(search.postings(own, key="k"), own, text, key="k", limit=12), text).collect()
+        want |= {(s, text, i + 1): r["k"] for i, r in enumerate(one)}
+    assert got == want and len(want) > 50
+    # the query counts ranks, not document frequencies
+    r = catalogue.QUERIES["agg_retrieval_recall"](spark, tiny).first()
+    assert 0 < r["first"] <= r["within_8"] <= r["asked"]
