@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from codequarry.operators.prefix import hash_bucket, running_total
 from codequarry.session import cut
 
+#: About so many rows of one length are ranked by one task.
+ROWS = 200_000
+
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
     """([(length, first rank, first container, count)], number of containers) for lengths 1..capacity.
@@ -74,23 +77,29 @@ def fill_containers(sizes: DataFrame, *, key: str, size: str, capacity: int = 20
 
     An item above the capacity is cut into full pieces and a rest (piece numbers from 0, ``start`` = tokens before the
     piece); others are never split. Items of size 0 or null take no room and have no row. Keys need not be unique: equal
-    rows are packed one by one.
+    rows are packed one by one. Items of one length follow a hash of their key, so the result does not depend on how the
+    table is stored.
     """
-    items = sizes.select(F.col(key).alias("k"), F.col(size).cast("long").alias("n")).filter("n > 0")
-    items = items.withColumn("uid", F.monotonically_increasing_id())
-    items = cut(
-        items.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
-        .withColumn("start", F.col("piece").cast("long") * capacity)
-        .withColumn("len", F.least(F.col("n") - F.col("start"), F.lit(capacity)).cast("int"))
+    items = cut(sizes.select(F.col(key).alias("k"), F.col(size).cast("long").alias("n")).filter("n > 0"))
+    full, rest = F.floor(F.col("n") / capacity), (F.col("n") % capacity).cast("int")
+    histogram = {r["len"]: r["c"] for r in items.filter(rest > 0).groupBy(rest.alias("len")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    whole = items.agg(F.sum(full).alias("n"), F.count_if(full > 0).alias("items")).first()
+    # buckets by the length with the most rows, so that none holds more than about ROWS of them
+    bits = min(24, max(1, (max([*histogram.values(), whole["items"], 1]) // ROWS).bit_length() + 1))
+    bucket, order = hash_bucket("k", bits=bits)
+    hashed = items.withColumn("full", full).withColumn("len", rest).withColumn("__b", bucket).withColumn("__o", order)
+    # a full piece is a container: its items count how many lie before them, whatever their number
+    before = running_total(hashed.filter("full > 0"), [], "__b", ["__o", "k", "n"], F.col("full"), "before")
+    filled = before.select("k", "before", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece")).select(
+        "k", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.lit(capacity).alias("size"), (F.col("before") + F.col("piece")).alias("container")
     )
-    histogram = {r["len"]: r["c"] for r in items.groupBy("len").agg(F.count(F.lit(1)).alias("c")).collect()}
+    taken = int(whole["n"] or 0)
     segments, _ = pack_histogram(histogram, capacity)
     seg = np.array(segments, dtype=np.int64).reshape(-1, 4)
     seg = seg[np.lexsort((seg[:, 1], seg[:, 0]))]
     shift = 44
-    table = items.sparkSession.sparkContext.broadcast(((seg[:, 0] << shift) | seg[:, 1], seg[:, 1], seg[:, 2]))
-    bucket, order = hash_bucket("uid", "piece")
-    ranked = running_total(items.withColumn("__b", bucket).withColumn("__o", order), ["len"], "__b", ["__o", "uid", "piece"], F.lit(1), "rank")
+    table = items.sparkSession.sparkContext.broadcast(((seg[:, 0] << shift) | seg[:, 1], seg[:, 1], seg[:, 2] + taken))
+    ranked = running_total(hashed.filter("len > 0"), ["len"], "__b", ["__o", "k", "n"], F.lit(1), "rank")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, first, container = table.value
@@ -100,7 +109,8 @@ def fill_containers(sizes: DataFrame, *, key: str, size: str, capacity: int = 20
             yield pd.DataFrame({"k": pdf["k"], "piece": pdf["piece"], "start": pdf["start"], "size": pdf["len"], "container": container[i] + rank - first[i]})
 
     kind = items.schema["k"].dataType.simpleString()
-    out = ranked.select("k", "piece", "start", "len", "rank").mapInPandas(place, f"k {kind}, piece int, start long, size int, container long")
+    rests = ranked.select("k", F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("start"), "len", "rank")
+    out = filled.unionByName(rests.mapInPandas(place, f"k {kind}, piece int, start long, size int, container long"))
     return out.withColumnRenamed("k", key)
 
 

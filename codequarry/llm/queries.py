@@ -66,12 +66,13 @@ def _quantile(p: str) -> str:
 def _p2() -> str:
     w = {"churn": 0.35, "reach": 0.25, "fan_in": 0.2, "raw_commits": 0.2}
     newest = ", ".join(f"{c} DESC NULLS LAST" for c in ("computed_at", *w))
-    clean = ", ".join(f"CASE WHEN lower({c}::varchar) NOT LIKE '%nan%' AND {c} >= 0 AND {c} < 1e12 THEN {c}::double END AS {c}" for c in w)
+    clean = ", ".join(f"CASE WHEN lower({c}::varchar) NOT LIKE '%nan%' AND {c} >= 0 AND {c} < 'inf'::double THEN {c}::double END AS {c}" for c in w)
+    usual = ", ".join(f"CASE WHEN {c} <= coalesce(1e6::double * (SELECT quantile_disc({c}, 0.5) FROM c0 WHERE {c} > 0), 0) THEN {c} END AS {c}" for c in w)
     rank = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY repo, {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY repo, {c}) - 1) / 2.0::double - 0.5::double) / count({c}) OVER (PARTITION BY repo) END AS {c}_p" for c in w)
     comb = " + ".join(f"coalesce({_quantile(c + '_p')}, 0) * {x}::double" for c, x in w.items())
     return (
         f"WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY {newest}) AS rn FROM scored WHERE repo IS NOT NULL AND path IS NOT NULL) WHERE rn = 1), "
-        f"c AS (SELECT repo, path, {clean} FROM n), r AS (SELECT repo, path, {rank} FROM c), s AS (SELECT repo, path, round({comb}, 9) AS x FROM r) "
+        f"c0 AS (SELECT repo, path, {clean} FROM n), c AS (SELECT repo, path, {usual} FROM c0), r AS (SELECT repo, path, {rank} FROM c), s AS (SELECT repo, path, round({comb}, 9) AS x FROM r) "
         "SELECT repo, path, round(x, 5) AS combined, row_number() OVER (PARTITION BY repo ORDER BY x DESC, path) AS position FROM s"
     )
 

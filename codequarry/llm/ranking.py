@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +39,20 @@ def inverse_normal(p: Column) -> Column:
     )
 
 
-def clean_score(c: Column, absurd: float = 1e12) -> Column:
-    """A score or null: NaN, negative markers such as -1, infinities and values of ``absurd`` or more are no scores."""
+def clean_score(c: Column) -> Column:
+    """A score or null: NaN, negative markers such as -1, and infinities are no scores."""
     d = c.cast("double")
-    return F.when(~F.isnan(d) & (d >= 0) & (d < absurd), d)
+    return F.when(~F.isnan(d) & (d >= 0) & (d < F.lit(float("inf"))), d)
 
 
-def combined_ranking(df: DataFrame, *, scope: str, key: str, scores: Mapping[str, float], version: str | None = None, absurd: float = 1e12) -> DataFrame:
+def absurd_from(items: DataFrame, scores: Iterable[str], factor: float) -> dict[str, float]:
+    """By score the value above which it is absurd: ``factor`` times the median of all its positive values, so the bound
+    follows the scale of the score. A score without positive values has none."""
+    mid = items.agg(*(F.percentile_approx(F.when(F.col(s) > 0, F.col(s)), 0.5, 10_000).alias(s) for s in scores)).first()
+    return {s: factor * mid[s] for s in scores if mid[s] is not None}
+
+
+def combined_ranking(df: DataFrame, *, scope: str, key: str, scores: Mapping[str, float], version: str | None = None, absurd: float = 1e6) -> DataFrame:
     """(scope, key, <score>_z ..., combined, position): one reading order of the items of each scope.
 
     Of repeated rows of a (scope, key) the newest ``version`` counts; ties there, and exact copies, are settled by the
@@ -53,13 +60,16 @@ def combined_ranking(df: DataFrame, *, scope: str, key: str, scores: Mapping[str
     averaged ties, (rank - 0.5) / n, then a normal quantile; a missing score counts as 0, the middle. ``combined`` is
     the weighted mean, position orders it descending with the key as tie-break. As only order within a scope counts, a
     scope that reports a score in percent ranks like one that does not. Rows with a null key or scope are dropped.
+    Values above ``absurd`` times the median of all positive values of their score count as missing.
     """
     cols = [F.col(s) for s in scores]
     src = df.select(F.col(scope).alias("__scope"), F.col(key).alias("__key"), *cols, *([F.col(version).alias("__v")] if version else [F.lit(0).alias("__v")])).dropna(subset=["__scope", "__key"])
     newest = src.groupBy("__scope", "__key").agg(F.max(F.struct("__v", *scores)).alias("r"))
-    items = newest.select("__scope", "__key", *(clean_score(F.col(f"r.{s}"), absurd).alias(s) for s in scores))
+    items = newest.select("__scope", "__key", *(clean_score(F.col(f"r.{s}")).alias(s) for s in scores))
     # one long table for all scores: their percentiles are found together, in one plan however many scores there are
     items = cut(items)
+    most = absurd_from(items, scores, absurd)
+    items = items.select("__scope", "__key", *(F.when(F.col(s) <= most.get(s, 0.0), F.col(s)).alias(s) for s in scores))
     total = float(sum(scores.values()))
     pairs = F.array(*(F.struct(F.lit(s).alias("s"), F.col(s).alias("v")) for s in scores))
     long = items.select("__scope", "__key", F.explode(pairs).alias("x")).select("__scope", "__key", F.col("x.s").alias("__s"), F.col("x.v").alias("__x")).filter("__x is not null")

@@ -22,7 +22,7 @@ _SENT = re.compile(r"[.!?:;][\"')\]]*\s*$")
 def _cuts(body: str, kind: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, penalty, is line start) of every place where the body may be cut, with both ends."""
     lines = re.findall(r"[^\n]*\n|[^\n]+", body)
-    prose = kind in ("text", "module") and not any(_DEF.match(x) for x in lines[:200])
+    prose = kind in ("text", "module") and not any(_DEF.match(x) for x in lines)
     pos, pen, start = [0], [0.0], [True]
     at, prev, prev_indent = 0, "", 0
     for i, line in enumerate(lines):

@@ -85,6 +85,14 @@ def test_combined_ranking(spark):
     assert ranking.combined_ranking(df.limit(0), scope="repo", key="path", scores={"a": 1.0}).count() == 0
 
 
+def test_absurd_scores_follow_the_scale(spark):
+    """A thousand million is usual where the median is a million, absurd where it is one."""
+    data = [("r", f"f{i}", 1.0 + i, 1e6 + i) for i in range(9)] + [("r", "big", 1e9, 1e9)]
+    df = spark.createDataFrame(data, "repo string, path string, a double, b double")
+    got = {r["path"]: r for r in ranking.combined_ranking(df, scope="repo", key="path", scores={"a": 1.0, "b": 1.0}).collect()}
+    assert got["big"]["a_z"] == 0.0 and got["big"]["b_z"] == max(r["b_z"] for r in got.values()) > 1
+
+
 # ---- 3 ----
 LINE = st.text(alphabet="ab .,#\t", max_size=60)
 
@@ -313,6 +321,8 @@ def test_containers(spark):
     for d, n in sizes:
         if n and n <= 100 and d != 1:
             assert sum(r["d"] == d for r in got) == 1
+    again = packing.fill_containers(df.repartition(5), key="d", size="n", capacity=100).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     u = packing.usage(packing.fill_containers(df, key="d", size="n", capacity=100), capacity=100).first()
     assert u["tokens"] == sum(load.values()) and u["containers"] == len(load)
     assert packing.fill_containers(df.limit(0), key="d", size="n").count() == 0
@@ -325,6 +335,10 @@ def test_tokens(spark):
     got = dict(rows(tokens.count_tokens(df, key="d", text="t"), "d", "n_tokens"))
     enc = tokens._encoder(open(tokens.VOCABULARY, "rb").read())
     assert got == {1: 0, 2: 0, 3: 2, 4: len(enc.encode_ordinary(long))}
+    rnd = random.Random(3)
+    for text in ("a" * 15_000, "".join(rnd.choice("abcé .\n\t!漢🙂'st") for _ in range(18_000)), " \n" * 8_000 + "x", "don't  x\n\n y " * 1_200):
+        assert sum(len(enc._core_bpe.encode_single_piece(m.group().encode())) for m in tokens._SPLIT.finditer(text)) == len(enc.encode_ordinary(text))
+    assert tokens.n_tokens(enc, "a" * 200_000) == 10 * tokens.n_tokens(enc, "a" * 20_000)
 
 
 # ---- 9 ----
@@ -355,10 +369,23 @@ def test_mixture(spark):
     times = collections.Counter((r["source"], r["d"]) for r in got)
     cap = {"a": 1, "b": 2, "c": 4}
     assert all(n <= cap[s] for (s, _), n in times.items()) and len({(r["d"], r["repeat"]) for r in got}) == len(got)
+    again = mixing.mix_sources(df.repartition(7), t, key="d", source="source", size="n")[0].collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     m2, rep2 = mixing.mix_sources(df.limit(0), t, key="d", source="source", size="n")
     assert m2.count() == 0 and all(r["tokens"] == 0 for r in rep2.collect())
 
 
+def test_sources_of_tiny_shares_are_kept(spark):
+    df = spark.createDataFrame([(i, "a", 50) for i in range(60_000)] + [(70_000 + i, "b", 7) for i in range(20)] + [(80_000 + i, "c", 100) for i in range(3)], "d long, source string, n int")
+    t = spark.createDataFrame([("a", 0.99997, 1), ("b", 0.00001, 1), ("c", 0.00002, 1)], "source string, target_share double, max_repeats int")
+    m, rep = mixing.mix_sources(df, t, key="d", source="source", size="n")
+    got = {r["source"]: r["tokens"] for r in rep.collect()}
+    assert got["b"] == 28 and got["c"] == 100 and got["a"] == pytest.approx(3_000_000, abs=50)
+    assert m.filter("slot is null").count() == 0
+    blocks = {s for s, _, _ in mixing.pfair_schedule({"a": 0.99997, "b": 0.00001, "c": 0.00002}, 8192)}
+    assert blocks == {"a", "b", "c"}
+
+
 # ---- 10 ----
 def make_docs(n, seed):
     rnd = random.Random(seed)
