@@ -190,6 +190,19 @@ def test_no_form_is_cut_from_a_shared_key(spark):
     assert got.get(1) == got[2] and len({got[2], got[100], got[200]}) == 3
 
 
+def test_names_of_any_script(spark):
+    data = [
+        (1, "Иван Петров", "ivan.petrov@a.org"), (2, "Петров Иван", None), (3, "Ivan Petrov", "ipetrov@b.org"), (4, "Анна Петрова", "anna.petrova@a.org"),
+        (5, "王小明", "w@a.cn"), (6, "王 小明", None), (7, "王小红", None), (8, "प्रिया शर्मा", None), (9, "शर्मा प्रिया", None), (10, "김민준", None), (11, "김 민준", None), (12, "Γιώργος Παππάς", None), (13, "giorgos pappas", "giorgos.pappas@c.gr"),
+        (20, None, "contact@foo.org"), (21, "Foo Foundation", "hello@foo.org"), (22, "The Foo Project", None), (23, "Bar Labs", "info@mail.bar.co.uk"), (24, "BAR LAB.", None), (25, "", "info@bar.co.uk"), (26, "Jane Doe via Lists", "jane.doe@x.org"), (27, "Doe, Jane", None),
+    ]
+    df = spark.createDataFrame(data, "id long, name string, email string")
+    got = dict(rows(names.link_names(df, key="id", name="name", names=None, email="email"), "id", "entity"))
+    for same in ((1, 2, 3), (5, 6), (8, 9), (10, 11), (12, 13), (20, 21, 22), (23, 24, 25), (26, 27)):
+        assert len({got.get(i) for i in same}) == 1 and None not in {got.get(i) for i in same}, same
+    assert len({got[i] for i in (1, 4, 5, 7, 8, 10, 12, 20, 23, 26)}) == 10
+
+
 def test_known_people_join_forms(spark):
     df = spark.createDataFrame([(1, "Ann Onesurname", "ann.onesurname@a.x"), (2, "Ann Twosurname", "ann.twosurname@a.x")], "id long, name string, email string")
     known = spark.createDataFrame([("p", ["ann.onesurname@a.x", "ANN.twosurname@a.x"])], "id string, emails array<string>")
