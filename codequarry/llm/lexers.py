@@ -1,4 +1,4 @@
-"""Lexers with a pushdown stack: where is the first thing that the language cannot allow?
+"""Lexers with a pushdown stack: where is the first thing that the language cannot allow? They alone decide.
 
 Each function takes a text and returns None or (kind, line). Kinds: conflict (merge marker outside literals and comments), unterminated (string,
 comment, template or regular expression), unbalanced (delimiter closed that was not open, or by the wrong partner),
@@ -7,11 +7,10 @@ premature_end (end of text inside a delimiter or statement), grammar (a token th
 
 from __future__ import annotations
 
-import ast
-import json
+import datetime
 import re
-import tomllib
-import warnings
+
+from codequarry.llm.pylex import python_error
 
 Verdict = tuple[str, int] | None
 
@@ -34,48 +33,14 @@ def _conflict(text: str) -> Verdict:
 
 # ---- Python -------------------------------------------------------------------------------------------------------
 
-_PY = re.compile(
-    r"#[^\n]*"
-    r"|[A-Za-z]{0,2}\"\"\"(?>[^\"\\]+|\\.|\"(?!\"\"))*+(?P<t1>\"\"\"|\Z)"
-    r"|[A-Za-z]{0,2}'''(?>[^'\\]+|\\.|'(?!''))*+(?P<t2>'''|\Z)"
-    r"|\"(?>[^\"\\\n]+|\\(?:.|\n))*+(?P<s1>\"|(?=\n)|\Z|(?=\\))"
-    r"|'(?>[^'\\\n]+|\\(?:.|\n))*+(?P<s2>'|(?=\n)|\Z|(?=\\))"
-    r"|(?P<b>[()\[\]{}])",
-    re.S,
-)
-
-
-def python_lexer(text: str) -> Verdict:
-    """Strings, comments and delimiters of Python. Quotes inside f-string fields are left to the grammar."""
-    stack: list[tuple[str, int]] = []
-    for m in _PY.finditer(text):
-        kind = m.lastgroup
-        if kind is None:
-            continue
-        if kind == "b":
-            c = m.group()
-            if c in "([{":
-                stack.append((c, m.start()))
-            elif not stack or stack.pop()[0] != _PAIR[c]:
-                return "unbalanced", _line(text, m.start())
-        elif not m.group(kind):
-            return "unterminated", _line(text, m.start())
-    return ("premature_end", _line(text, stack[-1][1])) if stack else None
-
 
 def python_file(text: str) -> Verdict:
-    """The lexer first; what it passes, and what it suspects (nested f-string quotes), is settled by the grammar."""
-    text = text.removeprefix("﻿")
-    suspect = python_lexer(text)
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            compile(text, "f", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
-        except SyntaxError as e:
-            return _conflict(text) or suspect or ("grammar", max(1, e.lineno or 1))
-        except (ValueError, RecursionError, MemoryError):
-            return suspect or ("grammar", 1)
-    return None
+    """The lexer and the stack of :mod:`pylex`; of a broken file the first merge marker, if any, is the error."""
+    text = text.removeprefix("\ufeff")
+    bad = python_error(text)
+    if bad is None:
+        return None
+    return _conflict(text) or (bad[0], _line(text, bad[1]))
 
 
 # ---- JSON ---------------------------------------------------------------------------------------------------------
@@ -83,21 +48,22 @@ def python_file(text: str) -> Verdict:
 _JSON = re.compile(r'[ \t\r\n]*(?:(?P<s>"(?>[^"\\\x00-\x1f]+|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<v>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b)|(?P<p>[{}\[\],:])|(?P<e>\Z))')
 
 
+_BLANK = re.compile(r"[ \t\r\n]*")
+
+
 def json_file(text: str) -> Verdict:
     """One strict JSON value by a pushdown automaton: no comments, trailing commas, NaN, single quotes or second value."""
-    try:
-        json.loads(text, parse_constant=lambda _: 1 / 0)
-        return None
-    except (ValueError, ZeroDivisionError, RecursionError):
-        pass
-    if bad := _conflict(text):
-        return bad
+    bad = _json_error(text)
+    return bad and (_conflict(text) or bad)
+
+
+def _json_error(text: str) -> Verdict:
     stack: list[str] = []
     want, at = "value", 0  # value, value_or_end, key, key_or_end, colon, comma, end
     while True:
         m = _JSON.match(text, at)
         if not m:
-            nl = re.compile(r"[ \t\r\n]*").match(text, at).end()
+            nl = _BLANK.match(text, at).end()
             return ("unterminated" if text[nl : nl + 1] == '"' else "grammar"), _line(text, nl)
         at, kind = m.end(), m.lastgroup
         here = m.start(kind)
@@ -135,34 +101,220 @@ def json_file(text: str) -> Verdict:
 
 # ---- TOML ---------------------------------------------------------------------------------------------------------
 
-_TOML = re.compile(
-    r'#[^\n]*|"""(?>[^\\"]+|\\.|"(?!""))*+(?P<t1>"{3,5}|\Z)|\'\'\'(?>[^\']+|\'(?!\'\'))*+(?P<t2>\'{3,5}|\Z)|"(?>[^"\\\n]+|\\.)*+(?P<s1>"|(?=\n)|\Z)|\'[^\'\n]*(?P<s2>\'|(?=\n)|\Z)|(?P<b>[\[\]{}])', re.S
+_T_ESC = r'\\(?:[btnfr"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})'
+_T_STRING = re.compile(
+    rf'"""(?>[^"\\\x00-\x08\x0b-\x1f\x7f]+|{_T_ESC}|\\[ \t]*\n|"{{1,2}}(?!"))*+"{{3,5}}'
+    r"|'''(?>[^'\x00-\x08\x0b-\x1f\x7f]+|'{1,2}(?!'))*+'{3,5}"
+    rf'|(?!""")"(?>[^"\\\x00-\x08\x0a-\x1f\x7f]+|{_T_ESC})*+"'
+    r"|(?!''')'[^'\x00-\x08\x0a-\x1f\x7f]*+'"
+)
+_T_KEY = re.compile(rf'[A-Za-z0-9_-]+|(?!""")"(?>[^"\\\x00-\x08\x0a-\x1f\x7f]+|{_T_ESC})*+"' + r"|(?!''')'[^'\x00-\x08\x0a-\x1f\x7f]*+'")
+_T_SCALAR = re.compile(
+    r"(?P<date>(\d{4})-(\d\d)-(\d\d)(?:[Tt ](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?(?:[Zz]|[+-](?:[01]\d|2[0-3]):[0-5]\d)?)?)"
+    r"|(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?|true|false|[+-]?(?:inf|nan)"
+    r"|0x[0-9A-Fa-f](?:_?[0-9A-Fa-f])*|0b[01](?:_?[01])*|0o[0-7](?:_?[0-7])*"
+    r"|[+-]?(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?"
 )
-_AT = re.compile(r"at line (\d+)")
+_T_BLANK = re.compile(r"[ \t]*")
+_T_GAP = re.compile(r"(?>[ \t\n]+|#[^\x00-\x08\x0a-\x1f\x7f]*(?=\n|\Z))*+")
+_T_END = re.compile(r"[ \t]*(?:#[^\x00-\x08\x0a-\x1f\x7f]*)?(?:\n|\Z)")
+_T_CODE = re.compile(r"\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\.", re.S)
+
+
+class _Toml(Exception):
+    """(kind, position) of the first error."""
+
+
+class _Table:
+    """A name of the document: a table, an array of tables (``parts``: the last of them) or a value."""
+
+    __slots__ = ("parts", "kind", "closed", "frozen")
+
+    def __init__(self, kind: str = "table") -> None:
+        self.parts: dict[str, _Table] = {}
+        self.kind, self.closed, self.frozen = kind, False, False
+
+
+def _t_escapes(text: str, at: int) -> str:
+    """The text of a string as far as names are compared; escapes must name characters."""
+
+    def char(m: re.Match) -> str:
+        code = m.group(1) or m.group(2)
+        if not code:
+            return m.group()
+        n = int(code, 16)
+        if n > 0x10FFFF or 0xD800 <= n < 0xE000:
+            raise _Toml("grammar", at + m.start())
+        return chr(n)
+
+    return _T_CODE.sub(char, text) if "\\" in text else text
+
+
+def _t_key(text: str, at: int) -> tuple[list[str], int]:
+    """Parts of a dotted key and where it ends, behind blanks."""
+    parts = []
+    while True:
+        at = _T_BLANK.match(text, at).end()
+        m = _T_KEY.match(text, at)
+        if not m:
+            raise _Toml("unterminated" if text[at : at + 1] in ("'", '"') and text[at : at + 3] not in ("'''", '"""') else "grammar", at)
+        k = m.group()
+        parts.append(k[1:-1] if k[0] == "'" else _t_escapes(k[1:-1], at + 1) if k[0] == '"' else k)
+        at = _T_BLANK.match(text, m.end()).end()
+        if text[at : at + 1] != ".":
+            return parts, at
+        at += 1
+
+
+def _t_assign(table: _Table, key: list[str], at: int, lists: bool, opened: list[_Table]) -> _Table:
+    """Enters a key with a value; returns its node. What dotted keys open closes with the section."""
+    for k in key[:-1]:
+        table = table.parts.setdefault(k, _Table())
+        if table.kind == "value" or table.frozen or table.closed or (table.kind == "list" and not lists):
+            raise _Toml("grammar", at)
+        opened.append(table)
+    if table.frozen or key[-1] in table.parts:
+        raise _Toml("grammar", at)
+    node = table.parts[key[-1]] = _Table("value")
+    return node
+
+
+def _t_header(root: _Table, key: list[str], at: int, many: bool) -> _Table:
+    """The table that a header opens."""
+    node = root
+    for k in key[:-1]:
+        node = node.parts.setdefault(k, _Table())
+        if node.kind == "value" or node.frozen:
+            raise _Toml("grammar", at)
+    last = node.parts.get(key[-1])
+    if many:
+        if last is None:
+            last = node.parts[key[-1]] = _Table("list")
+        elif last.kind != "list" or last.frozen:
+            raise _Toml("grammar", at)
+        last.parts, last.closed = {}, True
+        return last
+    if last is None:
+        last = node.parts[key[-1]] = _Table()
+    elif last.kind != "table" or last.closed or last.frozen:
+        raise _Toml("grammar", at)
+    last.closed = True
+    return last
+
+
+def _t_document(text: str) -> None:
+    """Raises _Toml at the first error. One loop, a stack of open arrays and inline tables."""
+    n, at = len(text), 0
+    root = here = _Table()
+    opened: list[_Table] = []
+    stack: list[tuple[str, int, _Table | None]] = []  # bracket, position, table of an inline one
+    node: _Table | None = None
+    want = "line"  # line, value (or the end of an array), after
+    while True:
+        if want == "line":
+            at = _T_GAP.match(text, at).end()
+            if at >= n:
+                return
+            if text[at] == "[":
+                for x in opened:
+                    x.closed = True
+                opened = []
+                many = text.startswith("[[", at)
+                key, end = _t_key(text, at + 1 + many)
+                close = "]]" if many else "]"
+                if not text.startswith(close, end):
+                    raise _Toml("premature_end" if end >= n or text[end] == "\n" else "grammar", end)
+                here = _t_header(root, key, at, many)
+                m = _T_END.match(text, end + len(close))
+                if not m:
+                    raise _Toml("grammar", end + len(close))
+                at = m.end()
+                continue
+            key, end = _t_key(text, at)
+            if text[end : end + 1] != "=":
+                raise _Toml("premature_end" if end >= n else "grammar", end)
+            node = _t_assign(here, key, at, True, opened)
+            at, want = _T_BLANK.match(text, end + 1).end(), "value"
+            continue
+        if want == "value":
+            inside = stack[-1] if stack else None
+            if inside and inside[0] == "[":
+                at = _T_GAP.match(text, at).end()
+                if text[at : at + 1] == "]":
+                    stack.pop()
+                    at, want = at + 1, "after"
+                    continue
+            if at >= n:
+                raise _Toml("premature_end", inside[1] if inside else at)
+            c = text[at]
+            if c == "[":
+                stack.append((c, at, None))
+                if node is not None:
+                    node.frozen = True
+                at += 1
+                continue
+            if c == "{":
+                if node is not None:
+                    node.frozen = True
+                stack.append((c, at, _Table()))
+                at = _T_BLANK.match(text, at + 1).end()
+                if text[at : at + 1] == "}":
+                    stack.pop()
+                    at, want = at + 1, "after"
+                else:
+                    want = "key"
+                continue
+            m = _T_STRING.match(text, at) if c in "'\"" else _T_SCALAR.match(text, at)
+            if not m:
+                if c in ")]}":
+                    raise _Toml("unbalanced" if c != "]" or not stack else "grammar", at)
+                raise _Toml("unterminated" if c in "'\"" else "grammar", at)
+            if c == '"':
+                _t_escapes(m.group(), at)
+            elif m.lastgroup and m.group("date"):
+                try:
+                    datetime.date(*map(int, m.group("date")[:10].split("-")))
+                except ValueError as e:
+                    raise _Toml("grammar", at) from e
+            at, want = m.end(), "after"
+            continue
+        if want == "key":
+            key, end = _t_key(text, at)
+            if text[end : end + 1] != "=":
+                raise _Toml("premature_end" if end >= n else "grammar", end)
+            node = _t_assign(stack[-1][2], key, at, False, [])
+            at, want = _T_BLANK.match(text, end + 1).end(), "value"
+            continue
+        # after a value
+        if not stack:
+            m = _T_END.match(text, at)
+            if not m:
+                at = _T_BLANK.match(text, at).end()
+                raise _Toml("unbalanced" if text[at] in ")]}" else "grammar", at)
+            at, want = m.end(), "line"
+            continue
+        bracket, where, _ = stack[-1]
+        at = (_T_GAP if bracket == "[" else _T_BLANK).match(text, at).end()
+        c = text[at : at + 1]
+        if c == ",":
+            at = _T_BLANK.match(text, at + 1).end()
+            want, node = ("value", None) if bracket == "[" else ("key", None)
+        elif c == ("]" if bracket == "[" else "}"):
+            stack.pop()
+            at += 1
+        elif not c:
+            raise _Toml("premature_end", where)
+        else:
+            raise _Toml("unbalanced" if c in ")]}" else "grammar", at)
 
 
 def toml_file(text: str) -> Verdict:
-    """TOML 1.0: literals and delimiters by the lexer, then the grammar."""
-    suspect, stack = None, []
-    for m in _TOML.finditer(text):
-        kind = m.lastgroup
-        if kind == "b":
-            c = m.group()
-            if c in "[{":
-                stack.append((c, m.start()))
-            elif not stack or stack.pop()[0] != _PAIR[c]:
-                suspect = "unbalanced", _line(text, m.start())
-                break
-        elif kind and not m.group(kind):
-            suspect = "unterminated", _line(text, m.start())
-            break
-    if not suspect and stack:
-        suspect = "premature_end", _line(text, stack[-1][1])
+    """TOML 1.0: literals, delimiters and the names that are taken, by one automaton with a stack."""
+    text = text.replace("\r\n", "\n")
     try:
-        tomllib.loads(text)
-    except (tomllib.TOMLDecodeError, RecursionError, ValueError) as e:
-        m = _AT.search(str(e))
-        return _conflict(text) or suspect or ("grammar" if m else "premature_end", int(m.group(1)) if m else text.count("\n") + 1)
+        _t_document(text)
+    except _Toml as e:
+        return _conflict(text) or (e.args[0], _line(text, e.args[1]))
     return None
 
 
