@@ -8,14 +8,15 @@ the stack as a number per rule.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import regex
 
 Verdict = tuple[str, int] | None
-Token = tuple[str, str, int]  # kind: name kw num str fs fe op nl, text, position
+Token = tuple[str, str, int]  # symbol of the grammar, text, position
 
 
 class Bad(Exception):
@@ -27,28 +28,31 @@ KEYWORDS = frozenset("False None True and as assert async await break class cont
 _PREFIXES = frozenset(("", "r", "u", "b", "f", "br", "rb", "fr", "rf"))
 _PAIR = {")": "(", "]": "[", "}": "{"}
 
-_TOKEN = regex.compile(
-    r"(?P<ws>[ \t\f]++|\\\r?\n)|(?P<nl>\r?\n|\r)|(?P<com>#[^\r\n]*+)"
+_TOKEN = re.compile(
+    r"[ \t\f]*+(?:(?P<nl>\r?\n|\r)|(?P<ws>\\\r?\n)|(?P<com>#[^\r\n]*+)"
     r"|(?P<str>[A-Za-z]{0,2}(?:\"\"\"|'''|\"|'))"
-    r"|(?P<name>[\p{XIDS}_][\p{XIDC}]*+)"
+    r"|(?P<name>[^\W\d]\w*+)"
     r"|(?P<num>(?:0[xX](?:_?[\da-fA-F])++|0[bB](?:_?[01])++|0[oO](?:_?[0-7])++|(?:\d++(?:_\d++)*+)?\.\d++(?:_\d++)*+(?:[eE][+-]?\d++(?:_\d++)*+)?[jJ]?|\d++(?:_\d++)*+\.?(?:[eE][+-]?\d++(?:_\d++)*+)?[jJ]?))"
-    r"|(?P<op>\.\.\.|\*\*=|//=|>>=|<<=|->|:=|[-+*/%@&|^]=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{},:.;=!])"
+    r"|(?P<op>\.\.\.|\*\*=|//=|>>=|<<=|->|:=|[-+*/%@&|^]=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{},:.;=!])|(?P<end>\Z))"
 )
+_INDENT = re.compile(r"[ \t\f]*+")
+#: Names as the language defines them; asked only where a letter is not ASCII.
+_ANY_NAME = regex.compile(r"[\p{XIDS}_]\p{XIDC}*+")
 _QUOTES = ("'", '"', "\'\'\'", '"""')
 
 
-def _inside(q: str, fields: str, escape: str) -> regex.Pattern:
+def _inside(q: str, fields: str, escape: str) -> re.Pattern:
     """What lies between the quotes: no line end if they are single; ``fields`` are the braces that end it."""
     if len(q) == 1:
-        return regex.compile(rf"(?:[^{q}\\\r\n{fields}]++|{escape})*+", regex.S)
-    return regex.compile(rf"(?:[^{q[0]}\\{fields}]++|{escape}|{q[0]}(?!{q[1:]}))*+", regex.S)
+        return re.compile(rf"(?:[^{q}\\\r\n{fields}]++|{escape})*+", re.S)
+    return re.compile(rf"(?:[^{q[0]}\\{fields}]++|{escape}|{q[0]}(?!{q[1:]}))*+", re.S)
 
 
 _BODY = {q: _inside(q, "", r"\\(?:\r\n|.)") for q in _QUOTES}
 _FRAW = {q: _inside(q, "{}", r"\\(?:\r\n|[^{}])|\{\{|\}\}|\\(?=[{}])") for q in _QUOTES}
 _FBODY = {q: _inside(q, "{}", r"\\N\{[^{}]*+\}|\\(?:\r\n|[^{}])|\{\{|\}\}|\\(?=[{}])") for q in _QUOTES}
-_SPEC = {q: regex.compile(rf"[^{{}}{q}\r\n]*+" if len(q) == 1 else rf"(?:[^{{}}{q[0]}]++|{q[0]}(?!{q[1:]}))*+") for q in _QUOTES}
-_ESCAPE = regex.compile(r"\\(?:x(?P<x>[\da-fA-F]{2})?|u(?P<u>[\da-fA-F]{4})?|U(?P<U>[\da-fA-F]{8})?|N(?P<n>\{[^{}]*\})?|.)", regex.S)
+_SPEC = {q: re.compile(rf"[^{{}}{q}\r\n]*+" if len(q) == 1 else rf"(?:[^{{}}{q[0]}]++|{q[0]}(?!{q[1:]}))*+") for q in _QUOTES}
+_ESCAPE = re.compile(r"\\(?:x(?P<x>[\da-fA-F]{2})?|u(?P<u>[\da-fA-F]{4})?|U(?P<U>[\da-fA-F]{8})?|N(?P<n>\{[^{}]*\})?|.)", re.S)
 _AFTER_NUM = regex.compile(r"[\p{XIDC}]++")
 
 
@@ -72,7 +76,8 @@ def _escapes(body: str, at: int, raw: bool, octets: bool) -> None:
 
 
 def logical_lines(text: str) -> Iterator[tuple[str, list[Token]]]:
-    """(indentation, tokens) of each logical line. Raises Bad on what no token can be and on an open string."""
+    """(indentation, tokens) of each logical line; symbols are those of the grammar. Raises Bad on what no token can be and
+    on an open string."""
     n, at = len(text), 0
     line: list[Token] = []
     indent = ""
@@ -91,43 +96,40 @@ def logical_lines(text: str) -> Iterator[tuple[str, list[Token]]]:
                 m = _SPEC[q].match(text, at)
             at = m.end()
             if text.startswith("{", at):
-                line.append(("op", "{f", at))
+                line.append(("{f", "{", at))
                 depth.append("{" + top[1:])
                 at += 1
             elif top[0] == "s" and text.startswith("}", at):
                 depth.pop()
                 depth.pop()
-                line.append(("op", "}f", at))
+                line.append(("}f", "}", at))
                 at += 1
             elif top[0] == "f" and text.startswith(q, at):
                 depth.pop()
-                line.append(("fe", "", at))
+                line.append(("FE", "", at))
                 at += len(q)
             elif at < n and text[at] == "}":
                 raise Bad("grammar", at)
             else:
                 raise Bad("unterminated", at)
-        if at >= n:
-            break
+        if start:
+            m = _INDENT.match(text, at)
+            if m.end() < n and text[m.end()] not in "\r\n#":
+                indent, start = m.group(), False
         m = match(text, at)
         if m is None:
-            raise Bad("grammar", at)
+            m = _ANY_NAME.match(text, at)
+            if m is None:
+                raise Bad("grammar", at)
+            line.append(("NAME", m.group(), at))
+            at = m.end()
+            continue
         kind = m.lastgroup
-        here, at = at, m.end()
-        if start and kind not in ("nl", "com"):
-            if kind == "ws":
-                if m.group()[0] != "\\":
-                    indent = m.group()
-                if at < n and text[at] not in "\r\n#":
-                    if text[at] == "\\" and m.group()[0] != "\\":
-                        continue
-                    start = False
-                continue
-            if not line and here and text[here - 1] in "\r\n":
-                indent = ""
-            start = False
+        here, at = m.start(kind), m.end()
+        if kind == "end":
+            break
         if kind == "ws":
-            if m.group()[0] == "\\" and at >= n:
+            if at >= n:
                 raise Bad("premature_end", here)
             continue
         if kind == "com":
@@ -140,14 +142,14 @@ def logical_lines(text: str) -> Iterator[tuple[str, list[Token]]]:
                 line = []
             indent, start = "", True
             continue
-        tok = m.group()
+        tok = m.group(kind)
         if kind == "str":
             q = tok.lstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
             prefix = tok[: len(tok) - len(q)].lower()
             if prefix not in _PREFIXES:
                 raise Bad("grammar", here)
             if "f" in prefix:
-                line.append(("fs", "s", here))
+                line.append(("FS", "s", here))
                 depth.append("f" + ("r" if "r" in prefix else "-") + q)
                 continue
             b = _BODY[q].match(text, at)
@@ -155,18 +157,23 @@ def logical_lines(text: str) -> Iterator[tuple[str, list[Token]]]:
                 raise Bad("unterminated", here)
             _escapes(b.group(), at, "r" in prefix, "b" in prefix)
             at = b.end() + len(q)
-            line.append(("str", "b" if "b" in prefix else "s", here))
+            line.append(("STR", "b" if "b" in prefix else "s", here))
             continue
         if kind == "name":
-            line.append(("kw" if tok in KEYWORDS else "name", tok, here))
+            if not tok.isascii() or text[at : at + 1] > "\x7f":
+                m = _ANY_NAME.match(text, here)
+                if m is None:
+                    raise Bad("grammar", here)
+                tok, at = m.group(), m.end()
+            line.append((tok if tok in KEYWORDS else "NAME", tok, here))
             continue
         if kind == "num":
-            rest = _AFTER_NUM.match(text, at)
+            rest = _AFTER_NUM.match(text, at) if text[at : at + 1].isalnum() or text[at : at + 1] == "_" else None
             if rest and rest.group() not in ("and", "else", "for", "if", "in", "is", "or", "not"):
                 raise Bad("grammar", here)
             if tok[0] == "0" and len(tok) > 1 and tok.replace("_", "").isdigit() and tok.strip("0_"):
                 raise Bad("grammar", here)
-            line.append(("num", tok, here))
+            line.append(("NUM", tok, here))
             continue
         if tok in "([{":
             depth.append(tok)
@@ -179,27 +186,27 @@ def logical_lines(text: str) -> Iterator[tuple[str, list[Token]]]:
             if tok in (":", ":="):
                 depth.append("s" + depth[-1][1:])
                 at = here + 1
-                line.append(("op", ":f", here))
+                line.append((":f", tok, here))
                 continue
         if tok == "!":
             if not (depth and len(depth[-1]) > 1 and text[at : at + 1] in ("r", "s", "a")):
                 raise Bad("grammar", here)
-            line.append(("op", "!f", here))
+            line.append(("!f", tok, here))
             at += 1
             continue
-        line.append(("op", tok, here))
+        line.append((tok, tok, here))
     if depth:
         raise Bad("premature_end", line[-1][2] if line else n)
     if line:
         yield indent, line
 
 
-# The rules, one token of foresight. NAME, NUM, STR, FS, FE, NEWLINE, INDENT, DEDENT, END are tokens; "match!", "case!"
+# The rules, one token of foresight. NAME, NUM, STR, FS, FE, NEWLINE, INDENT, DEDENT, END are tokens, SIMPLE is a line of simple statements that is known to be right; "match!", "case!"
 # and "type!" the words where they act as keywords, "with(" a bracket right after with.
 GRAMMAR = """
 file: (NEWLINE | stmt)* END
 stmt: simple | if | while | for | try | with | def | class | decorated | async | match
-simple: small (';' small)* [';'] NEWLINE
+simple: SIMPLE | small (';' small)* [';'] NEWLINE
 small: assign | yieldstmt | 'pass' | 'break' | 'continue' | del | return | raise | scope | import | from | assert | alias
 assign: list [annotate | augment | chained]
 chained: ('=' (yield | list))+
@@ -420,28 +427,20 @@ def _tokens(text: str) -> Iterator[tuple[str, str, int]]:
                 yield "DEDENT", "", pos
             if (col, alt) != columns[-1]:
                 raise Bad("grammar", pos)
-        first, second, last = line[0], line[1] if len(line) > 1 else ("op", "", pos), line[-1]
-        soft = ""
-        if first[0] == "name" and len(line) > 1:
-            operand = second[0] in ("name", "num", "str", "fs") or second[1] in ("(", "[", "{", "-", "~", "*", "...", "not", "lambda", "await", "None", "True", "False")
-            if first[1] == "match" and last[1] == ":" and operand or first[1] == "case" and cases[-1]:
-                soft = first[1] + "!"
-            elif first[1] == "type" and second[0] == "name":
-                soft = "type!"
-        opened = soft == "match!"
-        after_with = False
-        for k, t, pos in line:
-            if soft:
-                yield soft, t, pos
-                soft = ""
-            elif k == "name":
-                yield "NAME", t, pos
-            elif k in ("op", "kw"):
-                yield ("with(" if after_with and t == "(" else t), t, pos
-            else:
-                yield k.upper(), t, pos
-            after_with = k == "kw" and t == "with"
-        yield "NEWLINE", "", pos
+        first, second, last = line[0], line[1] if len(line) > 1 else ("", "", pos), line[-1]
+        opened = False
+        if first[0] == "NAME" and len(line) > 1:
+            operand = second[0] in _OPERAND
+            if first[1] == "match" and last[0] == ":" and operand or first[1] == "case" and cases[-1]:
+                line[0] = (first[1] + "!", *first[1:])
+                opened = first[1] == "match"
+            elif first[1] == "type" and second[0] == "NAME":
+                line[0] = ("type!", *first[1:])
+        elif first[0] == "with" and second[0] == "(":
+            line[1] = ("with(", *second[1:])
+        line.append(("NEWLINE", "", last[2]))
+        yield from _known(line)
+        pos = last[2]
     for _ in columns[1:]:
         yield "DEDENT", "", pos
     yield "END", "", len(text)
@@ -463,38 +462,83 @@ def _order(name: str, seen: list[int], now: int, pos: int) -> None:
     seen.append(now)
 
 
+_OPERAND = frozenset(("NAME", "NUM", "STR", "FS", "(", "[", "{", "-", "~", "*", "...", "not", "lambda", "await", "None", "True", "False"))
+#: Lines known to be right, by their symbols: what stands for them. Forgotten when they are too many.
+_LINES: dict[tuple[str, ...], tuple[str, ...] | None] = {}
+MOST_LINES = 50_000
+#: Heads of compound statements, and the shortest that is as good as any.
+_HEADS = {"if": "if NAME :", "elif": "elif NAME :", "while": "while NAME :", "with": "with NAME :", "for": "for NAME in NAME :", "def": "def NAME ( ) :", "class": "class NAME :"}
+_BODY_OF = (("INDENT", "", 0), ("SIMPLE", "", 0), ("DEDENT", "", 0))
+
+
+def _known(line: list[Token]) -> list[Token]:
+    """The line, or less that is right exactly where it is: most lines are built like one that was read before."""
+    key = tuple([x[1] if x[0] == "STR" else x[0] for x in line])
+    short = _LINES.get(key, ())
+    if short == ():
+        short = None
+        head = _HEADS.get(key[0])
+        try:
+            if head is None:
+                if key[0] not in _COMPOUND:
+                    read("simple", line)
+                    short = ("SIMPLE",)
+            elif key[-2] == ":":
+                rule = "if" if key[0] == "elif" else key[0]
+                read(rule, [(rule, "", 0), *line[1:], *_BODY_OF])
+                short = (*head.split(), "NEWLINE")
+        except Bad:
+            short = None
+        if len(_LINES) >= MOST_LINES:
+            _LINES.clear()
+        _LINES[key] = short
+    return line if short is None else [(x, "", line[0][2]) for x in short]
+
+
+_COMPOUND = frozenset(("try", "except", "finally", "else", "async", "@", "match!", "case!"))
+
+
 def python_error(text: str) -> Verdict:
     """None for a valid file, else (kind, position) of the first error."""
-    names, rules = automata()
-    id_of = {x: i for i, x in enumerate(names)}
-    # an entry: rule, its name, state, parts read, number, order of arguments
-    stack: list[list] = [[rules[id_of["file"]], "file", 0, 0, NOT, None]]
     try:
-        for sym, tok, pos in _tokens(text):
-            while True:
-                top = stack[-1]
-                table, may_end = top[0][top[2]]
-                go = table.get(sym)
-                if go is not None:
-                    break
-                if not may_end:
-                    raise Bad("premature_end" if sym == "END" or pos >= len(text) else "grammar", pos)
-                stack.pop()
-                _done(top, stack[-1], pos)
-            top[2] = go[0]
-            for r in go[1]:
-                rule = rules[r]
-                top = [rule, names[r], rule[0][0][sym][0], 0, NOT, None]
-                stack.append(top)
-            note = _ON_TOKEN.get(top[1])
-            if note:
-                note(top, sym, tok, pos)
-            top[3] += 1
+        read("file", _tokens(text), len(text))
     except Bad as e:
         return e.args[0], e.args[1]
     return None
 
 
+def read(rule: str, tokens: Iterable[Token], end: int = 1 << 60) -> None:
+    """Raises Bad at the first token that the rule cannot have."""
+    names, rules = automata()
+    # an entry: rule, its name, state, parts read, number, order of arguments
+    stack: list[list] = [[rules[names.index(rule)], rule, 0, 0, NOT, None]]
+    for sym, tok, pos in tokens:
+        while True:
+            top = stack[-1]
+            table, may_end = top[0][top[2]]
+            go = table.get(sym)
+            if go is not None:
+                break
+            if not may_end or len(stack) == 1:
+                raise Bad("premature_end" if sym == "END" or pos >= end else "grammar", pos)
+            stack.pop()
+            _done(top, stack[-1], pos)
+        top[2] = go[0]
+        for r in go[1]:
+            of = rules[r]
+            top = [of, names[r], of[0][0][sym][0], 0, NOT, None]
+            stack.append(top)
+        note = _ON_TOKEN.get(top[1])
+        if note:
+            note(top, sym, tok, pos)
+        top[3] += 1
+    while len(stack) > 1 and stack[-1][0][stack[-1][2]][1]:
+        top = stack.pop()
+        _done(top, stack[-1], 0)
+    if len(stack) > 1 or not stack[0][0][stack[0][2]][1]:
+        raise Bad("premature_end", end)
+
+
 def _on_atom(top: list, sym: str, tok: str, pos: int) -> None:
     top[4] = NAME if sym == "NAME" else NOT
 
