@@ -438,7 +438,7 @@ def test_rare_words_of_small_subjects_are_learnt(spark):
     df = spark.createDataFrame([(i, t, "docs") for i, t in enumerate(docs)], "doc_id long, text string, source string")
     lab = spark.createDataFrame([(i, "law" if i < 6 else "music") for i in range(12)], "doc_id long, subject string")
     model = subjects.train(df, lab, ["law", "music"], doc="doc_id", text="text", source="source", subject="subject")
-    assert model.lexicon.get("zither") == (1, 1.0)
+    assert model.mention.get(subjects.number("zither")) == 1
 
 
 def test_each_subject_has_a_link_of_its_own():
@@ -450,11 +450,40 @@ def test_each_subject_has_a_link_of_its_own():
     x = np.c_[np.ones(1200), rnd.random(1200)]
     y = (rnd.random(1200) < np.where(of == 0, 0.9, 0.1)).astype(float)
     links, platt = subjects._fit_links(x, y, of, np.arange(1200) % 3, 3)
-    model = subjects.Model(["a", "b", "c"], links=links, platt=platt)
-    p = [np.mean([model.prob(r, s) for r in x]) for s in range(3)]
+    p = [np.mean(1 / (1 + np.exp(-(x @ links[s] * platt[s, 0] + platt[s, 1])))) for s in range(3)]
     assert p == pytest.approx([0.9, 0.1, 0.5], abs=0.05)
 
 
+def test_beam_finds_the_best_combination():
+    """Against all combinations of at most two of four subjects; a subject without a mention can be chosen, too."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    n_s, k = 4, len(subjects.FEATURES)
+    m = subjects.Model(list("abcd"), order=[2, 0, 3, 1], links=rnd.normal(size=(n_s, k + len(subjects.CHAIN))), platt=np.c_[rnd.uniform(0.5, 2, n_s), rnd.normal(size=n_s)], cooc=rnd.normal(size=(n_s, n_s)), beam=16)
+    x = rnd.normal(size=(40, n_s, k))
+    x[:, :, subjects.FEATURES.index("mentions")] = 0.0
+    got = m.decode(x)
+    for d in range(len(x)):
+        best = None
+        for want in [c for r in range(3) for c in itertools.combinations(range(n_s), r)]:
+            held, lp = [], 0.0
+            for s in m.order:
+                row = np.r_[x[d, s], len(held) == 1, len(held) > 1, sum(m.cooc[s, t] for t in held)]
+                p = 1 / (1 + math.exp(-(float(m.links[s] @ row) * m.platt[s, 0] + m.platt[s, 1])))
+                lp += math.log(p if s in want else 1 - p)
+                held += [s] * (s in want)
+            best = max(best or (-1e9, ()), (lp, want))
+        assert set(np.flatnonzero(got[d])) == set(best[1])
+
+
+def test_terms_are_numbered_alike_on_both_sides(spark):
+    texts = ["Some_nameParts and theClasses, glass; CSS's bosses", "Die Gerichte prüfen Übungsläufe ÉtatsUnis niño's", "", "x y zz 12ab34cd Straßen\r\nlines", "a" * 5000 + " words words wordS"]
+    got = spark.createDataFrame(list(enumerate(texts)), "d int, t string").select("d", subjects.term_numbers(F.col("t")).alias("b")).collect()
+    for d, b in got:
+        assert set(b) == {subjects.number(w) for w in subjects.words(texts[d])} and len(set(b)) == len(b)
+
+
 def test_subjects_without_labels(spark):
     df = spark.createDataFrame([(1, "a verdict", "docs")], "doc_id long, text string, source string")
     lab = spark.createDataFrame([], "doc_id long, subject string")
