@@ -300,6 +300,28 @@ def test_belief_propagation_is_exact(spark):
         assert got[k] == pytest.approx(p[k] / z, abs=1e-5)
 
 
+def test_both_sweeps_agree_at_any_depth(spark):
+    """Depth by depth over the cluster and all at once; paths of 3 and of 70 directories, odd ones, null ones."""
+    rnd = random.Random(6)
+    paths = ["/".join(rnd.choice(["src", "dist", "vendor", "a", "b"]) for _ in range(rnd.randrange(0, 4))) + f"/f{i}." + rnd.choice(["js", "py", "min.js", "json"]) for i in range(60)]
+    paths += ["/".join(["d"] * 70) + "/deep.py", "/".join(["d"] * 69) + "/vendor/x.js", "top.py", "", None, "a//b.js"]
+    df = spark.createDataFrame([(i, rnd.choice(["r", "s", "big"]), p) for i, p in enumerate(paths[:60])] + [(60 + i, "r", p) for i, p in enumerate(paths[60:])], "file_id long, repo string, path string").withColumn("generated_reason", F.lit(None).cast("string"))
+    t = spark.createDataFrame([], "file_id long, repo string, path string, text string")
+    once = dict(rows(provenance.label_files(df, t), "file_id", "p_handwritten"))
+    assert len(once) == len(paths) and once[61] < 0.1 < 0.7 < once[60]
+    short = df.filter("coalesce(length(path), 0) < 60")
+    assert dict(rows(provenance.label_files(short, t, task_dirs=9), "file_id", "p_handwritten")) == pytest.approx(dict(rows(provenance.label_files(short, t), "file_id", "p_handwritten")), abs=1e-5)
+
+
+def test_the_home_of_a_copied_file_stays(spark):
+    lib = "\n".join(f"export function g{i}(a) {{\n  return a * {i} + base;\n}}" for i in range(12))
+    own = "\n".join(f"def f{i}(a):\n    return a + {i} * offset\n" for i in range(12))
+    files = [("up/lib", "src/core.js", lib), ("r1", "vendor/lib/core.js", lib), ("r2", "node_modules/lib/core.js", lib), ("r3", "src/helper.js", lib), ("r4", "a.py", own), ("r4", "b.py", own.replace("f", "h"))]
+    df = spark.createDataFrame([(i, r, p) for i, (r, p, _) in enumerate(files)], "file_id long, repo string, path string").withColumn("generated_reason", F.lit(None).cast("string"))
+    t = spark.createDataFrame([(i, r, p, x) for i, (r, p, x) in enumerate(files)], "file_id long, repo string, path string, text string")
+    assert dict(rows(provenance.label_files(df, t), "file_id", "handwritten")) == {0: True, 1: False, 2: False, 3: False, 4: True, 5: True}
+
+
 # ---- 8 ----
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=20))
