@@ -2,10 +2,11 @@
 
 1. Every text is winnowed: of each run of ``length`` characters at least one anchor (a substring of ``ANCHOR``
    characters) is selected by its hash alone, so two texts that share a run of ``length`` share a selected anchor.
-2. Anchors found in two or more records are the recurring passages. Only they go on, with their records.
-3. The passages are cut into shards; a record is routed to the shards of its own passages (winnowing is deterministic,
-   so no other shard can hold one), and a shard with much text is salted. Per shard and salt an Aho-Corasick automaton
-   is compiled and its records are streamed through it, which gives every occurrence, with its surroundings.
+2. Anchors found in two or more texts are the recurring passages. Only they go on, with their texts. Records of one and
+   the same text are one text until the end.
+3. The passages are sharded by the texts that hold them: a shard is some texts and all recurring passages that were
+   selected in them, read off the texts themselves. An Aho-Corasick automaton is compiled per shard and its texts are
+   streamed through it, each text once, however many passages there are; that gives every occurrence with its surroundings.
 4. Occurrences of one passage with the same surroundings are one class. Two classes share a long run iff their common
    extension to the left and right reaches ``length``. Few classes are compared directly; many are matched by the exact
    runs themselves, as an equi-join, so no group is ever expanded into all its pairs.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.session import cut
@@ -101,18 +102,22 @@ def _blocks(ids: list[int], texts: list[str], reach: int) -> Iterator[tuple[list
         yield some
 
 
-def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard_chars: int = 8_000_000, few: int = 48) -> tuple[DataFrame, DataFrame, DataFrame]:
+def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard_chars: int = 2_000_000, few: int = 48) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, coverage, passages) of records whose texts share a run of ``length`` or more identical characters.
 
     pairs(id_a, id_b): id_a < id_b, once each, complete. coverage(id, n_chars, shared_chars, share): every record with
     a non-null text; shared_chars counts the characters that lie in some run also found in another record.
-    passages(passage, id, pos): every place of every recurring anchor. Null texts are left out of all three, texts
-    shorter than ``length`` share nothing; equal keys are taken as one record. Characters are Unicode code points.
+    passages(passage, id, pos): every place of every recurring anchor in one record of each text. Null texts are left out of all three, texts
+    shorter than ``length`` share nothing; rows of one key and text count once. Characters are Unicode code points.
     """
     k = max(2, length // 2)
     w = length - k + 1
     src = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).dropna()
-    long_enough = src.filter(F.char_length("t") >= length)
+    # records of one text: the least id stands for all
+    named = cut(src.select("id", F.char_length("t").alias("n_chars"), F.sha2("t", 256).alias("th")).distinct())
+    first_of = named.groupBy("th").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    member = cut(named.join(first_of, "th").select("id", "n_chars", "rep", "copies"))
+    long_enough = src.filter(F.char_length("t") >= length).join(member.filter("id = rep").select("id"), "id", "left_semi")
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -122,40 +127,42 @@ def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard
 
     # written once: a few bytes per 50 characters, against reading and hashing every text a second time
     occ = cut(long_enough.mapInPandas(anchors, "id long, pos int, h long"))
-    recurring = cut(occ.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("h", "x", "c"))
-    stats = recurring.agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).first()
-    rec = occ.join(recurring.select("h", "x"), "h")
-    per_doc = rec.groupBy("id").agg(F.collect_list(F.struct("h", "pos", (F.col("x") == F.col("id")).alias("lead"))).alias("hits"))
-    docs = cut(per_doc.join(long_enough, "id"))
-    shards = max(1, int((stats["n"] or 0) * k // 2_000_000) + 1)
-    shard_of = F.pmod(F.col("h"), F.lit(shards)).cast("int")
-    phrases = docs.select("t", F.explode("hits").alias("x")).filter("x.lead").select(
-        F.col("x.h").alias("h"), F.substring(F.col("t"), F.col("x.pos") + 1, F.lit(k)).alias("phrase")
-    ).distinct().withColumn("shard", shard_of)
-    routed = docs.select("id", "t", F.array_distinct(F.transform("hits", lambda x: F.pmod(x["h"], F.lit(shards)).cast("int"))).alias("s")).select("id", "t", F.explode("s").alias("shard"))
-    weight = routed.groupBy("shard").agg((F.floor(F.sum(F.char_length("t")) / shard_chars) + 1).cast("int").alias("salts"))
-    routed = routed.join(weight, "shard").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-    phrases = phrases.join(weight, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-
-    def stream(ph: pd.DataFrame, dd: pd.DataFrame) -> pd.DataFrame:
+    recurring = cut(occ.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("h"))
+    n_passages = recurring.count()
+    hits = occ.join(recurring.select("h"), "h", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
+    docs = hits.join(long_enough, "id")
+
+    def shard(ids: list[int], texts: list[str], places: list[np.ndarray]) -> pd.DataFrame:
         auto = ahocorasick.Automaton()
-        for p in ph["phrase"]:
-            auto.add_word(p, p)
+        for t, ps in zip(texts, places):
+            for at in ps:
+                p = t[at : at + k]
+                if len(p) == k:
+                    auto.add_word(p, p)
+        auto.make_automaton()
         out = []
-        if len(ph) and len(dd):
-            auto.make_automaton()
-            for i, t in zip(dd["id"], dd["t"]):
-                for end, p in auto.iter(t):
-                    at = end - k + 1
-                    out.append((p, i, at, t[max(0, at - w + 1) : at], t[end + 1 : end + w]))
+        for i, t in zip(ids, texts):
+            for end, p in auto.iter(t):
+                at = end - k + 1
+                out.append((p, i, at, t[max(0, at - w + 1) : at], t[end + 1 : end + w]))
         return pd.DataFrame(out, columns=["phrase", "id", "pos", "l", "r"])
 
-    found = phrases.groupBy("shard", "salt").cogroup(routed.groupBy("shard", "salt")).applyInPandas(stream, "phrase string, id long, pos int, l string, r string")
-    found = cut(found.withColumn("passage", F.expr("conv(substr(sha2(phrase, 256), 1, 15), 16, 10)").cast("long")))
-    classes = cut(
-        found.groupBy("phrase", "l", "r").agg(F.min("passage").alias("passage"), F.min("id").alias("x"), F.max("id").alias("y")).withColumn("cls", F.monotonically_increasing_id())
-    )
-    members = cut(found.join(classes.select("phrase", "l", "r", "cls"), ["phrase", "l", "r"]).select("cls", "id", "pos").distinct())
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lo = size = 0
+            lens = pdf["t"].str.len().tolist()
+            for j, n in enumerate(lens):
+                size += n
+                if size >= shard_chars or j == len(lens) - 1:
+                    part = pdf.iloc[lo : j + 1]
+                    yield shard(part["id"].tolist(), part["t"].tolist(), part["hits"].tolist())
+                    lo, size = j + 1, 0
+
+    found = docs.mapInPandas(stream, "phrase string, id long, pos int, l string, r string")
+    sep = F.lit("\x00")
+    found = cut(found.withColumn("cls", F.substring(F.sha2(F.concat("phrase", sep, "l", sep, "r"), 256), 1, 32)).withColumn("passage", F.expr("conv(substr(sha2(phrase, 256), 1, 15), 16, 10)").cast("long")))
+    classes = cut(found.groupBy("cls", "phrase", "l", "r").agg(F.min("passage").alias("passage"), F.min("id").alias("x"), F.max("id").alias("y")))
+    members = found.select("cls", "id", "pos").distinct()
     sizes = classes.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_cls"))
     sized = classes.join(sizes, "phrase")
 
@@ -171,8 +178,8 @@ def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard
                     out.append((cls, c2, a, b))
         return pd.DataFrame(out, columns=["c1", "c2", "a", "b"])
 
-    parts = max(1, int(stats["n"] or 0) // 3_000)
-    direct = sized.filter((F.col("n_cls") > 1) & (F.col("n_cls") <= few)).groupBy(F.pmod(F.xxhash64("phrase"), F.lit(parts))).applyInPandas(compare, "c1 long, c2 long, a int, b int")
+    parts = max(1, n_passages // 3_000)
+    direct = sized.filter((F.col("n_cls") > 1) & (F.col("n_cls") <= few)).groupBy(F.pmod(F.xxhash64("phrase"), F.lit(parts))).applyInPandas(compare, "c1 string, c2 string, a int, b int")
     # many classes: every run of exactly `length` around the passage is a key, with a = its part to the left
     ll, rl = F.char_length("l"), F.char_length("r")
     runs = (
@@ -187,27 +194,23 @@ def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard
     own = classes.filter("x <> y").select(F.col("cls").alias("c1"), F.col("cls").alias("c2"), F.char_length("l").alias("a"), F.char_length("r").alias("b")).filter(F.col("a") + F.col("b") + k >= length)
     direct = cut(direct.unionByName(own))
     links = direct.select("c1", "c2").union(big_pairs)
-    m1, m2 = members.select(F.col("cls").alias("c1"), F.col("id").alias("i1")), members.select(F.col("cls").alias("c2"), F.col("id").alias("i2"))
-    pairs = (
-        links.join(m1, "c1").join(m2, "c2").filter("i1 <> i2").select(F.least("i1", "i2").alias("id_a"), F.greatest("i1", "i2").alias("id_b")).distinct()
-    )
+    m1, m2 = members.select(F.col("cls").alias("c1"), F.col("id").alias("i1")).distinct(), members.select(F.col("cls").alias("c2"), F.col("id").alias("i2")).distinct()
+    of_texts = links.join(m1, "c1").join(m2, "c2").filter("i1 <> i2").select(F.least("i1", "i2").alias("i1"), F.greatest("i1", "i2").alias("i2")).distinct()
+    # every pair, as asked: texts stand for their records, and records of one long text share all of it
+    alike = member.filter((F.col("copies") > 1) & (F.col("n_chars") >= length)).select(F.col("rep").alias("i1"), F.col("rep").alias("i2")).distinct()
+    a, b = member.select(F.col("rep").alias("i1"), F.col("id").alias("ia")), member.select(F.col("rep").alias("i2"), F.col("id").alias("ib"))
+    pairs = of_texts.unionByName(alike).join(a, "i1").join(b, "i2").filter((F.col("i1") < F.col("i2")) | (F.col("ia") < F.col("ib"))).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
     twice = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run")
     from_runs = runs.join(twice, "run").select(F.col("cls"), F.col("a"), (w - 1 - F.col("a")).alias("b"))
     extents = direct.select(F.col("c1").alias("cls"), "a", "b").union(direct.select("c2", "a", "b")).union(from_runs).distinct()
     spans = members.join(extents, "cls").select("id", (F.col("pos") - F.col("a")).alias("s"), (F.col("pos") + k + F.col("b")).alias("e")).distinct()
 
-    def union_length(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, hi = 0, -1
-        for s, e in sorted(zip(pdf["s"], pdf["e"])):
-            if e > hi:
-                total += e - max(s, hi)
-                hi = e
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "shared_chars": [total]})
-
-    covered = spans.groupBy("id").applyInPandas(union_length, "id long, shared_chars long")
-    coverage = src.select("id", F.char_length("t").alias("n_chars")).join(covered, "id", "left").select(
-        "id", "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.when(F.col("n_chars") > 0, F.coalesce("shared_chars", F.lit(0)) / F.col("n_chars")).otherwise(0.0).alias("share")
-    )
+    # united intervals: what a span adds lies beyond the furthest end before it
+    before = Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    new = spans.withColumn("hi", F.coalesce(F.max("e").over(before), F.lit(-1))).select("id", F.greatest(F.lit(0), F.col("e") - F.greatest("s", "hi")).alias("n"))
+    covered = new.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("part"))
+    whole = F.when((F.col("copies") > 1) & (F.col("n_chars") >= length), F.col("n_chars").cast("long")).otherwise(F.coalesce("part", F.lit(0)))
+    coverage = member.join(covered, "rep", "left").select("id", "n_chars", whole.alias("shared_chars"), F.when(F.col("n_chars") > 0, whole / F.col("n_chars")).otherwise(0.0).alias("share"))
     return pairs, coverage, found.select("passage", "id", "pos")
 
 

@@ -146,7 +146,7 @@ def test_spans_against_brute_force(spark, few):
     texts = [word(rnd.randrange(0, 60)) + (rnd.choice(shared) if rnd.random() < 0.7 else "") + word(rnd.randrange(0, 60)) for _ in range(60)]
     texts += ["", None, texts[3], texts[3], "z" * 100, "z" * 70]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("h", F.lit(1))
-    pairs, cover, _ = spans.shared_spans(df, key="id", text="t", length=20, few=few)
+    pairs, cover, _ = spans.shared_spans(df, key="id", text="t", length=20, few=few, shard_chars=2_000_000 if few > 1 else 64)
     grams = collections.defaultdict(set)
     for i, t in enumerate(texts):
         for p in range(len(t or "") - 19):
