@@ -2,8 +2,7 @@
 
 1. Every text is winnowed: of each run of ``length`` characters at least one anchor (a substring of ``ANCHOR``
    characters) is selected by its hash alone, so two texts that share a run of ``length`` share a selected anchor.
-2. Anchors found in two or more texts are the recurring passages. Only they go on, with their texts. Records of one and
-   the same text are one text until the end.
+2. Anchors found in two or more records are the recurring passages. Only they go on, with their records.
 3. The passages are sharded by the texts that hold them: a shard is some texts and all recurring passages that were
    selected in them, read off the texts themselves. An Aho-Corasick automaton is compiled per shard and its texts are
    streamed through it, each text once, however many passages there are; that gives every occurrence with its surroundings.
@@ -107,17 +106,13 @@ def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard
 
     pairs(id_a, id_b): id_a < id_b, once each, complete. coverage(id, n_chars, shared_chars, share): every record with
     a non-null text; shared_chars counts the characters that lie in some run also found in another record.
-    passages(passage, id, pos): every place of every recurring anchor in one record of each text. Null texts are left out of all three, texts
+    passages(passage, id, pos): every place of every recurring anchor. Null texts are left out of all three, texts
     shorter than ``length`` share nothing; rows of one key and text count once. Characters are Unicode code points.
     """
     k = max(2, length // 2)
     w = length - k + 1
     src = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).dropna()
-    # records of one text: the least id stands for all
-    named = cut(src.select("id", F.char_length("t").alias("n_chars"), F.sha2("t", 256).alias("th")).distinct())
-    first_of = named.groupBy("th").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = cut(named.join(first_of, "th").select("id", "n_chars", "rep", "copies"))
-    long_enough = src.filter(F.char_length("t") >= length).join(member.filter("id = rep").select("id"), "id", "left_semi")
+    long_enough = src.filter(F.char_length("t") >= length)
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -195,11 +190,7 @@ def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard
     direct = cut(direct.unionByName(own))
     links = direct.select("c1", "c2").union(big_pairs)
     m1, m2 = members.select(F.col("cls").alias("c1"), F.col("id").alias("i1")).distinct(), members.select(F.col("cls").alias("c2"), F.col("id").alias("i2")).distinct()
-    of_texts = links.join(m1, "c1").join(m2, "c2").filter("i1 <> i2").select(F.least("i1", "i2").alias("i1"), F.greatest("i1", "i2").alias("i2")).distinct()
-    # every pair, as asked: texts stand for their records, and records of one long text share all of it
-    alike = member.filter((F.col("copies") > 1) & (F.col("n_chars") >= length)).select(F.col("rep").alias("i1"), F.col("rep").alias("i2")).distinct()
-    a, b = member.select(F.col("rep").alias("i1"), F.col("id").alias("ia")), member.select(F.col("rep").alias("i2"), F.col("id").alias("ib"))
-    pairs = of_texts.unionByName(alike).join(a, "i1").join(b, "i2").filter((F.col("i1") < F.col("i2")) | (F.col("ia") < F.col("ib"))).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    pairs = links.join(m1, "c1").join(m2, "c2").filter("i1 <> i2").select(F.least("i1", "i2").alias("id_a"), F.greatest("i1", "i2").alias("id_b")).distinct()
     twice = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run")
     from_runs = runs.join(twice, "run").select(F.col("cls"), F.col("a"), (w - 1 - F.col("a")).alias("b"))
     extents = direct.select(F.col("c1").alias("cls"), "a", "b").union(direct.select("c2", "a", "b")).union(from_runs).distinct()
@@ -208,9 +199,9 @@ def shared_spans(df: DataFrame, *, key: str, text: str, length: int = 200, shard
     # united intervals: what a span adds lies beyond the furthest end before it
     before = Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     new = spans.withColumn("hi", F.coalesce(F.max("e").over(before), F.lit(-1))).select("id", F.greatest(F.lit(0), F.col("e") - F.greatest("s", "hi")).alias("n"))
-    covered = new.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("part"))
-    whole = F.when((F.col("copies") > 1) & (F.col("n_chars") >= length), F.col("n_chars").cast("long")).otherwise(F.coalesce("part", F.lit(0)))
-    coverage = member.join(covered, "rep", "left").select("id", "n_chars", whole.alias("shared_chars"), F.when(F.col("n_chars") > 0, whole / F.col("n_chars")).otherwise(0.0).alias("share"))
+    covered = new.groupBy("id").agg(F.sum("n").alias("part"))
+    whole = F.coalesce("part", F.lit(0))
+    coverage = src.select("id", F.char_length("t").alias("n_chars")).distinct().join(covered, "id", "left").select("id", "n_chars", whole.alias("shared_chars"), F.when(F.col("n_chars") > 0, whole / F.col("n_chars")).otherwise(0.0).alias("share"))
     return pairs, coverage, found.select("passage", "id", "pos")
 
 
