@@ -12,13 +12,14 @@ def considered(items: DataFrame, *, group: str, item: str, max_basket: int, size
     """Distinct (group, item) of groups with at most ``max_basket`` items; nulls are dropped.
 
     The size is that of ``sizes`` (the raw number of changed files, including those gone since) where given, else the
-    number of distinct items. Filtering before pairing bounds the pairs of a group to max_basket^2 / 2.
+    number of distinct items; a group whose size is reported too small is out by its distinct items all the same.
+    Filtering before pairing bounds the pairs of a group to max_basket^2 / 2.
     """
     d = items.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna().distinct()
+    small = d.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_basket).select("g")
     if sizes is not None:
-        small = sizes.select(F.col(group).alias("g"), F.col(size).alias("n")).groupBy("g").agg(F.max("n").alias("n")).filter(F.col("n") <= max_basket).select("g")
-    else:
-        small = d.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_basket).select("g")
+        said = sizes.select(F.col(group).alias("g"), F.col(size).alias("n")).groupBy("g").agg(F.max("n").alias("n")).filter(F.col("n") <= max_basket).select("g")
+        small = small.join(said, "g", "left_semi")
     return d.join(small, "g", "left_semi")
 
 

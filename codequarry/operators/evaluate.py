@@ -12,6 +12,7 @@ from pyspark.sql import types as T_
 from codequarry.functions import paths as P
 from codequarry.functions import text as T
 from codequarry.functions.scoring import log_norm, round3
+from codequarry.operators.prefix import global_rank
 from codequarry.session import cut
 
 
@@ -24,7 +25,10 @@ def mean_percentile(ranking: DataFrame, truth: DataFrame, *, by: list[str], item
     j = ranking.join(t, on, "left")
     n = ranking.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     g = j.join(n, by) if by else j.withColumn("n", ranking.agg(F.count(F.lit(1))).scalar())
-    return g.groupBy(*by).agg(round3(F.avg(F.when(F.col("__t") & (F.col("n") >= 2), 1 - (F.col(rank) - 1) / (F.col("n") - 1)))).alias("percentile"))
+    # whole numbers are summed, so the result does not depend on the order of rows
+    hit = F.col("__t") & (F.col("n") >= 2)
+    s = g.groupBy(*by).agg(F.sum(F.when(hit, F.col(rank) - 1)).alias("__s"), F.count_if(hit).alias("__c"), F.max("n").alias("__n"))
+    return s.select(*by, F.when(F.col("__c") > 0, round3(1 - F.col("__s") / (F.col("__c") * (F.col("__n") - 1)))).alias("percentile"))
 
 
 def hits_at_k(ranking: DataFrame, truth: DataFrame, *, by: list[str], item: str, rank: str = "rank", k: int = 10) -> DataFrame:
@@ -37,7 +41,7 @@ def hits_at_k(ranking: DataFrame, truth: DataFrame, *, by: list[str], item: str,
 def baselines(items: DataFrame, *, by: list[str], item: str, lines: str, fan_in: str, commits: str, order: str | None = None, seed: int = 42) -> DataFrame:
     """(ranking, by..., item, rank) of the simple rankings a reading order must beat: size, fan-in, commits, random
     (a repeatable hash order), and ``order`` under the name reading-order where given. Ties by item."""
-    keys = {"size": -F.col(lines), "fan-in": -F.col(fan_in), "commits": -F.col(commits), "random": F.xxhash64(F.lit(seed), F.col(item))}
+    keys = {"size": -F.col(lines), "fan-in": -F.col(fan_in), "commits": -F.col(commits), "random": F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string"))), 1, 13), 16, 10)}
     if order:
         keys["reading-order"] = F.col(order)
     long = items.select(*by, item, F.explode(F.array(*(F.struct(F.lit(k).alias("ranking"), v.cast("double").alias("v")) for k, v in keys.items()))).alias("x")).select(*by, item, "x.*")
@@ -141,14 +145,14 @@ def grid_search(features: DataFrame, truth: DataFrame, grid: DataFrame, *, by: s
     w = Window.partitionBy("variant", by).orderBy(F.desc(F.round(score, 9)), item)
     r = j.select("variant", by, item, F.row_number().over(w).alias("rank"))
     p = mean_percentile(r, truth, by=["variant", by], item=item).filter("percentile is not null")
-    out = p.groupBy("variant").agg(round3(F.avg("percentile")).alias("score")).orderBy(F.desc("score"), "variant")
+    out = p.groupBy("variant").agg((F.floor(F.avg(F.round(F.col("percentile") * 1000).cast("long")) + 0.5) / 1000).alias("score")).orderBy(F.desc("score"), "variant")
     return out.limit(limit) if limit else out
 
 
 def split_half(groups: DataFrame, by: str) -> DataFrame:
     """Adds ``training``: groups alternate by their position in the order of names."""
-    g = groups.select(by).distinct()
-    return groups.join(g.select(by, (F.pmod(F.row_number().over(Window.orderBy(by)) - 1, F.lit(2)) == 0).alias("training")), by)
+    g = global_rank(groups.select(by).distinct(), [by], "__at")
+    return groups.join(g.select(by, (F.pmod(F.col("__at") - 1, F.lit(2)) == 0).alias("training")), by)
 
 
 def markdown_table(rows: DataFrame, title: str) -> str:

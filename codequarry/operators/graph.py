@@ -56,12 +56,15 @@ def restrict(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataF
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 50, cut_every: int = 5, reverse: bool = False) -> DataFrame:
-    """(node, rank): a fixed number of rounds; the rank of nodes without outgoing edges is spread evenly.
+    """([repo,] node, rank): a fixed number of rounds; the rank of nodes without outgoing edges is spread evenly.
 
     The out-degree is put on the edges once, hash-partitioned by source, and that copy is reused by every round. Lineage
     is cut reliably every few rounds; the dangling mass is one number per round, a scalar subquery. Nodes must be
-    distinct and cover all ends. No nodes: no rows. With ``reverse`` edges run the other way.
+    distinct and cover all ends. No nodes: no rows. With ``reverse`` edges run the other way. Where both tables have a
+    column ``repo``, every repository is a graph of its own, ranked in the same rounds.
     """
+    if "repo" in nodes.columns:
+        return _pagerank_by_repo(nodes, edges, damping, rounds, cut_every, reverse)
     e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges.select("src", "dst")
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     n = nodes.count()
@@ -81,6 +84,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
     return ranks.select("node", "rank")
 
 
+def _pagerank_by_repo(nodes: DataFrame, edges: DataFrame, damping: float, rounds: int, cut_every: int, reverse: bool) -> DataFrame:
+    e = edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges.select("repo", "src", "dst")
+    out = e.groupBy("repo", "src").agg(F.count(F.lit(1)).alias("deg"))
+    links = cut(e.join(out, ["repo", "src"]).select("repo", "src", "dst", (1.0 / F.col("deg")).alias("w")))
+    sizes = nodes.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    base = cut(nodes.select("repo", "node").join(out.select("repo", F.col("src").alias("node"), F.lit(True).alias("has_out")), ["repo", "node"], "left").join(sizes, "repo"))
+    ranks = base.withColumn("rank", 1.0 / F.col("n"))
+    for i in range(1, rounds + 1):
+        into = links.join(ranks.select("repo", F.col("node").alias("src"), "rank"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("s"))
+        loose = ranks.filter("has_out is null").groupBy("repo").agg(F.sum("rank").alias("d"))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        ranks = base.join(into, ["repo", "node"], "left").join(loose, "repo", "left").select("repo", "node", "has_out", "n", ((1 - damping) / F.col("n") + damping / F.col("n") * zero("d") + damping * zero("s")).alias("rank"))
+        if i % cut_every == 0 and i < rounds:
+            ranks = cut(ranks)
+    return ranks.select("repo", "node", "rank")
+
+
 def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) of strongly connected components, named by their smallest node.
 
@@ -90,6 +110,8 @@ def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     n, e = build(edges, nodes)
     left_nodes, left_edges = cut(n), cut(e)
+    if left_edges.limit(1).count() == 0:
+        return left_nodes.select("node", F.col("node").alias("component"))
     done: DataFrame | None = None
 
     def settle(part: DataFrame) -> None:
@@ -163,9 +185,10 @@ def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> tuple[
 
 
 def directory_edges(edges: DataFrame, unit, skip_init: bool = True) -> DataFrame:  # noqa: ANN001
-    """(src, dst, example_src, example_dst): file edges lifted to ``unit(path)``, each with its first example.
+    """([repo,] src, dst, example_src, example_dst): file edges lifted to ``unit(path)``, each with its first example.
 
     Package initialisers re-export, so edges out of ``__init__.py`` do not count; nor do edges within a unit."""
+    by = ["repo"] if "repo" in edges.columns else []
     e = edges.filter(~F.col("src").rlike(r"(^|/)__init__\.py$")) if skip_init else edges
-    e = e.select(unit(F.col("src")).alias("us"), unit(F.col("dst")).alias("ud"), F.struct("src", "dst").alias("x")).filter("us <> ud")
-    return e.groupBy(F.col("us").alias("src"), F.col("ud").alias("dst")).agg(F.min("x").alias("x")).select("src", "dst", F.col("x.src").alias("example_src"), F.col("x.dst").alias("example_dst"))
+    e = e.select(*by, unit(F.col("src")).alias("us"), unit(F.col("dst")).alias("ud"), F.struct("src", "dst").alias("x")).filter("us <> ud")
+    return e.groupBy(*by, F.col("us").alias("src"), F.col("ud").alias("dst")).agg(F.min("x").alias("x")).select(*by, "src", "dst", F.col("x.src").alias("example_src"), F.col("x.dst").alias("example_dst"))

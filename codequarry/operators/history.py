@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codequarry.functions.text import is_bot, normalize_name
 from codequarry.operators.graph import components
 from codequarry.operators.prefix import global_rank
+from codequarry.session import cut
 
 
 def latest_delivery(commits: DataFrame, key: str = "commit_id", by: str = "ingested_at") -> DataFrame:
@@ -95,23 +96,30 @@ def resolve_people(identities: DataFrame, mailmap: DataFrame | None = None) -> D
     return ranked.select(F.concat(F.lit("a"), F.col("__rn")).alias("id"), "name", "emails", "names", bot.alias("bot"), "commits", "last_commit_at")
 
 
-def rename_aliases(renames: DataFrame) -> list[tuple[str, str, int]]:
-    """(old path, current path, from_seq): folds rename events newest first; the first mapping of a path wins.
+def rename_aliases(renames: DataFrame) -> DataFrame:
+    """([repo,] old, cur, from_seq): what a path is called today and from which commit on (seq 0 is the newest).
 
-    Only rename events reach the driver; they are few and the fold is sequential by nature."""
-    current: dict[str, tuple[str, int]] = {}
-    for r in renames.orderBy("seq", "ord").toLocalIterator():
-        target = current.get(r["new_path"], (r["new_path"], 0))[0]
-        current.setdefault(r["old_path"], (target, r["seq"]))
-    return [(old, new, seq) for old, (new, seq) in current.items()]
+    The newest rename of a path counts; where that leads goes on only with a still newer one. Chains are contracted by
+    doubling, each repository by itself: O(log n) joins, no path comes to the driver."""
+    scope = ["repo"] if "repo" in renames.columns else []
+    first = renames.groupBy(*scope, F.col("old_path").alias("old")).agg(F.min(F.struct("seq", "ord", "new_path")).alias("e"))
+    own = first.select(*scope, "old", F.col("e.seq").alias("seq"), F.col("e.ord").alias("ord"), F.col("e.new_path").alias("cur"))
+    then = own.select(*scope, F.col("old").alias("cur"), F.struct("seq", "ord").alias("k2"))
+    step = own.join(then, [*scope, "cur"], "left").select(*scope, "old", "seq", "cur", F.coalesce(F.col("k2") < F.struct("seq", "ord"), F.lit(False)).alias("more"))
+    step = cut(step)
+    while step.filter("more").limit(1).count():
+        on = step.select(*scope, F.col("old").alias("cur"), F.col("cur").alias("c2"), F.col("more").alias("m2"))
+        j = step.join(on, [*scope, "cur"], "left")
+        step = cut(j.select(*scope, "old", "seq", F.when(F.col("more"), F.col("c2")).otherwise(F.col("cur")).alias("cur"), (F.col("more") & F.coalesce("m2", F.lit(False))).alias("more")))
+    return step.select(*scope, "old", "cur", F.col("seq").alias("from_seq"))
 
 
 def follow_renames(commit_files: DataFrame, commits: DataFrame, renames: DataFrame) -> DataFrame:
-    """(commit_id, path) under today's paths: a file changed under an old name counts for the current one."""
-    spark = commit_files.sparkSession
-    alias = spark.createDataFrame(rename_aliases(renames), "old string, cur string, from_seq int")
-    j = commit_files.select("commit_id", "path").join(commits.select("commit_id", "seq"), "commit_id").join(alias, (F.col("path") == F.col("old")) & (F.col("seq") >= F.col("from_seq")), "left")
-    return j.select("commit_id", F.coalesce("cur", "path").alias("path")).distinct()
+    """([repo,] commit_id, path) under today's paths: a file changed under an old name counts for the current one."""
+    scope = ["repo"] if "repo" in renames.columns and "repo" in commit_files.columns else []
+    alias = rename_aliases(renames).withColumnRenamed("old", "path")
+    j = commit_files.select(*scope, "commit_id", "path").join(commits.select(*scope, "commit_id", "seq"), [*scope, "commit_id"]).join(alias, [*scope, "path"], "left")
+    return j.select(*scope, "commit_id", F.when(F.col("seq") >= F.col("from_seq"), F.col("cur")).otherwise(F.col("path")).alias("path")).distinct()
 
 
 def person_of(paths: DataFrame, people: DataFrame, email: Column) -> DataFrame:

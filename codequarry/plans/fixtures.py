@@ -54,7 +54,7 @@ case("res_module_file", ["m/__init__.py", "m.py", "n.pyi", "n.py", "x.py"], [("x
 @R.query(_values([("",), ("services/api",), ("src",)], "root"))
 def res_source_roots(spark, base):  # noqa: ANN001, ANN201
     fl = ["src/flask/__init__.py", "src/flask/app.py", "services/api/app/__init__.py", "services/api/app/main.py", "setup.py"]
-    return imports.source_roots(spark.createDataFrame([(p,) for p in fl], "path string"))[1]
+    return imports.source_roots(spark.createDataFrame([(p,) for p in fl], "path string"))[1].select("root")
 
 
 @R.query(_values([("main.py", "pkg/json/__init__.py", 1), ("main.py", "pkg/app.py", 3)], "src, dst, first_line"))
@@ -209,7 +209,7 @@ R.add("clamp_limit", lambda s, b: s.range(0, 130, 13).select("id", F.least(F.gre
 
 @R.query(_values([(2,)], "n"))
 def src_clone(spark, base):  # noqa: ANN001, ANN201
-    with G.clone(textual.demo_repo()) as bare:
+    with G.clone(textual.demo_repo(spark)) as bare:
         n = G.read_git(spark, bare, "commits").count()
     return spark.createDataFrame([(n,)], "n int")
 
@@ -221,7 +221,7 @@ def src_open_local(spark, base):  # noqa: ANN001, ANN201
         refused = False
     except ValueError:
         refused = True
-    return spark.createDataFrame([(len(G.open_local(textual.demo_repo())), refused)], "n int, refused boolean")
+    return spark.createDataFrame([(len(G.open_local(textual.demo_repo(spark))), refused)], "n int, refused boolean")
 
 
 @R.query(_values([("Nothing in this repository matched the question.", 0), ("No language model is configured; these are the matching sources.", 0), (None, 1)], "note, citations"))

@@ -16,6 +16,7 @@ from codequarry.operators import history as H
 from codequarry.operators import overview as O
 from codequarry.operators import ownership as W
 from codequarry.operators import ranking as K
+from codequarry.operators.prefix import global_rank
 from codequarry.plans.registry import Registry
 from codequarry.plans.rows import _AREA, _CODE
 from codequarry.session import table
@@ -46,7 +47,7 @@ def commits(spark: SparkSession, base: str) -> DataFrame:
 # rows delivered twice: the latest counts; equal deliveries are settled by the greatest row, nulls last
 _COMMITS = "co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY ingested_at DESC NULLS LAST, author_email DESC NULLS LAST, author_name DESC NULLS LAST, ts DESC NULLS LAST, n_parents DESC NULLS LAST, files_changed DESC NULLS LAST, seq DESC NULLS LAST) AS rn FROM commits) WHERE rn = 1)"
 _ITEMS = f"it AS (SELECT DISTINCT commit_id AS g, {_FKEY} AS i FROM commit_files WHERE path IS NOT NULL AND commit_id IS NOT NULL)"
-_SMALL = "sm AS (SELECT commit_id FROM commits GROUP BY 1 HAVING max(files_changed) <= 30)"
+_SMALL = "sm AS (SELECT commit_id FROM commits GROUP BY 1 HAVING max(files_changed) <= 30 INTERSECT SELECT g FROM it GROUP BY 1 HAVING count(*) <= 30)"
 _BASE = f"{_ITEMS}, {_SMALL}, d AS (SELECT it.* FROM it JOIN sm ON g = commit_id), c AS (SELECT i, count(*) AS c FROM d GROUP BY i)"
 _PAIRS = f"WITH {_BASE}, e AS (SELECT d.* FROM d JOIN c USING (i) WHERE c >= 5), p AS (SELECT x.i AS a, y.i AS b, count(*) AS together FROM e x JOIN e y ON x.g = y.g AND x.i < y.i GROUP BY ALL HAVING count(*) >= 5), s AS (SELECT a, b, together, ca.c AS count_a, cb.c AS count_b, together / ((ca.c + cb.c) / 2.0::double) AS raw FROM p JOIN c ca ON ca.i = a JOIN c cb ON cb.i = b)"
 
@@ -342,11 +343,11 @@ def _parts(spark, base):  # noqa: ANN001, ANN202
 
 
 _PART = "pp AS (SELECT p_brand AS repo, p_partkey AS item, p_size AS lines, coalesce(n, 0) AS commits, p_retailprice AS price FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"
-_BASEL = "rk AS (SELECT 'size' AS ranking, repo, item, row_number() OVER (PARTITION BY repo ORDER BY lines DESC, item) AS rank FROM pp UNION ALL SELECT 'commits', repo, item, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, item) FROM pp UNION ALL SELECT 'fan-in', repo, item, row_number() OVER (PARTITION BY repo ORDER BY price DESC, item) FROM pp)"
+_BASEL = "rk AS (SELECT 'size' AS ranking, repo, item, row_number() OVER (PARTITION BY repo ORDER BY lines DESC, item) AS rank FROM pp UNION ALL SELECT 'commits', repo, item, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, item) FROM pp UNION ALL SELECT 'fan-in', repo, item, row_number() OVER (PARTITION BY repo ORDER BY price DESC, item) FROM pp UNION ALL SELECT 'random', repo, item, row_number() OVER (PARTITION BY repo ORDER BY ('0x' || substr(md5('42:' || item), 1, 13))::bigint, item) FROM pp)"
 
 
 def _baselines(spark, base):  # noqa: ANN001, ANN202
-    return E.baselines(_parts(spark, base), by=["repo"], item="item", lines="lines", fan_in="price", commits="commits").filter("ranking <> 'random'")
+    return E.baselines(_parts(spark, base), by=["repo"], item="item", lines="lines", fan_in="price", commits="commits")
 
 
 def _truth(spark, base):  # noqa: ANN001, ANN202
@@ -355,7 +356,7 @@ def _truth(spark, base):  # noqa: ANN001, ANN202
 
 _T = "t AS (SELECT repo, item FROM pp WHERE lines > 45)"
 R.add("sort_baselines", _baselines, f"WITH {_PART}, {_BASEL} SELECT ranking, repo, item, rank FROM rk")
-_MP = f"WITH {_PART}, {_BASEL}, {_T}, n AS (SELECT repo, count(*) AS n FROM pp GROUP BY 1) SELECT ranking, rk.repo, floor(avg(CASE WHEN t.item IS NOT NULL AND n >= 2 THEN 1 - (rank - 1) / (n - 1)::double END) * 1000 + 0.5) / 1000.0::double AS percentile FROM rk JOIN n USING (repo) LEFT JOIN t ON t.repo = rk.repo AND t.item = rk.item GROUP BY ALL"
+_MP = f"WITH {_PART}, {_BASEL}, {_T}, n AS (SELECT repo, count(*) AS n FROM pp GROUP BY 1) SELECT ranking, rk.repo, floor((1 - sum(CASE WHEN t.item IS NOT NULL AND n >= 2 THEN rank - 1 END)::double / (count_if(t.item IS NOT NULL AND n >= 2) * (max(n) - 1))::double) * 1000 + 0.5) / 1000.0::double AS percentile FROM rk JOIN n USING (repo) LEFT JOIN t ON t.repo = rk.repo AND t.item = rk.item GROUP BY ALL"
 R.add("agg_mean_percentile", lambda s, b: E.mean_percentile(_baselines(s, b), _truth(s, b), by=["ranking", "repo"], item="item"), _MP)
 R.add("agg_hits_at_k", lambda s, b: E.hits_at_k(_baselines(s, b), _truth(s, b), by=["ranking", "repo"], item="item"), f"WITH {_PART}, {_BASEL}, {_T} SELECT ranking, rk.repo, count_if(rank <= 10 AND t.item IS NOT NULL)::bigint AS hits FROM rk LEFT JOIN t ON t.repo = rk.repo AND t.item = rk.item GROUP BY ALL")
 R.add("agg_median", lambda s, b: E.mean_percentile(_baselines(s, b), _truth(s, b), by=["ranking", "repo"], item="item").groupBy("ranking").agg(F.median("percentile").alias("median")), f"SELECT ranking, median(percentile) AS median FROM ({_MP}) GROUP BY 1")
@@ -365,7 +366,7 @@ R.add("intersect_truth", lambda s, b: _baselines(s, b).filter("rank <= 10").join
 def _grid(spark, base):  # noqa: ANN001, ANN202
     p = _parts(spark, base).withColumn("zero", F.lit(0.0)).withColumn("private", F.col("item") % 9 == 0)
     f = E.feature_matrix(p, by="repo", item="item", centrality="price", reverse="zero", fan_in="commits", churn="commits", lines="lines", private="private")
-    return E.grid_search(f, _truth(spark, base), E.variants(spark, steps=(0, 1), reverse=(0,)), by="repo", item="item", limit=None)
+    return E.grid_search(f, _truth(spark, base), E.variants(spark), by="repo", item="item", limit=None)
 
 
 _VAR = "v(variant, ce, re, fi, ch, si, pe) AS (VALUES {rows})"
@@ -375,19 +376,20 @@ def _grid_sql() -> str:
     import itertools
 
     out = {k: tuple(map(float, v)) for k, v in E.NAMED.items()}
-    for c, f, ch, s in itertools.product((0, 1), (0, 1), (0, 1), (0, 1)):
-        z = c + f + ch + s
+    steps = (0, 0.25, 0.5, 0.75, 1)
+    for c, r, f, ch, s in itertools.product(steps, (0, 0.25, 0.5), steps, steps, steps):
+        z = c + r + f + ch + s
         if z:
             for p in (0, 0.2):
-                w = (c / z, 0.0, f / z, ch / z, s / z)
+                w = (c / z, r / z, f / z, ch / z, s / z)
                 out.setdefault("c{:.2f} r{:.2f} f{:.2f} ch{:.2f} s{:.2f} p{:.1f}".format(*w, p), (*w, float(p)))
     rows = ", ".join(f"('{k}', " + ", ".join(f"{x!r}::double" for x in v) + ")" for k, v in out.items())
     return (
         f"WITH {_PART}, {_T}, {_VAR.format(rows=rows)}, m AS (SELECT repo, max(price) AS mp, max(commits) AS mc, max(lines) AS ml, count(*) AS n FROM pp GROUP BY 1), "
         "f AS (SELECT repo, item, n, CASE WHEN mp > 0 THEN price / mp ELSE 0 END AS c, CASE WHEN mc > 0 THEN ln(1 + commits::double) / ln(1 + mc::double) ELSE 0 END AS h, CASE WHEN ml > 0 THEN ln(1 + lines::double) / ln(1 + ml::double) ELSE 0 END AS l, item % 9 = 0 AS priv FROM pp JOIN m USING (repo)), "
         "r AS (SELECT variant, repo, item, n, row_number() OVER (PARTITION BY variant, repo ORDER BY round(c * ce + h * fi + h * ch + l * si - CASE WHEN priv THEN pe ELSE 0 END, 9) DESC, item) AS rank FROM f, v), "
-        "p AS (SELECT variant, r.repo, floor(avg(CASE WHEN t.item IS NOT NULL AND n >= 2 THEN 1 - (rank - 1) / (n - 1)::double END) * 1000 + 0.5) / 1000.0::double AS pc FROM r LEFT JOIN t ON t.repo = r.repo AND t.item = r.item GROUP BY ALL) "
-        "SELECT variant, floor(avg(pc) * 1000 + 0.5) / 1000.0::double AS score FROM p WHERE pc IS NOT NULL GROUP BY 1"
+        "p AS (SELECT variant, r.repo, floor((1 - sum(CASE WHEN t.item IS NOT NULL AND n >= 2 THEN rank - 1 END)::double / (count_if(t.item IS NOT NULL AND n >= 2) * (max(n) - 1))::double) * 1000 + 0.5) / 1000.0::double AS pc FROM r LEFT JOIN t ON t.repo = r.repo AND t.item = r.item GROUP BY ALL) "
+        "SELECT variant, floor(avg(round(pc * 1000)::bigint) + 0.5) / 1000.0::double AS score FROM p WHERE pc IS NOT NULL GROUP BY 1"
     )
 
 
@@ -442,7 +444,7 @@ def agg_people(spark, base):  # noqa: ANN001, ANN201
 @R.query("SELECT row_number() OVER (ORDER BY commits DESC, coalesce(name, ''), emails[1]) AS position, id, commits FROM people")
 def sort_people(spark, base):  # noqa: ANN001, ANN201
     p = table(spark, base, "people")
-    return p.select(F.row_number().over(Window.orderBy(F.desc("commits"), F.coalesce("name", F.lit("")), F.col("emails")[0])).alias("position"), "id", "commits")
+    return global_rank(p, [F.desc("commits"), F.coalesce("name", F.lit("")), F.col("emails")[0]], "position").select("position", "id", "commits")
 
 
 @R.query()

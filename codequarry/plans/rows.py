@@ -96,8 +96,8 @@ per_file("fn_significant_lines", lambda: F.size(T.significant_lines(F.col("text"
 per_file("fn_split_lines", lambda: F.size(T.split_lines(F.col("text"))), "(SELECT CASE WHEN len(s) > 1 AND s[-1] = '' THEN len(s) - 1 ELSE len(s) END FROM (SELECT string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c]') AS s))", tab="file_text")
 per_file("fn_config_modules", lambda: F.array_join(F.array_sort(T.config_modules(F.col("text"))), "|"), "array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '([A-Za-z_][\\w.]*)\\s*:\\s*[A-Za-z_]\\w*', 1), regexp_extract_all(text, '\\b[A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)+\\b')))), '|')", lambda: F.col("path").rlike("toml$"), "suffix(path, 'toml')", tab="file_text")
 per_file("fn_doc_tokens", lambda: F.concat(F.array_join(F.array_sort(T.doc_tokens(F.col("text"))["paths"]), "|"), F.lit("#"), F.array_join(F.array_sort(T.doc_tokens(F.col("text"))["modules"]), "|")), None, lambda: F.col("text").isNotNull(), "text IS NOT NULL", tab="documents", key="doc_id")
-per_file("fn_terms", lambda: F.array_join(T.terms(F.substring_index("text", "\n", 1)), "|"), "array_to_string(list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '[^a-z0-9_]+'), lambda w: length(w) >= 3), '|')", lambda: F.col("text").isNotNull(), "text IS NOT NULL", tab="documents", key="doc_id")
-per_file("fn_tsquery", lambda: T.any_of_query(T.terms(F.substring_index("text", "\n", 1))), "(SELECT coalesce(string_agg(w, ' | ' ORDER BY i), '') FROM (SELECT w, min(i) AS i FROM (SELECT unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '[^a-z0-9_]+'), lambda w: length(w) >= 3) AS l)) GROUP BY w))", lambda: F.col("text").isNotNull(), "text IS NOT NULL", tab="documents", key="doc_id")
+per_file("fn_terms", lambda: F.array_join(T.terms(F.col("text")), "|"), "array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: length(w) >= 3), '|')", lambda: F.col("text").isNotNull(), "text IS NOT NULL", tab="documents", key="doc_id")
+per_file("fn_tsquery", lambda: T.any_of_query(T.terms(F.col("text"))), "(SELECT coalesce(string_agg(w, ' | ' ORDER BY i), '') FROM (SELECT w, min(i) AS i FROM (SELECT unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: length(w) >= 3) AS l)) GROUP BY w))", lambda: F.col("text").isNotNull(), "text IS NOT NULL", tab="documents", key="doc_id")
 _W = "list_filter(string_split_regex(lower(regexp_replace(symbol, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
 _STEM = "CASE WHEN suffix(w, 'ss') THEN w " + " ".join(f"WHEN suffix(w, '{s}') AND length(w) > {len(s) + 2} THEN left(w, length(w) - {len(s)})" for s in T.STEM_SUFFIXES) + " ELSE w END"
 _SYM = (lambda: F.col("symbol").isNotNull(), "symbol IS NOT NULL")
@@ -131,9 +131,9 @@ def src_parse_uri(spark, base):  # noqa: ANN001, ANN201
     return table(spark, base, "files").withColumn("u", u).select("file_id", "repo", "u", P.parse_source_uri(F.col("u"))["kind"].alias("kind"))
 
 
-@R.query("SELECT file_id, start_line, n FROM (SELECT file_id, 1 AS start_line, (SELECT count(*) FROM (SELECT unnest(list_slice(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c]'), 2, 20)) AS x) WHERE trim(x, chr(32) || chr(9)) <> '' AND NOT prefix(trim(x, chr(32) || chr(9)), '#')) AS n FROM file_text)")
+@R.query("SELECT file_id, start_line, n FROM (SELECT file_id, 1 AS start_line, (SELECT count(*) FROM (SELECT unnest(list_slice(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c]'), 2, len(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c]')))) AS x) WHERE trim(x, chr(32) || chr(9)) <> '' AND NOT prefix(trim(x, chr(32) || chr(9)), '#')) AS n FROM file_text)")
 def fn_body_lines(spark, base):  # noqa: ANN001, ANN201
-    return table(spark, base, "file_text").select("file_id", F.lit(1).alias("start_line"), F.size(T.body_lines(F.col("text"), F.lit(1), F.lit(20))).alias("n"))
+    return table(spark, base, "file_text").select("file_id", F.lit(1).alias("start_line"), F.size(T.body_lines(F.col("text"), F.lit(1), F.size(T.split_lines(F.col("text"))))).alias("n"))
 
 
 @R.query("SELECT file_id, round(0.55 * churn + 0.3 * reach + 0.15 * fan_in - CASE WHEN private_module THEN 0.2 ELSE 0 END, 6)::double AS score FROM scored WHERE churn >= 0 AND reach >= 0 AND fan_in >= 0 AND lower(churn::varchar || reach::varchar || fan_in::varchar) NOT LIKE '%nan%' AND churn < 1e9 AND reach < 1e9 AND fan_in < 1e9")

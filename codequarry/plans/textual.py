@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import os
 import subprocess
-import tempfile
+from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths as P
 from codequarry.operators import chunking, duplicates, evaluate, findings, graph, imports, jobs, overview, search
 from codequarry.operators import history as H
+from codequarry.operators.prefix import global_rank
+from codequarry.plans import project as J
 from codequarry.plans.registry import Registry, values_sql
-from codequarry.plans.rows import _CODE, _LOW, _N, _SIG, _TEST, _q
+from codequarry.plans.rows import _AREA, _CODE, _ENTRY, _LOW, _N, _SIG, _TEST, _q
 from codequarry.session import cut, table
 from codequarry.sources import files as X
 from codequarry.sources import git as G
@@ -38,15 +40,13 @@ _CC = _LP.replace("WITH s", "WITH RECURSIVE s") + ", e AS (SELECT a, b, shared F
 R.add("graph_dup_components", lambda s, b: graph.components(_line_pairs(s, b), "a", "b"), _CC + " SELECT n AS node, c AS component FROM c")
 _DG = _CC + " SELECT c AS component, count(*) AS size, (SELECT max(shared) FROM e JOIN c c2 ON c2.n = e.a WHERE c2.c = c.c) AS shared FROM c GROUP BY c"
 R.add("agg_dup_groups", lambda s, b: duplicates.duplicate_groups(_line_pairs(s, b)).select("component", "size", "shared"), _DG)
-R.add("sort_dup_groups", lambda s, b: duplicates.duplicate_groups(_line_pairs(s, b)).select("component", "size", F.row_number().over(Window.orderBy(F.desc("size"), "component")).alias("position")), f"SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS position FROM ({_DG})")
+R.add("sort_dup_groups", lambda s, b: global_rank(duplicates.duplicate_groups(_line_pairs(s, b)).select("component", "size"), [F.desc("size"), "component"], "position"), f"SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS position FROM ({_DG})")
 
 
-@R.query(f"WITH s AS (SELECT repo, file_id, {_SIG} AS ls FROM file_text WHERE suffix(path, 'README.md')) SELECT a.file_id AS a, b.file_id AS b, len(list_intersect(a.ls, b.ls)) AS common FROM s a JOIN s b ON a.file_id < b.file_id WHERE len(list_intersect(a.ls, b.ls)) > 0")
+@R.query(f"WITH s AS (SELECT repo, file_id, unnest({_SIG}) AS l FROM file_text), u AS (SELECT repo, l FROM s GROUP BY ALL HAVING count(*) BETWEEN 2 AND 20), h AS (SELECT s.* FROM s JOIN u USING (repo, l)) SELECT x.file_id AS a, y.file_id AS b, count(*) AS common FROM h x JOIN h y ON x.repo = y.repo AND x.l = y.l AND x.file_id < y.file_id GROUP BY ALL")
 def intersect_lines(spark, base):  # noqa: ANN001, ANN201
-    from codequarry.functions.text import significant_lines
-
-    s = table(spark, base, "file_text").filter(F.col("path").endswith("README.md")).select("file_id", F.explode(significant_lines(F.col("text"))).alias("l"))
-    return s.select(F.col("file_id").alias("a"), "l").join(s.select(F.col("file_id").alias("b"), "l"), "l").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    p = duplicates.line_pairs(table(spark, base, "file_text"), key="file_id", text="text", min_lines=1, min_shared=1, min_containment=0.0, scope="repo")
+    return p.select("a", "b", F.col("shared").alias("common"))
 
 
 @R.query("WITH w AS (SELECT file_id, unnest(list_transform(range(1, len(l) - 1), lambda i: array_to_string(list_slice(l, i, i + 2), chr(10)))) AS block FROM (SELECT file_id, string_split(text, chr(10)) AS l FROM file_text WHERE len(string_split(text, chr(10))) >= 3)) SELECT md5(block) AS block, count(DISTINCT file_id) AS files, count(*) AS occurrences FROM w GROUP BY 1 HAVING count(DISTINCT file_id) >= 2")
@@ -136,121 +136,142 @@ def agg_retrieval_recall(spark, base):  # noqa: ANN001, ANN201
     return got.agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("position").isNotNull()).alias("within_8"), F.count_if(F.col("position") == 1).alias("first"))
 
 
-# ---- Python sources: symbols, imports, chunks, findings ----
-def _parsed(spark, base):  # noqa: ANN001, ANN202
-    t = table(spark, base, "file_text").filter(F.col("path").endswith(".py"))
-    return A.parse_files(t.select(F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("~")), "path").alias("path"), "text"))
-
-
-def _files(spark, base):  # noqa: ANN001, ANN202
-    return table(spark, base, "files").withColumn("path", F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("~")), "path"))
-
-
-def _texts(spark, base):  # noqa: ANN001, ANN202
-    return table(spark, base, "file_text").withColumn("path", F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("~")), "path"))
-
-
+# ---- Python sources: symbols, imports, chunks, findings; all files, and a known project in every repository ----
 def _edges(spark, base, parsed=None):  # noqa: ANN001, ANN202
-    p = cut(_parsed(spark, base)) if parsed is None else parsed
-    return cut(imports.import_edges(imports.resolve_imports(A.imports_of(p), p.select("path"))))
+    p = cut(J.parsed(spark, base)) if parsed is None else parsed
+    return cut(imports.import_edges(imports.resolve_imports(A.imports_of(p), p.select("repo", "path"))))
 
 
 def _absolute(parsed):  # noqa: ANN001, ANN202
-    return imports.resolve_imports(A.imports_of(parsed).filter("level = 0"), parsed.select("path"))
+    r = imports.resolve_imports(A.imports_of(parsed).filter("level = 0"), parsed.select("repo", "path"))
+    return r.filter("target_path is not null").select("repo", "path", "line", "module", "target_path", "method")
 
 
 def _unreferenced(spark, base, parsed):  # noqa: ANN001, ANN202
-    return findings.unreferenced(_files(spark, base), _texts(spark, base), _edges(spark, base, parsed), parsed.select("path"))
+    return findings.unreferenced(J.files(spark, base), J.texts(spark, base), _edges(spark, base, parsed), parsed.select("repo", "path"))
 
 
-R.add("scan_ast", lambda s, b: _parsed(s, b).select("path", "first_error_line", F.size("imports").alias("imports"), F.size("symbols").alias("symbols")))
-R.add("res_absolute", lambda s, b: _absolute(cut(_parsed(s, b))))
-R.add("graph_build", lambda s, b: _edges(s, b))
-R.add("chunk_symbols", lambda s, b: chunking.symbol_chunks(_texts(s, b).filter(F.col("path").endswith(".py")), A.symbols_of(_parsed(s, b))).select("path", "start_line", "end_line", "kind", "symbol"))
+_ABSOLUTE = [
+    ("zapp/again.py", 1, "zapp.util", "zapp/util.py"), ("zapp/core/engine.py", 2, "zapp.store.disk", "zapp/store/disk.py"), ("zapp/core/engine.py", 3, "zapp.models", "zapp/models.py"), ("zapp/core/engine.py", 3, "zapp.again", "zapp/again.py"),
+    ("zapp/store/disk.py", 3, "zapp.core.engine", "zapp/core/engine.py"), ("zapp/store/disk.py", 4, "zapp.core.engine", "zapp/core/engine.py"), ("zapp/store/models.py", 1, "zapp.store.disk", "zapp/store/disk.py"), ("zlib9/big.py", 1, "zlib9.loose", "zlib9/loose.py"),
+    ("run_z.py", 1, "zapp.core.engine", "zapp/core/engine.py"), ("run_z.py", 1, "zapp.store.models", "zapp/store/models.py"), ("tests/test_zmodels.py", 1, "zapp.models", "zapp/models.py"), ("tests/test_zmodels.py", 2, "zextra.helper", "zextra/helper.py"),
+]
+_root = lambda rows: [(*r, "root") for r in rows]
+R.add("scan_ast", lambda s, b: J.parsed(s, b).select("repo", "path", "first_error_line", F.size("imports").alias("imports"), F.size("symbols").alias("symbols")))
+R.add("res_absolute", lambda s, b: _absolute(cut(J.parsed(s, b))), J.sql(_root(_ABSOLUTE), "path, line, module, target_path, method", _root([(J.ODD, 1, "zapp.util", "zapp/util.py"), (J.ODD, 1, "zapp", "zapp/__init__.py")])))
+R.add("graph_build", lambda s, b: _edges(s, b), J.sql([e for e in J.EDGES if e[0] != J.ODD], "src, dst, first_line", [e for e in J.EDGES if e[0] == J.ODD]))
+R.add("chunk_symbols", lambda s, b: chunking.symbol_chunks(J.texts(s, b).filter(F.col("path").endswith(".py")), A.symbols_of(J.parsed(s, b))).select("repo", "path", "start_line", "end_line", "kind", "symbol"))
 
 
 @R.query()
 def chunk_all(spark, base):  # noqa: ANN001, ANN201
-    t = _texts(spark, base)
-    py = chunking.symbol_chunks(t.filter(F.col("path").endswith(".py")), A.symbols_of(_parsed(spark, base))).select("path", "start_line", "end_line", "kind")
+    t = J.texts(spark, base)
+    py = chunking.symbol_chunks(t.filter(F.col("path").endswith(".py")), A.symbols_of(J.parsed(spark, base))).select("repo", "path", "start_line", "end_line", "kind")
     other = t.filter(~F.col("path").endswith(".py") & P.language(F.col("path")).isNotNull())
-    return py.unionByName(chunking.windows(other).select("path", "start_line", "end_line", F.lit("text").alias("kind")))
+    return py.unionByName(chunking.windows(other, key=["repo", "path"]).select("repo", "path", "start_line", "end_line", F.lit("text").alias("kind")))
 
 
-R.add("cap_chunks", lambda s, b: chunking.cap(chunk_all(s, b), 400))
-R.add("find_repeated_functions", lambda s, b: findings.repeated_functions(_texts(s, b), A.symbols_of(_parsed(s, b)), _files(s, b)).select("kind", "severity", "title", F.size("evidence").alias("evidence")))
-R.add("join_interval_cover", lambda s, b: duplicates.outermost(duplicates.repeated_bodies(_texts(s, b), A.symbols_of(_parsed(s, b)), min_lines=2)).select("path", "start_line", "end_line", "copies"))
+R.add("cap_chunks", lambda s, b: chunking.cap(chunk_all(s, b).withColumn("file", F.concat_ws(" ", "repo", "path")), order="file").drop("file"))
+R.add("find_repeated_functions", lambda s, b: findings.repeated_functions(J.texts(s, b), A.symbols_of(cut(J.parsed(s, b))), J.files(s, b)).select("repo", "kind", "severity", "title", F.size("evidence").alias("evidence")), J.sql([("repeated-logic", "info", "2 identical copies of a function (arrange, prepare)", 2)], "kind, severity, title, evidence"))
+R.add("join_interval_cover", lambda s, b: duplicates.outermost(duplicates.repeated_bodies(J.texts(s, b), A.symbols_of(cut(J.parsed(s, b))), min_lines=2)).select("repo", "path", "start_line", "end_line", "copies"), J.sql([("zapp/again.py", 4, 11, 2), ("zapp/util.py", 4, 11, 2)], "path, start_line, end_line, copies"))
 _STEM_OF = f"array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace({_N}, '(.)\\..*$', '\\1'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\-\\s]+'), lambda w: w <> '' AND w NOT IN ({_q(P.ROLE_WORDS)})), '')"
+_ALLF = f"WITH {J.files_sql()}, af AS (SELECT repo, path, language, lines, is_test, generated_reason FROM files UNION ALL SELECT repo, path, language, lines::int, is_test, NULL FROM pf)"
 R.add(
-    "find_similar_names", lambda s, b: findings.similar_names(_files(s, b)).select("title", F.size("evidence").alias("evidence")),
-    f"SELECT count(*) || ' files named after \"' || stem || '\" in ' || count(DISTINCT repo) || ' areas' AS title, count(*) AS evidence FROM (SELECT repo, {_STEM_OF} AS stem FROM files WHERE NOT is_test AND {_CODE} AND generated_reason IS NULL AND lower(language) NOT IN ('css', 'html')) WHERE length(stem) >= 3 AND stem NOT IN ({_q(P.GENERIC_STEMS)}) GROUP BY stem HAVING count(*) >= 3 AND count(DISTINCT repo) >= 2",
+    "find_similar_names", lambda s, b: findings.similar_names(J.files(s, b)).select("repo", "title", F.size("evidence").alias("evidence")),
+    f"{_ALLF} SELECT repo, count(*) || ' files named after \"' || stem || '\" in ' || count(DISTINCT area) || ' areas' AS title, count(*) AS evidence FROM (SELECT repo, {_AREA} AS area, {_STEM_OF} AS stem FROM af WHERE NOT is_test AND {_CODE} AND generated_reason IS NULL AND lower(language) NOT IN ('css', 'html')) WHERE length(stem) >= 3 AND stem NOT IN ({_q(P.GENERIC_STEMS)}) GROUP BY repo, stem HAVING count(*) >= 3 AND count(DISTINCT area) >= 2",
 )
 _GENERATED = f"""
-WITH f AS (SELECT replace(repo, '/', '~') || '/' || path AS p, generated_reason AS r, {_LOW} AS n, {_TEST} AS t FROM files),
-env AS (SELECT p, t FROM f WHERE (n = '.env' OR prefix(n, '.env.')) AND n NOT IN ({_q(P.ENV_TEMPLATES)})),
-db AS (SELECT p FROM f WHERE regexp_matches(n, '\\.(sqlite3?|db)$') AND n <> 'thumbs.db'),
-a AS (SELECT CASE WHEN t THEN 'info' ELSE 'warn' END AS severity, 'Environment file committed' || CASE WHEN t THEN ' in tests: ' ELSE ': ' END || p AS title FROM env
-UNION ALL SELECT CASE WHEN r IN ('marked as generated', 'minified file', 'source map') THEN 'info' ELSE 'warn' END, CASE WHEN count(*) = 1 THEN 'Generated file committed (' || r || '): ' || min(p) ELSE count(*) || ' generated files committed (' || r || ')' END FROM f WHERE r IS NOT NULL GROUP BY r
-UNION ALL SELECT 'info', CASE WHEN count(*) = 1 THEN 'Database file committed: ' || min(p) ELSE count(*) || ' database files committed' END FROM db HAVING count(*) > 0)"""
-R.add("find_generated", lambda s, b: findings.committed_generated(_files(s, b)).select("severity", "title"), _GENERATED + " SELECT severity, title FROM a")
-R.add("find_missing_tests", lambda s, b: findings.missing_tests(_files(s, b), _edges(s, b)).select("title", F.size("evidence").alias("evidence")))
-R.add("find_unreferenced", lambda s, b: _unreferenced(s, b, cut(_parsed(s, b))).select("title", F.size("evidence").alias("evidence")))
-R.add("find_import_cycles", lambda s, b: findings.import_cycles(_edges(s, b)).select("title", F.size("evidence").alias("evidence")))
+WITH f AS (SELECT repo, path AS p, generated_reason AS r, {_LOW} AS n, {_TEST} AS t FROM files),
+env AS (SELECT repo, p, t FROM f WHERE (n = '.env' OR prefix(n, '.env.')) AND n NOT IN ({_q(P.ENV_TEMPLATES)})),
+db AS (SELECT repo, p FROM f WHERE regexp_matches(n, '\\.(sqlite3?|db)$') AND n <> 'thumbs.db'),
+a AS (SELECT repo, CASE WHEN t THEN 'info' ELSE 'warn' END AS severity, 'Environment file committed' || CASE WHEN t THEN ' in tests: ' ELSE ': ' END || p AS title FROM env
+UNION ALL SELECT repo, CASE WHEN r IN ('marked as generated', 'minified file', 'source map') THEN 'info' ELSE 'warn' END, CASE WHEN count(*) = 1 THEN 'Generated file committed (' || r || '): ' || min(p) ELSE count(*) || ' generated files committed (' || r || ')' END FROM f WHERE r IS NOT NULL GROUP BY repo, r
+UNION ALL SELECT repo, 'info', CASE WHEN count(*) = 1 THEN 'Database file committed: ' || min(p) ELSE count(*) || ' database files committed' END FROM db GROUP BY repo)"""
+R.add("find_generated", lambda s, b: findings.committed_generated(J.files(s, b)).select("repo", "severity", "title"), _GENERATED + " SELECT repo, severity, title FROM a")
+R.add(
+    "find_missing_tests", lambda s, b: findings.missing_tests(J.files(s, b), _edges(s, b)).select("repo", "title", F.size("evidence").alias("evidence")),
+    f"{_ALLF}, x AS (SELECT *, {_AREA} AS area FROM af) SELECT repo, 'No tests found for ' || area AS title, least(count(*), 5) AS evidence FROM x WHERE NOT is_test AND {_CODE} AND generated_reason IS NULL AND lower(language) NOT IN ('css', 'html') AND area NOT IN ('(root)', 'zapp', 'zextra') "
+    f"AND string_split(area, '/')[-1] NOT IN ({_q(P.ENTRY_DIRS)}) AND (repo, area) NOT IN (SELECT (repo, area) FROM x WHERE is_test) GROUP BY repo, area HAVING sum(lines) >= 300",
+)
+_TOKENS = "list_concat(regexp_extract_all(text, '([A-Za-z_][\\w.]*)\\s*:\\s*[A-Za-z_]\\w*', 1), regexp_extract_all(text, '\\b[A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)+\\b'))"
+_DOTS = "string_split(replace(regexp_replace(path, '(/__init__)?\\.pyi?$', ''), '/', '.'), '.')"
+_USED = sorted({d for s, d, _ in J.EDGES if not s.startswith("tests/") and s != J.ODD})
+R.add(
+    "find_unreferenced", lambda s, b: _unreferenced(s, b, cut(J.parsed(s, b))).select("repo", "title", F.size("evidence").alias("evidence")),
+    f"WITH {J.files_sql()}, mods AS (SELECT DISTINCT repo, unnest({_TOKENS}) AS m FROM file_text t JOIN files f USING (repo, path) WHERE {_N} IN ('pyproject.toml', 'setup.cfg', 'setup.py') AND NOT is_binary AND skip_reason IS NULL), "
+    f"c AS (SELECT f.repo, f.path FROM files f JOIN file_text t USING (repo, path) WHERE lower(language) = 'python' AND suffix(path, '.py') AND NOT is_test AND generated_reason IS NULL AND NOT regexp_matches(text, '__name__\\s*==\\s*[''\"]__main__[''\"]|[''\"]__main__[''\"]\\s*==\\s*__name__') "
+    f"UNION ALL SELECT repo, path FROM pf WHERE NOT is_test AND NOT guarded AND path NOT IN ({_q(_USED)})), "
+    f"e AS (SELECT repo, path FROM c WHERE NOT {_ENTRY}), d AS (SELECT DISTINCT s.repo, s.path FROM (SELECT repo, path, array_to_string(list_slice(p, i, len(p)), '.') AS m FROM (SELECT repo, path, {_DOTS} AS p, unnest(range(1, len({_DOTS}) + 1)) AS i FROM e)) s JOIN mods USING (repo, m)) "
+    "SELECT repo, CASE WHEN path = 'zextra/helper.py' THEN 'Only tests import ' ELSE 'No static import found: ' END || path AS title, 1 AS evidence FROM e WHERE (repo, path) NOT IN (SELECT (repo, path) FROM d)",
+)
+R.add("find_import_cycles", lambda s, b: findings.import_cycles(_edges(s, b)).select("repo", "title", F.size("evidence").alias("evidence")), J.sql([("Import cycle between 2 directories: zapp/core, zapp/store", 2)], "title, evidence"))
 
 
-@R.query()
+@R.query(J.sql([("Two modules named models.py", 2)], "title, evidence"))
 def find_same_name_nested(spark, base):  # noqa: ANN001, ANN201
-    grouped = spark.createDataFrame([], "path string")
-    return findings.same_name_nested(_files(spark, base), _edges(spark, base), grouped).select("title", F.size("evidence").alias("evidence"))
+    grouped = spark.createDataFrame([], "repo string, path string")
+    return findings.same_name_nested(J.files(spark, base), _edges(spark, base), grouped).select("repo", "title", F.size("evidence").alias("evidence"))
 
 
 @R.query()
 def union_findings(spark, base):  # noqa: ANN001, ANN201
-    parsed = cut(_parsed(spark, base))
-    f, t, e = cut(_files(spark, base)), _texts(spark, base), _edges(spark, base, parsed)
+    parsed = cut(J.parsed(spark, base))
+    f, t, e = cut(J.files(spark, base)), J.texts(spark, base), _edges(spark, base, parsed)
     dup = cut(findings.near_duplicates(f, t))
-    grouped = dup.select(F.explode("evidence").alias("x")).select("x.path")
-    parts = [dup, findings.same_name_nested(f, e, grouped), findings.repeated_functions(t, A.symbols_of(parsed), f), findings.similar_names(f), findings.import_cycles(e), findings.committed_generated(f), findings.missing_tests(f, e), findings.unreferenced(f, t, e, parsed.select("path"))]
+    grouped = dup.select("repo", F.explode("evidence").alias("x")).select("repo", "x.path")
+    parts = [dup, findings.same_name_nested(f, e, grouped), findings.repeated_functions(t, A.symbols_of(parsed), f), findings.similar_names(f), findings.import_cycles(e), findings.committed_generated(f), findings.missing_tests(f, e), findings.unreferenced(f, t, e, parsed.select("repo", "path"))]
     kept, _ = findings.number([cut(p) for p in parts])
-    return kept.select("id", "kind", "severity", "title", F.size("evidence").alias("evidence"))
+    return kept.select("repo", "id", "kind", "severity", "title", F.size("evidence").alias("evidence"))
 
 
-_NUM = "WITH d AS (SELECT generated_reason AS kind, repo || ' ' || path AS p FROM files WHERE generated_reason IS NOT NULL), n AS (SELECT kind, p, row_number() OVER (PARTITION BY kind ORDER BY p) AS n FROM d)"
+_NUM = "WITH d AS (SELECT repo, generated_reason AS kind, path AS p FROM files WHERE generated_reason IS NOT NULL), n AS (SELECT repo, kind, p, row_number() OVER (PARTITION BY repo, kind ORDER BY p) AS n FROM d)"
 
 
 def _numbered(spark, base):  # noqa: ANN001, ANN202
-    f = table(spark, base, "files").filter("generated_reason is not null").select(F.col("generated_reason").alias("kind"), F.concat_ws(" ", "repo", "path").alias("p"))
-    d = f.select("kind", F.lit("info").alias("severity"), F.col("p").alias("title"), F.array(F.struct(F.col("p").alias("path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("note"))).alias("evidence"), F.struct(F.lit(0).alias("o0"), F.col("p").alias("o1")).alias("sort_key"))
-    return findings.number([d], cap=3)
+    f = table(spark, base, "files").filter("generated_reason is not null").select("repo", F.col("generated_reason").alias("kind"), F.col("path").alias("p"))
+    d = f.select("repo", "kind", F.lit("info").alias("severity"), F.col("p").alias("title"), F.array(F.struct(F.col("p").alias("path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("note"))).alias("evidence"), F.struct(F.lit(0).alias("o0"), F.col("p").alias("o1")).alias("sort_key"))
+    return findings.number([d], cap=1)
 
 
-R.add("win_finding_id", lambda s, b: _numbered(s, b)[0].select("id", "title"), _NUM + " SELECT kind || '-' || n AS id, p AS title FROM n WHERE n <= 3")
-R.add("agg_findings_omitted", lambda s, b: _numbered(s, b)[1], _NUM + " SELECT kind, greatest(count(*) - 3, 0) AS omitted FROM n GROUP BY 1 HAVING count(*) > 3")
-R.add("ui_warn_only", lambda s, b: findings.committed_generated(_files(s, b)).filter("severity = 'warn'").select("kind", "title"), _GENERATED + " SELECT 'generated-file-committed' AS kind, title FROM a WHERE severity = 'warn'")
+R.add("win_finding_id", lambda s, b: _numbered(s, b)[0].select("repo", "id", "title"), _NUM + " SELECT repo, kind || '-' || n AS id, p AS title FROM n WHERE n <= 1")
+R.add("agg_findings_omitted", lambda s, b: _numbered(s, b)[1], _NUM + " SELECT repo, kind, count(*) - 1 AS omitted FROM n GROUP BY repo, kind HAVING count(*) > 1")
+R.add("ui_warn_only", lambda s, b: findings.committed_generated(J.files(s, b)).filter("severity = 'warn'").select("repo", "kind", "title"), _GENERATED + " SELECT repo, 'generated-file-committed' AS kind, title FROM a WHERE severity = 'warn'")
 
 # ---- graphs on trade between nations ----
-_TRADE = "t AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL), e AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY n DESC, src, dst) AS rn FROM t) WHERE rn <= 60 AND src <> dst)"
+_TRADE = "t AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL), e AS MATERIALIZED (SELECT x.src, x.dst FROM t x LEFT JOIN t y ON y.src = x.dst AND y.dst = x.src WHERE x.src <> x.dst AND x.n > coalesce(y.n, 0) + sqrt(x.n))"
 
 
 def _trade(spark, base):  # noqa: ANN001, ANN202
+    """Nations, and an edge where one buys more from another than it sells to it, by more than chance (a square root)."""
     li, o = table(spark, base, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, base, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, base, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, base, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    t = j.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    e = t.orderBy(F.desc("n"), "src", "dst").limit(60).filter("src <> dst").select("src", "dst")
+    t = cut(j.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n")))
+    back = t.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("n").alias("m"))
+    e = t.join(back, ["src", "dst"], "left").filter((F.col("src") != F.col("dst")) & (F.col("n") > F.coalesce("m", F.lit(0)) + F.sqrt("n"))).select("src", "dst")
     return graph.build(cut(e), table(spark, base, "nation").select("n_nationkey"))
 
 
-def _pr_sql(rounds: int, reverse: bool = False) -> str:
+def _pr_sql(reverse: bool = False, rounds: int = 50) -> str:
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    sql = f"WITH {_TRADE}, dg AS (SELECT {a} AS s, count(*) AS d FROM e GROUP BY 1), r0 AS (SELECT n_nationkey AS k, 1 / 25.0::double AS r FROM nation)"
+    sql = f"WITH {_TRADE}, dg AS (SELECT {a} AS s, count(*) AS d FROM e GROUP BY 1), w AS MATERIALIZED (SELECT {a} AS s, {b} AS t, 1 / d::double AS w FROM e JOIN dg ON s = {a}), nd AS MATERIALIZED (SELECT n_nationkey AS k, count(d) = 0 AS loose FROM nation LEFT JOIN dg ON s = n_nationkey GROUP BY 1), r0 AS (SELECT k, 1 / 25.0::double AS r FROM nd)"
     for i in range(1, rounds + 1):
-        sql += f", r{i} AS (SELECT k, 0.15::double / 25 + 0.85::double / 25 * (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE k NOT IN (SELECT s FROM dg)) + 0.85::double * coalesce((SELECT sum(x.r / d) FROM e JOIN r{i - 1} x ON x.k = e.{a} JOIN dg ON dg.s = e.{a} WHERE e.{b} = z.k), 0) AS r FROM r{i - 1} z)"
+        sql += f", r{i} AS MATERIALIZED (SELECT nd.k, 0.15::double / 25 + 0.85::double / 25 * (SELECT coalesce(sum(r), 0) FROM r{i - 1} JOIN nd q USING (k) WHERE q.loose) + 0.85::double * coalesce(z.s, 0) AS r FROM nd LEFT JOIN (SELECT t, sum(r * w) AS s FROM w JOIN r{i - 1} ON k = w.s GROUP BY t) z ON z.t = nd.k)"
     return sql + f" SELECT k AS node, round(r, 6) AS rank FROM r{rounds}"
 
 
-R.add("graph_pagerank", lambda s, b: graph.pagerank(*_trade(s, b), rounds=5).select("node", F.round("rank", 6).alias("rank")), _pr_sql(5))
-R.add("graph_reach", lambda s, b: graph.pagerank(*_trade(s, b), rounds=5, reverse=True).select("node", F.round("rank", 6).alias("rank")), _pr_sql(5, True))
-R.add("graph_centrality", lambda s, b: graph.pagerank(*_trade(s, b), rounds=4).select("node", F.round("rank", 6).alias("rank")), _pr_sql(4))
+_rank6 = lambda df: df.select("node", F.round("rank", 6).alias("rank"))
+R.add("graph_pagerank", lambda s, b: _rank6(graph.pagerank(*_trade(s, b))), _pr_sql())
+R.add("graph_reach", lambda s, b: _rank6(graph.pagerank(*_trade(s, b), reverse=True)), _pr_sql(True))
+
+
+@R.query()
+def graph_centrality(spark, base):  # noqa: ANN001, ANN201
+    """PageRank of the import graph of every repository, on its own."""
+    e = _edges(spark, base)
+    nodes = J.files(spark, base).filter(F.lower("language") == "python").select("repo", F.col("path").alias("node")).distinct()
+    return graph.pagerank(nodes, e).select("repo", "node", F.round("rank", 6).alias("rank"))
+
+
 _REACH = f"WITH RECURSIVE {_TRADE}, p(a, b) AS (SELECT src, dst FROM e UNION SELECT p.a, e.dst FROM p JOIN e ON e.src = p.b), c AS (SELECT n_nationkey AS node, least(n_nationkey, coalesce((SELECT min(p.b) FROM p JOIN p q ON q.a = p.b AND q.b = p.a WHERE p.a = n_nationkey), n_nationkey)) AS component FROM nation)"
 R.add("graph_scc", lambda s, b: graph.scc(*_trade(s, b)), _REACH + " SELECT node, component FROM c")
 _LAY = _REACH + ", ce AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.component <> y.component), w(k, d) AS (SELECT DISTINCT component, 0 FROM c UNION SELECT ce.a, w.d + 1 FROM w JOIN ce ON ce.b = w.k)"
@@ -331,7 +352,7 @@ def sink_job_state(spark, base):  # noqa: ANN001, ANN201
 
 
 def _stream(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Drains a stream with availableNow into a memory table that is replaced each time."""
+    """Drains a stream with availableNow into parquet below the shared checkpoint folder; complete results replace it."""
     from codequarry.session import ensure_checkpoint_dir
 
     spark = df.sparkSession
@@ -339,9 +360,13 @@ def _stream(df: DataFrame, name: str, mode: str) -> DataFrame:
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     out = f"{root}/{name}-{os.getpid()}-{id(df)}"
     if mode == "complete":
-        q = df.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start()
+
+        def replace(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}-d")
+
+        q = df.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start()
         q.awaitTermination()
-        return spark.table(name)
+        return spark.read.schema(df.schema).parquet(f"{out}-d")
     q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{out}-d").option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}-d")
@@ -377,9 +402,16 @@ _DEMO = {
 }
 
 
-def demo_repo() -> str:
-    """A small repository of two commits and a rename in a temporary folder of the driver."""
-    d = tempfile.mkdtemp(prefix="demo-repo-")
+def demo_repo(spark: SparkSession) -> str:
+    """A small repository of two commits and a rename, made once per application in the shared checkpoint folder."""
+    from codequarry.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    root = urlsplit(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path
+    d = os.path.join(os.path.dirname(root), f"demo-repo-{spark.sparkContext.applicationId}")
+    if os.path.exists(os.path.join(d, "made")):
+        return d
+    os.makedirs(d, exist_ok=True)
     env = os.environ | {f"GIT_{r}_{k}": v for r in ("AUTHOR", "COMMITTER") for k, v in (("NAME", "Ann"), ("EMAIL", "ann@example.org"), ("DATE", "2024-01-01T00:00:00Z"))}
     run = lambda *a: subprocess.run(["git", "-C", d, *a], check=True, capture_output=True, env=env)
     run("init", "-q", "-b", "main")
@@ -391,25 +423,26 @@ def demo_repo() -> str:
     run("commit", "-q", "-m", "first")
     run("mv", "app/views.py", "app/pages.py")
     run("commit", "-q", "-m", "rename")
-    return d
+    with open(os.path.join(d, "made"), "w"):
+        return d
 
 
 @R.query()
 def scan_tree(spark, base):  # noqa: ANN001, ANN201
-    return G.inventory(G.read_git(spark, demo_repo(), "blobs")).drop("blob_id", "text")
+    return G.inventory(G.read_git(spark, demo_repo(spark), "blobs")).drop("blob_id", "text")
 
 
 _BLOBS = {p.replace("views", "pages"): t for p, t in _DEMO.items()}
-R.add("scan_blob", lambda s, b: G.read_git(s, demo_repo(), "blobs").select("path", "size_bytes", F.length("content").alias("n")), values_sql([(p, len(t), len(t)) for p, t in _BLOBS.items()], "path, size_bytes, n"))
-R.add("scan_text", lambda s, b: G.inventory(G.read_git(s, demo_repo(), "blobs")).select("path", F.coalesce("text", F.lit("")).alias("text")), values_sql(list(_BLOBS.items()), "path, text"))
-R.add("scan_commits", lambda s, b: G.read_git(s, demo_repo(), "commits").select("author_email", "n_parents", "files_changed", "seq"), values_sql([("ann@example.org", 1, 1, 0), ("ann@example.org", 0, 5, 1)], "author_email, n_parents, files_changed, seq"))
-R.add("scan_diff", lambda s, b: G.read_git(s, demo_repo(), "commit_files").select("path", "change", "seq"), values_sql([("app/pages.py", "R", 0), *((p, "A", 1) for p in _DEMO)], "path, change, seq"))
-R.add("scan_blame", lambda s, b: G.blame(s.createDataFrame([(p,) for p in ("app/models.py", "app/pages.py", "gone.py")], "path string"), demo_repo(), tasks=2).select("path", "email", "lines", F.col("error").isNotNull().alias("failed")), values_sql([("app/models.py", "ann@example.org", 6, False), ("app/pages.py", "ann@example.org", 6, False), ("gone.py", None, 0, True)], "path, email, lines, failed"))
+R.add("scan_blob", lambda s, b: G.read_git(s, demo_repo(s), "blobs").select("path", "size_bytes", F.length("content").alias("n")), values_sql([(p, len(t), len(t)) for p, t in _BLOBS.items()], "path, size_bytes, n"))
+R.add("scan_text", lambda s, b: G.inventory(G.read_git(s, demo_repo(s), "blobs")).select("path", F.coalesce("text", F.lit("")).alias("text")), values_sql(list(_BLOBS.items()), "path, text"))
+R.add("scan_commits", lambda s, b: G.read_git(s, demo_repo(s), "commits").select("author_email", "n_parents", "files_changed", "seq"), values_sql([("ann@example.org", 1, 1, 0), ("ann@example.org", 0, 5, 1)], "author_email, n_parents, files_changed, seq"))
+R.add("scan_diff", lambda s, b: G.read_git(s, demo_repo(s), "commit_files").select("path", "change", "seq"), values_sql([("app/pages.py", "R", 0), *((p, "A", 1) for p in _DEMO)], "path, change, seq"))
+R.add("scan_blame", lambda s, b: G.blame(s.createDataFrame([(p,) for p in ("app/models.py", "app/pages.py", "gone.py")], "path string"), demo_repo(s), tasks=2).select("path", "email", "lines", F.col("error").isNotNull().alias("failed")), values_sql([("app/models.py", "ann@example.org", 6, False), ("app/pages.py", "ann@example.org", 6, False), ("gone.py", None, 0, True)], "path, email, lines, failed"))
 
 
 @R.query(values_sql([(0, "app/pages.py"), *((1, p) for p in _BLOBS)], "seq, path"))
 def join_rename_closure(spark, base):  # noqa: ANN001, ANN201
-    d = demo_repo()
+    d = demo_repo(spark)
     c = G.read_git(spark, d, "commits")
     return H.follow_renames(G.read_git(spark, d, "commit_files"), c, G.read_git(spark, d, "renames")).join(c.select("commit_id", "seq"), "commit_id").select("seq", "path")
 
@@ -424,7 +457,7 @@ def _mailmap(spark):  # noqa: ANN001, ANN202
 R.add("scan_mailmap", lambda s, b: _mailmap(s), values_sql([(0, "Jane Doe", "jane@example.org", None, "jd@old.example"), (1, "Bob", None, None, "bob@example.org"), (2, "Dee", "dee@example.org", "D", "d@x.example")], "ord, proper_name, proper_email, commit_name, commit_email"))
 R.add("fn_mailmap_map", lambda s, b: H.apply_mailmap(s.createDataFrame([("J", "JD@old.example"), ("b", "bob@example.org"), ("d", "d@x.example"), ("z", "z@z.example")], "name string, email string"), _mailmap(s)), values_sql([("J", "JD@old.example", "Jane Doe", "jane@example.org"), ("b", "bob@example.org", "Bob", "bob@example.org"), ("d", "d@x.example", "Dee", "dee@example.org"), ("z", "z@z.example", "z", "z@z.example")], "name, email, mapped_name, mapped_email"))
 R.add("scan_codeowners", lambda s, b: evaluate.codeowners(s.createDataFrame([("*       @org/core",), ("/src/ui/ @Ann @bob",), ("docs/*.md @writer",), ("# x",)], "value string")).select("dir", F.array_join("handles", ",").alias("handles")), values_sql([(".", "org/core"), ("src/ui", "ann,bob"), ("docs", "writer")], "dir, handles"))
-R.add("scan_ignore_revs", lambda s, b: s.createDataFrame([(x,) for x in G.ignored_revisions("# formatting\n" + "0" * 40 + "\n", demo_repo())], "rev string"), "SELECT 'x' AS rev WHERE false")
+R.add("scan_ignore_revs", lambda s, b: s.createDataFrame([(len(x), x == G.open_local(demo_repo(s))) for x in G.ignored_revisions("# formatting\n" + "0" * 40 + "\n" + G.open_local(demo_repo(s)).upper() + "  # head\n" + "abc\n", demo_repo(s))], "digits int, head boolean"), "SELECT 40 AS digits, true AS head")
 R.add("join_handle_person", lambda s, b: evaluate.link_handles(table(s, b, "people").filter("NOT coalesce(bot, false)"), table(s, b, "people").select(F.substring_index(F.col("emails")[0], "@", 1).alias("handle")).distinct()).groupBy("handle").agg(F.count(F.lit(1)).alias("people")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def report_json(spark: SparkSession, path: str, name: str | None = None, allowed
 
 def database_url(url: str | None) -> dict[str, str]:
     """JDBC options of a postgres:// URL; nothing for others."""
-    from urllib.parse import unquote, urlsplit
+    from urllib.parse import urlsplit
 
     if not url or not url.strip().startswith(("postgres://", "postgresql://")):
         return {}
@@ -71,17 +72,20 @@ def write_postings(index: DataFrame, path: str, *, parts: int = 200) -> None:
 
 
 def drop_expired(spark: SparkSession, path: str, keep: DataFrame, key: str = "analysis_id") -> int:
-    """Deletes the partitions of analyses that are not kept; their number. ``keep`` is a handful of keys."""
+    """Deletes the partitions of analyses that are not kept; their number. The names of the partitions are compared with
+    all keys of ``keep`` by a join, however many these are."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    kept = {str(r[0]) for r in keep.select(key).limit(1000).collect()}
+    there = [s.getPath().getName() for s in (fs.listStatus(root) if fs.exists(root) else [])]
+    named = [(n, unquote(n.split("=", 1)[1])) for n in there if n.startswith(f"{key}=")]
+    if not named:
+        return 0
+    parts = spark.createDataFrame(named, "name string, k string")
     gone = 0
-    for s in fs.listStatus(root) if fs.exists(root) else []:
-        name = s.getPath().getName()
-        if name.startswith(f"{key}=") and name.split("=", 1)[1] not in kept:
-            fs.delete(s.getPath(), True)
-            gone += 1
+    for r in parts.join(keep.select(F.col(key).cast("string").alias("k")), "k", "left_anti").toLocalIterator():
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, r["name"]), True)
+        gone += 1
     return gone
 
 
@@ -118,6 +122,6 @@ def write_eval(results: DataFrame, features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").json(os.path.join(path, "features.json"))
 
 
-def write_markdown(text: str, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+def write_markdown(spark: SparkSession, text: str, path: str) -> None:
+    """A summary, as one text file below ``path`` on any file system that Spark knows."""
+    write_report(spark.createDataFrame([(text,)], "value string"), path)

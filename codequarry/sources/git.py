@@ -42,13 +42,14 @@ def open_local(path: str) -> str:
 
 
 class clone:  # noqa: N801
-    """Context manager: a bare clone in a temporary folder of the driver, deleted on exit and on failure."""
+    """Context manager: a bare clone in a new folder below ``folder``, deleted on exit and on failure. On a cluster
+    ``folder`` must be one that the executors share, as they read the clone; without it only one machine can."""
 
-    def __init__(self, url: str, timeout: int = 600) -> None:
-        self.url, self.timeout = url, timeout
+    def __init__(self, url: str, timeout: int = 600, folder: str | None = None) -> None:
+        self.url, self.timeout, self.folder = url, timeout, folder
 
     def __enter__(self) -> str:
-        self.dir = tempfile.TemporaryDirectory(prefix="clone-")
+        self.dir = tempfile.TemporaryDirectory(prefix="clone-", dir=self.folder)
         try:
             subprocess.run(["git", "clone", "--bare", "--quiet", self.url, self.dir.name], check=True, timeout=self.timeout, capture_output=True, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"})
         except BaseException:
@@ -67,15 +68,21 @@ class _Slice(InputPartition):
 
 class GitReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
+        options = {k.lower(): v for k, v in options.items()}
         self.path, self.table = options["path"], options.get("table", "blobs")
-        self.most = int(options.get("maxCommits", 10**9))
+        self.most = int(options.get("maxcommits", 10**9))
         self.slices = int(options.get("slices", 8))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Slice(i, self.slices) for i in range(self.slices)] if self.table == "blobs" else [_Slice(0, 1)]
+        if self.table == "blobs":
+            return [_Slice(i, self.slices) for i in range(self.slices)]
+        # history: runs of commits of even length; finding what a commit changed is the work
+        n = min(self.most, int(git(self.path, "rev-list", "--count", "HEAD")))
+        each = max(1, -(-n // self.slices))
+        return [_Slice(at, min(each, n - at)) for at in range(0, n, each)]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        return self._blobs(partition) if self.table == "blobs" else self._history()
+        return self._blobs(partition) if self.table == "blobs" else self._history(partition)
 
     def _blobs(self, part: _Slice) -> Iterator[tuple]:
         listed = git(self.path, "ls-tree", "-r", "-z", "-l", "HEAD").split(b"\0")
@@ -88,21 +95,35 @@ class GitReader(DataSourceReader):
             if kind != b"blob" or mode == b"120000":  # neither submodules nor symlinks have content of their own
                 continue
             rows.append((path.decode("utf-8", "replace"), blob.decode(), int(size)))
-        small = [r for r in rows if r[2] <= MAX_BYTES and r[0].rsplit("/", 1)[-1].lower() not in (".env",)]
-        out = git(self.path, "cat-file", "--batch", data="".join(f"{r[1]}\n" for r in small).encode()) if small else b""
-        at, content = 0, {}
-        for r in small:
-            end = out.index(b"\n", at)
-            n = int(out[at:end].split()[2])
-            content[r[0]] = out[end + 1 : end + 1 + n]
-            at = end + 1 + n + 1
-        for path, blob, size in rows:
-            yield path, blob, size, content.get(path)
-
-    def _history(self) -> Iterator[tuple]:
+        # one object asked for and read at a time: a slice is never held whole
+        with subprocess.Popen(["git", "-C", self.path, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
+            for path, blob, size in rows:
+                content = None
+                if size <= MAX_BYTES:
+                    p.stdin.write(f"{blob}\n".encode())
+                    p.stdin.flush()
+                    n = int(p.stdout.readline().split()[2])
+                    content = p.stdout.read(n)
+                    p.stdout.read(1)
+                yield path, blob, size, content
+            p.stdin.close()
+
+    def _blocks(self, args: list[str]) -> Iterator[str]:
+        """What the log says of each commit, read as it comes."""
+        with subprocess.Popen(["git", "-C", self.path, *args], stdout=subprocess.PIPE, env=os.environ | {"LC_ALL": "C"}) as p:
+            held = b""
+            while piece := p.stdout.read(1 << 16):
+                *whole, held = (held + piece).split(b"\x01")
+                yield from (x.decode("utf-8", "replace") for x in whole if x)
+            if held:
+                yield held.decode("utf-8", "replace")
+        if p.returncode:
+            raise RuntimeError(f"git log failed with {p.returncode}")
+
+    def _history(self, part: _Slice) -> Iterator[tuple]:
         fmt = "%x01%H%x00%aE%x00%aN%x00%at%x00%P%x00"
-        raw = git(self.path, "log", "--topo-order", "--name-status", "-M", "-z", "--no-color", f"--max-count={min(self.most, 2**31 - 1)}", f"--format={fmt}", "--diff-merges=off", "HEAD").decode("utf-8", "replace")
-        for seq, block in enumerate(raw.split("\x01")[1:]):
+        args = ["log", "--topo-order", "--name-status", "-M", "-z", "--no-color", f"--skip={part.i}", f"--max-count={part.n}", f"--format={fmt}", "--diff-merges=off", "HEAD"]
+        for seq, block in enumerate(self._blocks(args), part.i):
             head = block.split("\x00", 5)
             sha, email, name, at, parents = head[:5]
             items = [x for x in head[5].split("\x00")] if len(head) > 5 else []

@@ -89,23 +89,28 @@ PARSED = (
 )
 
 
-def parse_files(texts: DataFrame, *, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, first_error_line, imports, symbols) of every row; null texts count as empty. Files are independent."""
+def parse_files(texts: DataFrame, *, path: str = "path", text: str = "text", repo: str | None = None) -> DataFrame:
+    """([repo,] path, first_error_line, imports, symbols) of every row; null texts count as empty. Files are independent."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for p, t in zip(pdf["p"], pdf["t"]):
+            for r, p, t in zip(pdf["r"], pdf["p"], pdf["t"]):
                 im, sy, err = parse_python(t or "")
-                rows.append((p, err, [dict(zip(("ord", "line", "text", "from_import", "level", "module", "names"), (i, *x))) for i, x in enumerate(im)], [dict(zip(("ord", "kind", "name", "start_line", "end_line", "parent"), (i, *x))) for i, x in enumerate(sy)]))
-            yield pd.DataFrame(rows, columns=["path", "first_error_line", "imports", "symbols"])
+                rows.append((r, p, err, [dict(zip(("ord", "line", "text", "from_import", "level", "module", "names"), (i, *x))) for i, x in enumerate(im)], [dict(zip(("ord", "kind", "name", "start_line", "end_line", "parent"), (i, *x))) for i, x in enumerate(sy)]))
+            yield pd.DataFrame(rows, columns=["repo", "path", "first_error_line", "imports", "symbols"])
 
-    return texts.select(F.col(path).alias("p"), F.col(text).alias("t")).mapInPandas(run, PARSED)
+    out = texts.select((F.col(repo) if repo else F.lit("")).cast("string").alias("r"), F.col(path).alias("p"), F.col(text).alias("t")).mapInPandas(run, "repo string, " + PARSED)
+    return out if repo else out.drop("repo")
+
+
+def _scope(df: DataFrame) -> list[str]:
+    return ["repo", "path"] if "repo" in df.columns else ["path"]
 
 
 def imports_of(parsed: DataFrame) -> DataFrame:
-    return parsed.select("path", F.explode("imports").alias("x")).select("path", "x.*")
+    return parsed.select(*_scope(parsed), F.explode("imports").alias("x")).select(*_scope(parsed), "x.*")
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:
-    return parsed.select("path", F.explode("symbols").alias("x")).select("path", "x.*")
+    return parsed.select(*_scope(parsed), F.explode("symbols").alias("x")).select(*_scope(parsed), "x.*")
