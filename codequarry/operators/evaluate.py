@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import itertools
-import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 
 from codequarry.functions import paths as P
 from codequarry.functions import text as T
@@ -135,17 +133,24 @@ def feature_matrix(items: DataFrame, *, by: str, item: str, centrality: str, rev
 
 def grid_search(features: DataFrame, truth: DataFrame, grid: DataFrame, *, by: str, item: str, limit: int | None = 12) -> DataFrame:
     """(variant, score): mean over groups of the mean percentile of the truth. features x variants is the workload: the
-    grid is a parameter table of a few thousand rows, put beside every feature row as one constant array; every
-    (variant, group) is ranked by itself."""
-    x = features.withColumnRenamed("fan_in", "fi").withColumnRenamed("churn", "ch").withColumnRenamed("size", "si").withColumnRenamed("centrality", "ce").withColumnRenamed("reverse", "re")
-    rows = json.dumps([r.asDict() for r in grid.collect()])
-    every = F.from_json(F.lit(rows), T_.ArrayType(grid.schema))
-    j = x.select("*", F.inline(every))
-    score = F.col("centrality") * F.col("ce") + F.col("reverse") * F.col("re") + F.col("fan_in") * F.col("fi") + F.col("churn") * F.col("ch") + F.col("size") * F.col("si") - F.when(F.col("private"), F.col("penalty")).otherwise(0.0)
-    w = Window.partitionBy("variant", by).orderBy(F.desc(F.round(score, 9)), item)
-    r = j.select("variant", by, item, F.row_number().over(w).alias("rank"))
-    p = mean_percentile(r, truth, by=["variant", by], item=item).filter("percentile is not null")
-    out = p.groupBy("variant").agg((F.floor(F.avg(F.round(F.col("percentile") * 1000).cast("long")) + 0.5) / 1000).alias("score")).orderBy(F.desc("score"), "variant")
+    grid is a parameter table of a few thousand rows, its weights constant arrays. Every (variant, group) is ranked by
+    itself in one shuffle; what a row must know of its group and of the truth is put on it before it is multiplied."""
+    t = truth.select(*[c for c in (by, item) if c in truth.columns]).distinct().withColumn("hit", F.lit(True))
+    sizes = features.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    x = features.join(sizes, by).join(t, [c for c in (by, item) if c in truth.columns], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    x = cut(x.withColumn("private", F.coalesce(F.col("private"), F.lit(False))))
+    rows = grid.collect()
+    weight = lambda c: F.expr(f"array({', '.join(repr(float(r[c])) + 'D' for r in rows)})")[F.col("v")]
+    # rows are many times the features: spread them before
+    j = x.repartition(by, item).select(by, item, "n", "hit", "centrality", "reverse", "fan_in", "churn", "size", "private", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("v"))
+    score = weight("centrality") * F.col("centrality") + weight("reverse") * F.col("reverse") + weight("fan_in") * F.col("fan_in") + weight("churn") * F.col("churn") + weight("size") * F.col("size") - F.when(F.col("private"), weight("penalty")).otherwise(0.0)
+    j = j.select("v", by, item, "n", "hit", F.round(score, 9).alias("s"))
+    w = Window.partitionBy("v", by).orderBy(F.desc("s"), item)
+    r = j.withColumn("rank", F.row_number().over(w)).filter("hit")
+    p = r.groupBy("v", by).agg(round3(1 - F.sum(F.col("rank") - 1) / (F.count(F.lit(1)) * (F.max("n") - 1))).alias("percentile"))
+    per = p.groupBy("v").agg((F.floor(F.avg(F.round(F.col("percentile") * 1000).cast("long")) + 0.5) / 1000).alias("score"))
+    names = F.expr(f"array({', '.join(repr(r['variant']) for r in rows)})")
+    out = per.select(names[F.col("v")].alias("variant"), "score").orderBy(F.desc("score"), "variant")
     return out.limit(limit) if limit else out
 
 

@@ -55,11 +55,11 @@ def restrict(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataF
     return nodes.join(k, "node", "left_semi"), e.select("src", "dst")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 50, cut_every: int = 5, reverse: bool = False) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 50, cut_every: int = 1, reverse: bool = False) -> DataFrame:
     """([repo,] node, rank): a fixed number of rounds; the rank of nodes without outgoing edges is spread evenly.
 
-    The out-degree is put on the edges once, hash-partitioned by source, and that copy is reused by every round. Lineage
-    is cut reliably every few rounds; the dangling mass is one number per round, a scalar subquery. Nodes must be
+    The out-degree is put on the edges once, and that copy is reused by every round. Ranks are read twice in a round, so
+    lineage is cut reliably after each (``cut_every``): without it the work of a round would double with every next; the dangling mass is one number per round, a scalar subquery. Nodes must be
     distinct and cover all ends. No nodes: no rows. With ``reverse`` edges run the other way. Where both tables have a
     column ``repo``, every repository is a graph of its own, ranked in the same rounds.
     """
