@@ -106,6 +106,14 @@ def p4_share(spark: SparkSession, base: str) -> DataFrame:
     return coverage.select(F.col("id").alias("chunk_id"), "n_chars", "shared_chars", F.round("share", 6).alias("share"))
 
 
+# every run of 200 characters of every body, compared as it is
+_P4 = "m AS (SELECT chunk_id, i, md5(substr(body, i, 200)) AS h FROM (SELECT chunk_id, body, unnest(range(1, length(body) - 198)) AS i FROM chunks WHERE length(body) >= 200)), g AS (SELECT DISTINCT chunk_id, h FROM m), sh AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1)"
+SQL["p4_found"] = f"WITH {_P4}, k AS (SELECT g.* FROM g JOIN sh USING (h)) SELECT DISTINCT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM k a JOIN k b ON a.h = b.h AND a.chunk_id < b.chunk_id"
+SQL["p4_share"] = f"""WITH {_P4}, p AS (SELECT DISTINCT chunk_id, i FROM m JOIN sh USING (h)), w AS (SELECT chunk_id, i - lag(i) OVER (PARTITION BY chunk_id ORDER BY i) AS gap FROM p),
+s AS (SELECT chunk_id, sum(least(200, coalesce(gap, 200))) AS shared FROM w GROUP BY 1)
+SELECT c.chunk_id, length(body) AS n_chars, coalesce(shared, 0)::bigint AS shared_chars, round(CASE WHEN length(body) > 0 THEN coalesce(shared, 0) / length(body)::double ELSE 0 END, 6) AS share FROM chunks c LEFT JOIN s USING (chunk_id) WHERE body IS NOT NULL"""
+
+
 def _parsed(spark: SparkSession, base: str) -> DataFrame:
     return parsing.parse_files(table(spark, base, "file_text"), key="file_id", repo="repo", path="path", text="text")
 
