@@ -313,6 +313,17 @@ def test_both_sweeps_agree_at_any_depth(spark):
     assert dict(rows(provenance.label_files(short, t, task_dirs=9), "file_id", "p_handwritten")) == pytest.approx(dict(rows(provenance.label_files(short, t), "file_id", "p_handwritten")), abs=1e-5)
 
 
+def test_siblings_decide_where_evidence_is_weak(spark):
+    """An older finding and flagged chunks flag a file among generated ones, not elsewhere; no evidence flags nowhere."""
+    marked = "// Code generated by gen. DO NOT EDIT.\n" + "".join(f"export const c{i} = {i}\n" for i in range(9))
+    names = [("api", f"g{i}.js", marked, None) for i in range(5)] + [("api", "weak.js", None, "marked as generated"), ("api", "none.js", None, None), ("src", "weak.js", None, "marked as generated"), ("src", "a.js", None, None), ("src", "b.js", None, None)]
+    df = spark.createDataFrame([(i, "r", f"{d}/{n}", why) for i, (d, n, _, why) in enumerate(names)], "file_id long, repo string, path string, generated_reason string")
+    t = spark.createDataFrame([(i, "r", f"{d}/{n}", x) for i, (d, n, x, _) in enumerate(names) if x], "file_id long, repo string, path string, text string")
+    c = spark.createDataFrame([("r", f"{d}/weak.js", True) for d in ("api", "src")], "repo string, path string, is_generated boolean")
+    got = dict(rows(provenance.label_files(df, t, c), "file_id", "handwritten"))
+    assert got == {i: not (n.startswith("g") or (d, n) == ("api", "weak.js")) for i, (d, n, _, _) in enumerate(names)}
+
+
 def test_the_home_of_a_copied_file_stays(spark):
     lib = "\n".join(f"export function g{i}(a) {{\n  return a * {i} + base;\n}}" for i in range(12))
     own = "\n".join(f"def f{i}(a):\n    return a + {i} * offset\n" for i in range(12))
