@@ -434,11 +434,19 @@ def win_top_file_per_dir(spark, base):  # noqa: ANN001, ANN201
     return f.groupBy("component").agg(F.min_by("path", F.struct(-F.col("lines"), F.col("path"))).alias("path"))
 
 
-# people
-@R.query("SELECT lower(email) AS email, sum(coalesce(commits, 0))::bigint AS commits, count(*) AS rows FROM identities WHERE email IS NOT NULL GROUP BY 1")
+# people: rows with one email, or one full name, are one person; named by the first email
+_FULL = "trim(regexp_replace(nfc_normalize(lower(n)), '\\s+', ' ', 'g'))"
+_PERSON = (
+    "WITH RECURSIVE b AS (SELECT lower(email) AS email, coalesce(commits, 0) AS commits, list_concat(coalesce(names, []), CASE WHEN name IS NOT NULL THEN [name] ELSE [] END) AS ns FROM identities WHERE email IS NOT NULL), "
+    f"fu AS (SELECT DISTINCT email, {_FULL} AS f FROM (SELECT email, unnest(ns) AS n FROM b) WHERE contains({_FULL}, ' ')), e AS (SELECT DISTINCT x.email AS a, y.email AS b FROM fu x JOIN fu y USING (f)), "
+    "r(n, m) AS (SELECT email, email FROM b UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.m), c AS (SELECT n, min(m) AS c FROM r GROUP BY 1)"
+)
+
+
+@R.query(_PERSON + " SELECT c AS first_email, count(DISTINCT email) AS emails, sum(commits)::bigint AS commits FROM b JOIN c ON n = email GROUP BY 1")
 def agg_people(spark, base):  # noqa: ANN001, ANN201
-    i = table(spark, base, "identities").filter("email is not null")
-    return i.groupBy(F.lower("email").alias("email")).agg(F.sum(F.coalesce("commits", F.lit(0))).alias("commits"), F.count(F.lit(1)).alias("rows"))
+    p = H.resolve_people(table(spark, base, "identities"))
+    return p.select(F.col("emails")[0].alias("first_email"), F.size("emails").alias("emails"), "commits")
 
 
 @R.query("SELECT row_number() OVER (ORDER BY commits DESC, coalesce(name, ''), emails[1]) AS position, id, commits FROM people")
@@ -447,10 +455,10 @@ def sort_people(spark, base):  # noqa: ANN001, ANN201
     return global_rank(p, [F.desc("commits"), F.coalesce("name", F.lit("")), F.col("emails")[0]], "position").select("position", "id", "commits")
 
 
-@R.query()
+@R.query(_PERSON + " SELECT n AS email, c AS component FROM c")
 def graph_components(spark, base):  # noqa: ANN001, ANN201
     p = H.resolve_people(table(spark, base, "identities"))
-    return p.select("id", F.size("emails").alias("emails"), "commits", "bot")
+    return p.select(F.explode("emails").alias("email"), F.col("emails")[0].alias("component"))
 
 
 @R.query(f"SELECT count(DISTINCT repo || ' ' || path) AS files, count(DISTINCT commit_id) AS commits, (SELECT count(*) FROM (SELECT DISTINCT commit_id FROM commits LIMIT 1000)) AS capped FROM commit_files WHERE path IS NOT NULL")
