@@ -49,9 +49,10 @@ def intersect_lines(spark, base):  # noqa: ANN001, ANN201
     return p.select("a", "b", F.col("shared").alias("common"))
 
 
-@R.query("WITH w AS (SELECT file_id, unnest(list_transform(range(1, len(l) - 1), lambda i: array_to_string(list_slice(l, i, i + 2), chr(10)))) AS block FROM (SELECT file_id, string_split(text, chr(10)) AS l FROM file_text WHERE len(string_split(text, chr(10))) >= 3)) SELECT md5(block) AS block, count(DISTINCT file_id) AS files, count(*) AS occurrences FROM w GROUP BY 1 HAVING count(DISTINCT file_id) >= 2")
+@R.query(J.sql([("zapp/again.py", "arrange", 4, 11, 7, 2, 2), ("zapp/util.py", "prepare", 4, 11, 7, 2, 2)], "path, name, start_line, end_line, body_lines, copies, files"))
 def join_function_bodies(spark, base):  # noqa: ANN001, ANN201
-    return duplicates.repeated_windows(table(spark, base, "file_text"), key="file_id", text="text").select(F.md5("block").alias("block"), "files", "occurrences")
+    b = duplicates.repeated_bodies(J.texts(spark, base), A.symbols_of(cut(J.parsed(spark, base))))
+    return b.select("repo", "path", "name", "start_line", "end_line", "body_lines", "copies", "files")
 
 
 # ---- chunks and retrieval ----
@@ -393,7 +394,21 @@ R.add("stream_progress_throttle", lambda s, b: throttle.throttled_progress(table
 
 # ---- interface lookups ----
 R.add("ui_report_index", lambda s, b: _trade(s, b)[1].groupBy("dst").agg(F.array_join(F.sort_array(F.collect_list("src")), ",").alias("importers")), f"WITH {_TRADE} SELECT dst, array_to_string(list_sort(list(src)), ',') AS importers FROM e GROUP BY 1")
-R.add("ui_file_details", lambda s, b: table(s, b, "chunks").groupBy("repo", "path").agg(F.count_if("is_test").alias("tests"), F.count_if(~F.col("is_test")).alias("code")), "SELECT repo, path, count_if(is_test)::bigint AS tests, count_if(NOT is_test)::bigint AS code FROM chunks GROUP BY ALL")
+_E = J.sql([e for e in J.EDGES if e[0] != J.ODD], "src, dst, first_line", [e for e in J.EDGES if e[0] == J.ODD])
+
+
+@R.query(
+    f"WITH {J.files_sql()}, e AS ({_E}), f AS (SELECT repo, path, is_test FROM files WHERE lower(language) = 'python' UNION ALL SELECT repo, path, is_test FROM pf), i AS (SELECT e.repo, dst AS path, count_if(NOT is_test) AS importers, count_if(is_test) AS tests FROM e JOIN f ON f.repo = e.repo AND f.path = src GROUP BY ALL), "
+    "o AS (SELECT repo, src AS path, count(*) AS imports FROM e GROUP BY ALL) SELECT f.repo, f.path, coalesce(importers, 0)::bigint AS importers, coalesce(tests, 0)::bigint AS tests, coalesce(imports, 0)::bigint AS imports FROM f LEFT JOIN i ON i.repo = f.repo AND i.path = f.path LEFT JOIN o ON o.repo = f.repo AND o.path = f.path"
+)
+def ui_file_details(spark, base):  # noqa: ANN001, ANN201
+    """Of every Python file how many files and how many tests import it, and how many files it imports."""
+    e = _edges(spark, base)
+    f = J.files(spark, base).filter(F.lower("language") == "python").select("repo", "path", "is_test")
+    into = e.join(f.withColumnRenamed("path", "src"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("path")).agg(F.count_if(~F.col("is_test")).alias("importers"), F.count_if("is_test").alias("tests"))
+    out = e.groupBy("repo", F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("imports"))
+    return f.drop("is_test").join(into, ["repo", "path"], "left").join(out, ["repo", "path"], "left").fillna(0, ["importers", "tests", "imports"])
+
 
 # ---- sources and sinks on a repository built here ----
 _DEMO = {
