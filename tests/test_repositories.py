@@ -99,3 +99,39 @@ def test_history_in_slices(spark, tmp_path):
     assert sorted(r["seq"] for r in G.read_git(spark, str(tmp_path), "commits", slices=4, maxCommits=5).collect()) == list(range(5))
     inv = {r["path"]: (r["lines"], r["text"]) for r in G.inventory(G.read_git(spark, str(tmp_path), "blobs", slices=2)).collect()}
     assert inv[".env"] == (1, "A=6\n") and inv["f3.txt"] == (5, "3\n" * 5) and len(inv) == 8
+
+
+def test_a_whole_analysis(spark, tmp_path):
+    """From a folder to the report: sections of a repository of two authors, with a cycle, a broken and a large file."""
+    import json
+    import subprocess
+
+    from codequarry.operators.analysis import analyse
+
+    def run(*a, who="ann"):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", f"user.name={who} x", "-c", f"user.email={who}@x.org", *a], check=True, capture_output=True)
+
+    run("init", "-q", "-b", "main")
+    for p, t in {**project.FILES, "zapp/broken.py": "def f(:\n", "big.txt": "x\n" * 600_000, "README.md": "# read\n", ".mailmap": "Bob Real <real@x.org> <bob@x.org>\n"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    run("add", "-A")
+    run("commit", "-q", "-m", "first")
+    for i in range(6):
+        for p in ("zapp/core/engine.py", "zapp/store/disk.py"):
+            (tmp_path / p).write_text(project.FILES[p] + f"x = {i}\n" * (i + 3))
+        run("commit", "-q", "-am", f"c{i}", who="bob")
+    heard = []
+    a = analyse(spark, str(tmp_path), rounds=4, progress=lambda stage, share: heard.append((stage, share)))
+    r = json.loads(a.report().first()["value"])
+    assert heard[0] == ("inventory", 2) and heard[-1] == ("done", 100) and [s for _, s in heard] == sorted(s for _, s in heard)
+    assert r["overview"]["files"] == len(project.FILES) + 4 and r["overview"]["commits"] == 7 and r["overview"]["contributors"] == 2
+    assert {(e["src"], e["dst"], e["first_line"]) for e in r["edges"]} == set(project.EDGES)
+    assert [(c["a"], c["b"], c["together"], c["has_edge"]) for c in r["coupling"]] == [("zapp/core/engine.py", "zapp/store/disk.py", 7, True)]
+    assert {p["emails"][0]: p["commits"] for p in r["people"]} == {"ann@x.org": 1, "real@x.org": 6}
+    assert {x["path"]: x["reason"] for x in r["limits"]} == {"big.txt": "larger than 1 MB", "zapp/broken.py": "parse error"}
+    assert any(f["title"] == "Import cycle between 2 directories: zapp/core, zapp/store" for f in r["findings"]) and r["readingOrder"] and r["hotspots"]
+    assert {c["component"]: c.get("layer") for c in r["components"]}["zapp/core"] == {c["component"]: c.get("layer") for c in r["components"]}["zapp/store"]
+    assert {c["symbol"] for c in a.chunks.collect()} >= {"Item", "prepare", "arrange", "help_me"}
+    with pytest.raises(ValueError):
+        analyse(spark, str(tmp_path / "zapp" / "nothing"))
