@@ -67,7 +67,7 @@ def test_grid_without_hits(spark):
     assert evaluate.grid_search(f, t, evaluate.variants(spark), by="repo", item="item").collect() == []
 
 
-@pytest.mark.parametrize("name, n", [("eval_variant_rank", 3403), ("topk_variants", 12)])
+@pytest.mark.parametrize("name, n", [("eval_variant_rank", 3403), ("topk_variants", 12), ("eval_grid", 3403)])
 def test_the_grid_moves_its_features_only(spark, name, n):
     began = shuffled(spark)
     assert len(catalogue.QUERIES[name](spark, TINY).collect()) == n
